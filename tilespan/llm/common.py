@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tilespan-{uuid.uuid4().hex}-{label}"
 
 
+def few_rows(spark: SparkSession, rows: int = 500) -> None:
+    """Smaller Arrow batches, so that a batch of long texts stays small too; a lower setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and lets the shuffle files of the write go at once."""
     spark, flag = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
