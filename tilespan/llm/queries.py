@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: the module that holds it.
 _WHERE = {
     "op4_mix_sources": "mixing",
+    "op7_quality_rules": "quality",
     "op10_pii_spans": "pii",
 }
 
