@@ -42,10 +42,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def few_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Smaller Arrow batches, so that a batch of long texts stays small too; a lower setting is left alone."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """So many rows in an Arrow batch: few where texts travel, so that a batch of long texts stays small, many where numbers do."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

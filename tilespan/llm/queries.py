@@ -8,6 +8,7 @@ from importlib import import_module
 _WHERE = {
     "op4_mix_sources": "mixing",
     "op7_quality_rules": "quality",
+    "op8_simhash_components": "simhash",
     "op9_toxicity": "toxicity",
     "op10_pii_spans": "pii",
 }
