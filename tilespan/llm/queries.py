@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: the module that holds it.
 _WHERE = {
     "op1_vafile_topk": "vafile",
+    "op2_warc_index": "warc",
     "op3_pack_sequences": "packing",
     "op4_mix_sources": "mixing",
     "op7_quality_rules": "quality",
