@@ -46,13 +46,13 @@ def few_rows(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and lets the shuffle files of the write go at once."""
     spark, flag = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path, before = new_path(spark, label), spark.conf.get(flag, "false")
     spark.conf.set(flag, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         spark.conf.set(flag, before)
     return spark.read.schema(df.schema).parquet(path)

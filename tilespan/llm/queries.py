@@ -10,6 +10,7 @@ _WHERE = {
     "op2_warc_index": "warc",
     "op3_pack_sequences": "packing",
     "op4_mix_sources": "mixing",
+    "op5_substring_dedup": "substring",
     "op7_quality_rules": "quality",
     "op8_simhash_components": "simhash",
     "op9_toxicity": "toxicity",
