@@ -11,6 +11,7 @@ _WHERE = {
     "op3_pack_sequences": "packing",
     "op4_mix_sources": "mixing",
     "op5_substring_dedup": "substring",
+    "op6_stupid_backoff": "lm",
     "op7_quality_rules": "quality",
     "op8_simhash_components": "simhash",
     "op9_toxicity": "toxicity",
