@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything).cast("double") - (F.sum("cap").over(order) - F.col("cap"))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     fits = F.col("level") * F.col("weight") <= F.col("cap")
-    levelled = ranked.withColumn("level", level).withColumn("level", F.min(F.when(fits, F.col("level"))).over(everything))
+    levelled = ranked.withColumn("level", level).withColumn("level", F.max(F.when(fits, F.col("level"))).over(everything))
     return levelled.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")))
 
 
@@ -135,7 +135,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER (ORDER BY cap / w, rank) - cap))
     / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
 found AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER (), 0) * w) AS target FROM levels),
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 0) * w) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, f.source_size, f.target, round(f.target)::BIGINT AS total,
     (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS before
