@@ -6,6 +6,8 @@ lines. The block directory keeps each block's first key, file, offset and length
 over the ranges' first keys, its block by binary search over that range's directory, reads the block's byte range, finds its
 lines by binary search, and reads the records' byte ranges. Lookups are sorted too, so that reads go forward.
 
+A capture's payload is shuffled once: the rows that say which captures are revisits go to the same ranges and stand before them.
+
 Of captures with equal payloads of at least LEAST bytes that of the smallest page_id is a response, the others are revisits of
 it; smaller ones are all responses. The archives lie in the shared folder and are reached by pyarrow's file systems. A
 retried task writes files of new names; only those that its rows name are ever read.
@@ -86,12 +88,16 @@ def _member(data: bytes, level: int = 3) -> bytes:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """key, page_id, url, payload, digest, and first: the page that a capture revisits, else null."""
+    """key, page_id, url, payload and digest of every capture."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("key", url_key(F.col("url"))).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    rows = rows.join(firsts, "digest", "left")
-    return rows.withColumn("first", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")))
+    return rows.withColumn("key", url_key(F.col("url"))).withColumn("digest", F.sha2("payload", 256))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """key, page_id, digest of the captures that revisit another, with that one as first."""
+    long = rows.where(F.octet_length("payload") >= LEAST).select("key", "page_id", "digest")
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    return long.join(firsts, "digest").where("page_id is null or page_id > first").select("key", "page_id", "digest", "first").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -104,6 +110,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         name = uuid.uuid4().hex
         archive = lines = None
         at = spot = 0
+        now, known = None, {}
         held: list[tuple[bytes, int | None, bytes]] = []
 
         def block():
@@ -120,10 +127,15 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["range", "first_key", "first_page", "file", "offset", "length"])
 
         for batch in batches:
-            for key, page, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, page, mark, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, page) != now:
+                    now, known = (key, page), {}
+                if mark == 0:
+                    known[digest] = first
+                    continue
                 if archive is None:
                     archive, lines = system.open_output_stream(f"{root}/{name}.warc.gz", compression=None), system.open_output_stream(f"{root}/{name}.cdx", compression=None)
-                data = _member(record(page, url, payload, digest, first))
+                data = _member(record(page, url, payload, digest, known.get(digest)))
                 archive.write(data)
                 held.append((key.encode(), page, f"{key} {'-' if page is None else page} {name}.warc.gz {at} {len(data)}".encode()))
                 at += len(data)
@@ -136,8 +148,11 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 f.close()
 
     few_rows(pages.sparkSession, 200)
-    rows = captures(pages).select("key", "page_id", "url", "payload", "digest", "first")
-    rows = rows.repartitionByRange("key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
+    rows = captures(pages)
+    marks = revisits(rows).select("key", "page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
+    both = marks.union(rows.select("key", "page_id", F.lit(1), "url", "payload", "digest", F.lit(None).cast("bigint")))
+    place = [F.col("key"), F.col("page_id").asc_nulls_last()]
+    rows = both.repartitionByRange(*place).sortWithinPartitions(*place, "mark")
     made = rows.mapInArrow(save, "range string, first_key string, first_page long, file string, offset long, length long")
     return materialise(made.withColumn("folder", F.lit(folder)), "directory")
 
