@@ -1 +1,100 @@
+"""Queries of the overlap graph."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import assembly
+from ..sources.binding import EV, OT, events, orders_tiling, table, track
+from .catalogue import query
+
+#: Length that two orders must hold of one nation to be compared.
+SHARED = 90
+PAIRS = f"""k AS (SELECT seq_id, feature FROM ot GROUP BY seq_id, feature HAVING sum("end" - "start") >= {SHARED}),
+ p AS (SELECT DISTINCT x.seq_id AS a, y.seq_id AS b FROM k x JOIN k y ON x.feature = y.feature AND x.seq_id < y.seq_id)"""
+
+
+def scorer(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    groups: dict = {}
+    for r in nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name").collect():
+        groups.setdefault(r.r_name, set()).add(r.n_name)
+    return assembly.Scorer([frozenset(groups[k]) for k in sorted(groups)])
+
+
+GATES = assembly.Gates(gap=0.1, min_overlap=30, min_identity=0.3, min_jaccard=0.15, transition=False)
+
+
+def graph(spark, sf):
+    rows = orders_tiling(spark, sf)
+    strings = assembly.label_strings(rows)
+    return strings, assembly.overlap_graph(assembly.candidate_pairs(rows, SHARED), strings, scorer(spark, sf), GATES)
+
+
+@query(f"WITH {OT}, {PAIRS} SELECT a, b FROM p")
+def candidate_pairs(spark, sf):
+    return assembly.candidate_pairs(orders_tiling(spark, sf), SHARED)
+
+
+@query(f"""WITH {OT}, {PAIRS}, f AS (SELECT DISTINCT seq_id, feature FROM ot), n AS (SELECT seq_id, count(*) AS n FROM f GROUP BY seq_id),
+ i AS (SELECT a, b, count(*) AS i FROM p JOIN f x ON x.seq_id = a JOIN f y ON y.seq_id = b AND x.feature = y.feature GROUP BY a, b)
+ SELECT a, b, round(i / (na.n + nb.n - i), 9) AS jaccard FROM i JOIN n na ON na.seq_id = a JOIN n nb ON nb.seq_id = b WHERE i / (na.n + nb.n - i) >= 0.15""")
+def jaccard_prefilter(spark, sf):
+    rows = orders_tiling(spark, sf)
+    got = assembly.with_jaccard(assembly.candidate_pairs(rows, SHARED), assembly.label_strings(rows), 0.15)
+    return got.select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query()
+def align_edges(spark, sf):
+    return graph(spark, sf)[1].withColumn("score", F.round("score", 6)).withColumn("identity", F.round("identity", 6))
+
+
+@query(f"""WITH RECURSIVE {OT}, {PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b)
+ SELECT node, min(root) AS root FROM r GROUP BY node""")
+def components(spark, sf):
+    return assembly.components(assembly.candidate_pairs(orders_tiling(spark, sf), SHARED))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey - o_orderkey % 10 + (o_orderkey + 1) % 10 AS b, o_orderkey % 7 = 0 AS flipped FROM orders),
+ d AS (SELECT a || '|' || s AS x, b || '|' || (CASE WHEN flipped THEN 1 - s ELSE s END) AS y FROM e, (VALUES (0), (1)) v(s)), u AS (SELECT x, y FROM d UNION SELECT y, x FROM d),
+ r AS (SELECT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node),
+ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+ SELECT regexp_replace(node, '\\|[01]$', '') AS node, count(DISTINCT root) = 1 AS conflict FROM m GROUP BY ALL""")
+def parity_conflict(spark, sf):
+    key = F.col("o_orderkey")
+    return assembly.orientation_conflicts(table(spark, sf, "orders").select(key.alias("a"), (key - key % 10 + (key + 1) % 10).alias("b"), (key % 7 == 0).alias("flipped")))
+
+
+def clustered(spark, sf):
+    strings, edges = graph(spark, sf)
+    edges = assembly.cut(edges)
+    found = assembly.communities(edges)
+    return strings, assembly.clusters(strings, found.select(F.col("node").alias("read_id"), F.col("label").alias("group")), assembly.orientation_conflicts(edges))
+
+
+@query()
+def communities(spark, sf):
+    return clustered(spark, sf)[1].where("size > 1")
+
+
+@query()
+def layout(spark, sf):
+    strings, members = clustered(spark, sf)
+    return assembly.layout(members.where("size > 1"), strings, scorer(spark, sf), assembly.Backbone())
+
+
+@query()
+def layout_consensus(spark, sf):
+    return assembly.consensus(assembly.cut(layout(spark, sf)))
+
+
+@query(f"""WITH {EV}, s AS (SELECT 'c' || (hash_key % 10) AS cluster_id, "start" AS s, "end" AS e, type FROM (SELECT *, substr(seq_id, 2)::INTEGER AS hash_key FROM ev)),
+ b AS (SELECT DISTINCT cluster_id, unnest([s, e]) AS p FROM s), c AS (SELECT cluster_id, p AS "start", lead(p) OVER (PARTITION BY cluster_id ORDER BY p) AS "end" FROM b),
+ v AS (SELECT c.cluster_id, c."start", c."end", type, count(*) AS n FROM c JOIN s ON s.cluster_id = c.cluster_id AND s.s <= c."start" AND s.e >= c."end" WHERE c."end" IS NOT NULL GROUP BY ALL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, "start" ORDER BY n DESC, type) AS r, sum(n) OVER (PARTITION BY cluster_id, "start") AS cov FROM v),
+ w AS (SELECT *, sum(CASE WHEN type = lt AND "start" = le THEN 0 ELSE 1 END) OVER (PARTITION BY cluster_id ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(type) OVER (PARTITION BY cluster_id ORDER BY "start") AS lt, lag("end") OVER (PARTITION BY cluster_id ORDER BY "start") AS le FROM t WHERE r = 1))
+ SELECT cluster_id, min("start") AS "start", max("end") AS "end", type AS feature, max(n) AS support, max(cov)::BIGINT AS coverage FROM w GROUP BY cluster_id, type, run""")
+def consensus_vote(spark, sf):
+    rows = track(events(spark, sf), "type")
+    return assembly.consensus(rows.withColumn("cluster_id", F.concat(F.lit("c"), (F.substring("seq_id", 2, 20).cast("int") % 10).cast("string"))).drop("seq_id"))
