@@ -1 +1,132 @@
+"""Queries of the older operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import colocalization, legacy
+from ..sources.binding import EV, OT, events, orders_tiling, table, track
+from .catalogue import query
+
+BIGRAMS = f"""WITH {EV}, b AS (SELECT seq_id, type AS f, "end" - "start" AS l, lead(type) OVER w AS g, lead("end" - "start") OVER w AS m FROM ev WINDOW w AS (PARTITION BY seq_id ORDER BY "start"))"""
+
+
+@query(BIGRAMS + " SELECT seq_id, f || '->' || g AS edge, count(*) AS n, sum(l)::DOUBLE AS weight FROM b WHERE g <> f GROUP BY ALL")
+def bigrams_directional(spark, sf):
+    return legacy.bigrams(track(events(spark, sf), "type"))
+
+
+@query(BIGRAMS + " SELECT seq_id, least(f, g) || '->' || greatest(f, g) AS edge, count(*) AS n, sum((l + m) / 2)::DOUBLE AS weight FROM b WHERE g <> f GROUP BY ALL")
+def bigrams_symmetric(spark, sf):
+    return legacy.bigrams(track(events(spark, sf), "type"), True)
+
+
+MATRIX = BIGRAMS + """, c AS (SELECT seq_id, 'edge' AS block, f || '->' || g AS name, count(*)::DOUBLE AS n FROM b WHERE g <> f GROUP BY ALL UNION ALL SELECT seq_id, 'abundance', f, sum(l)::DOUBLE FROM b GROUP BY ALL),
+ s AS (SELECT block, name, sum(ln(1 + n)) / (SELECT count(DISTINCT seq_id) FROM ev) AS mean, sum(ln(1 + n) ** 2) / (SELECT count(DISTINCT seq_id) FROM ev) AS sq FROM c GROUP BY ALL)"""
+
+
+@query(MATRIX + " SELECT seq_id, c.block, c.name, round((ln(1 + n) - mean) / sqrt(sq - mean * mean), 6) AS value FROM c JOIN s ON s.block = c.block AND s.name = c.name")
+def matrix_log1p_z(spark, sf):
+    m = legacy.long_matrix(track(events(spark, sf), "type"))
+    return m.select("seq_id", "block", "name", F.round("value", 6).alias("value"))
+
+
+@query(MATRIX + " SELECT seq_id, block, name, n / (SELECT max(\"end\") FROM ev e WHERE e.seq_id = c.seq_id) AS value FROM c WHERE block = 'abundance'")
+def matrix_length_weighted(spark, sf):
+    m = legacy.long_matrix(track(events(spark, sf), "type"), "length_weighted", edges=False)
+    return m.select("seq_id", "block", "name", "value")
+
+
+FISHER = """WITH m AS (SELECT c_nationkey AS cluster_id, o_orderstatus AS g FROM orders JOIN customer ON o_custkey = c_custkey),
+ n AS (SELECT cluster_id, count(*) FILTER (WHERE g = 'F') AS a, count(*) FILTER (WHERE g <> 'F') AS b FROM m GROUP BY ALL), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM n),
+ x AS (SELECT cluster_id, a, b, (ta - a) AS c, (tb - b) AS d, ta AS col, ta + tb AS tot, a + b AS rw FROM n, t),
+ k AS (SELECT *, unnest(range(greatest(0, rw + col - tot)::BIGINT, least(rw, col)::BIGINT + 1)) AS k FROM x),
+ l AS (SELECT *, lgamma(col + 1) - lgamma(k + 1) - lgamma(col - k + 1) + lgamma(tot - col + 1) - lgamma(rw - k + 1) - lgamma(tot - col - rw + k + 1) - (lgamma(tot + 1) - lgamma(rw + 1) - lgamma(tot - rw + 1)) AS lp FROM k),
+ o AS (SELECT cluster_id, max(lp) FILTER (WHERE k = a) AS obs FROM l GROUP BY cluster_id)"""
+
+
+@query(FISHER + """ SELECT l.cluster_id, max(a) AS control_in, max(b) AS treatment_in, round(max(a * d / (b * c)), 6) AS odds_ratio, round(least(1, sum(exp(lp)) FILTER (WHERE lp <= obs + 1e-7)), 6) AS p_value FROM l JOIN o ON l.cluster_id = o.cluster_id GROUP BY l.cluster_id""")
+def fisher_two_group(spark, sf):
+    m = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("cluster_id"), F.col("o_orderstatus").alias("group"))
+    return legacy.fisher_two_group(m, "F").select("cluster_id", "control_in", "treatment_in", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("p_value", 6).alias("p_value"))
+
+
+PER_SAMPLE = """WITH m AS (SELECT c_nationkey AS cluster_id, o_orderpriority AS sample, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ g AS (SELECT c.cluster_id, s.sample, coalesce(m.n, 0) AS a, s.t FROM (SELECT DISTINCT cluster_id FROM m) c CROSS JOIN (SELECT sample, sum(n) AS t FROM m GROUP BY sample) s LEFT JOIN m ON m.cluster_id = c.cluster_id AND m.sample = s.sample),
+ x AS (SELECT *, (sum(a) OVER (PARTITION BY cluster_id))::BIGINT AS rw, (sum(t) OVER (PARTITION BY cluster_id))::BIGINT AS tot FROM g),
+ k AS (SELECT *, unnest(range(a, least(rw, t)::BIGINT + 1)) AS k FROM x),
+ l AS (SELECT cluster_id, sample, a, exp(lgamma(t + 1) - lgamma(k + 1) - lgamma(t - k + 1) + lgamma(tot - t + 1) - lgamma(rw - k + 1) - lgamma(tot - t - rw + k + 1) - (lgamma(tot + 1) - lgamma(rw + 1) - lgamma(tot - rw + 1))) AS p FROM k)"""
+
+
+@query(PER_SAMPLE + " SELECT cluster_id, sample, max(a)::BIGINT AS n, round(least(1, sum(p)), 6) AS p_value FROM l GROUP BY cluster_id, sample")
+def fisher_per_sample(spark, sf):
+    m = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("cluster_id"), F.col("o_orderpriority").alias("sample"))
+    return legacy.fisher_per_sample(m).withColumn("p_value", F.round("p_value", 6))
+
+
+@query(PER_SAMPLE + """, p AS (SELECT cluster_id, sample, least(1, sum(p)) AS p FROM l GROUP BY cluster_id, sample), r AS (SELECT *, row_number() OVER (ORDER BY p, cluster_id, sample) AS r, count(*) OVER () AS n FROM p),
+ y AS (SELECT *, least(1, p * n / r * (SELECT sum(1 / i) FROM range(1, (SELECT count(*) FROM p) + 1) t(i))) AS raw FROM r)
+ SELECT cluster_id, sample, round(min(raw) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 5) AS q_value FROM y""")
+def fdr_by(spark, sf):
+    m = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("cluster_id"), F.col("o_orderpriority").alias("sample"))
+    return colocalization.adjusted(legacy.fisher_per_sample(m), order=["cluster_id", "sample"], dependent=True).select("cluster_id", "sample", F.round("q_value", 5).alias("q_value"))
+
+
+RANKS = """WITH v AS (SELECT {g} AS g, {v}::DOUBLE AS v FROM {t} WHERE {w}), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM v),
+ t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY v))"""
+
+
+@query(RANKS.format(g="l_returnflag", v="l_quantity", t="lineitem", w="true") + """ SELECT sum(m)::BIGINT AS n, count(*) AS k, round((12 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - max(t) / (sum(m) ** 3 - sum(m))), 6) AS h
+ FROM (SELECT g, sum(r) AS s, count(*)::DOUBLE AS m FROM r GROUP BY g), t""")
+def kruskal_h(spark, sf):
+    return legacy.kruskal(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag").withColumn("h", F.round("h", 6))
+
+
+@query(RANKS.format(g="o_orderstatus", v="round(o_totalprice / 1000)", t="orders", w="o_orderstatus IN ('F', 'O')") + """, s AS (SELECT sum(r) FILTER (WHERE g = 'F') - (count(*) FILTER (WHERE g = 'F')) * (count(*) FILTER (WHERE g = 'F') + 1) / 2 AS u, (count(*) FILTER (WHERE g = 'F'))::DOUBLE AS n1, (count(*) FILTER (WHERE g = 'O'))::DOUBLE AS n2 FROM r)
+ SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(1 - 2 * u / (n1 * n2), 9) AS rank_biserial, round((u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM s, t""")
+def mannwhitney_u(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("v", F.round(F.col("o_totalprice") / 1000))
+    return legacy.mann_whitney(rows, "v", "o_orderstatus", "F", "O").withColumn("rank_biserial", F.round("rank_biserial", 9)).withColumn("z", F.round("z", 6))
+
+
+@query("""SELECT column_name AS "column", round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(stddev_pop(v) / avg(v), 6) AS cv, round(100 * avg((v = 0)::INTEGER), 6) AS sparsity_pct, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr
+ FROM (SELECT 'l_quantity' AS column_name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY column_name""")
+def column_statistics(spark, sf):
+    got = legacy.column_statistics(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return got.select("column", *[F.round(c, 6).alias(c) for c in ("mean", "std", "cv", "sparsity_pct", "q25", "q75", "iqr")])
+
+
+@query("SELECT a, b, round(r, 6) AS r FROM (SELECT 'l_quantity' AS a, 'l_tax' AS b, corr(l_quantity, l_tax) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', corr(l_quantity, l_extendedprice) FROM lineitem)")
+def correlations(spark, sf):
+    got = legacy.correlation(table(spark, sf, "lineitem"), ["l_quantity", "l_tax", "l_extendedprice"])
+    return got.where("a = 'l_quantity' and b <> 'l_quantity'").withColumn("r", F.round("r", 6))
+
+
+STRUCT = f"""WITH {EV}, n AS (SELECT type, row_number() OVER (ORDER BY type) AS k FROM (SELECT DISTINCT type FROM ev)), s AS (SELECT seq_id, string_agg(chr((64 + k)::INTEGER), '' ORDER BY "start") AS structure FROM ev JOIN n ON n.type = ev.type GROUP BY seq_id),
+ d AS (SELECT DISTINCT right(seq_id, 1) AS grp, structure FROM s)"""
+
+
+@query(STRUCT + " SELECT x.grp, x.structure AS a, y.structure AS b, levenshtein(x.structure, y.structure)::INTEGER AS distance FROM d x JOIN d y ON x.grp = y.grp AND x.structure < y.structure")
+def levenshtein_structures(spark, sf):
+    found = legacy.structures(track(events(spark, sf), "type")).withColumn("grp", F.right("seq_id", F.lit(1)))
+    return legacy.structure_distances(found, "grp")
+
+
+@query(f"""WITH {OT} SELECT seq_id, max("end") AS read_length, sum(CASE WHEN feature = 'NATION_1' THEN "end" - "start" ELSE 0 END)::BIGINT AS "NATION_1_bp", sum(CASE WHEN feature = 'NATION_2' THEN "end" - "start" ELSE 0 END)::BIGINT AS "NATION_2_bp",
+ round(100 * sum(CASE WHEN feature = 'NATION_1' THEN "end" - "start" ELSE 0 END) / max("end"), 2) AS "NATION_1_pct", round(100 * sum(CASE WHEN feature = 'NATION_2' THEN "end" - "start" ELSE 0 END) / max("end"), 2) AS "NATION_2_pct" FROM ot GROUP BY seq_id""")
+def chromosome_coverage(spark, sf):
+    return legacy.coverage_of(orders_tiling(spark, sf), ["NATION_1", "NATION_2"])
+
+
+@query(f"""WITH {EV}, m AS (SELECT seq_id, coalesce(avg(("start" + "end") / 2) FILTER (WHERE type = 'error'), avg(("start" + "end") / 2) FILTER (WHERE type = 'view')) > max("end") / 2 AS flip, max("end") AS len FROM ev GROUP BY seq_id)
+ SELECT ev.seq_id, CASE WHEN flip THEN len - "end" ELSE "start" END AS "start", CASE WHEN flip THEN len - "start" ELSE "end" END AS "end", type AS feature, coalesce(flip, false) AS reversed FROM ev JOIN m ON m.seq_id = ev.seq_id""")
+def orient_reads(spark, sf):
+    return legacy.orient(track(events(spark, sf), "type"), ["error"], ["view"])
+
+
+@query(f"""WITH {EV} SELECT type || ':' || band AS feature, type AS layer_1, band AS layer_2, CASE WHEN type LIKE 'v%' OR type LIKE 'cl%' THEN type || ':' || band ELSE 'collapsed' END AS kept, type = 'signup' OR band LIKE 'h%' AS excluded, count(*) AS n FROM ev GROUP BY ALL""")
+def label_filters(spark, sf):
+    label = F.concat_ws(":", "type", "band")
+    parts = legacy.layers(label, 2)
+    rows = events(spark, sf).select(label.alias("feature"), parts[0].alias("layer_1"), parts[1].alias("layer_2"), legacy.keep_prefixes(label, ["v", "cl"], "collapsed").alias("kept"), legacy.matches_any(label, ["signup", "h*"]).alias("excluded"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
