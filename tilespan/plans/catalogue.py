@@ -65,13 +65,12 @@ def ann_orders_tiling(spark, sf):
     return orders_tiling(spark, sf)
 
 
-@query(f"""WITH {EV}, bad AS (SELECT seq_id, "start", CASE WHEN event_id % 101 = 0 THEN "end" + 2 WHEN event_id % 103 = 0 THEN "start" ELSE "end" END AS "end", event_id FROM ev WHERE event_id % 97 <> 0)
+@query(f"""WITH {EV}, bad AS (SELECT seq_id, "start", CASE WHEN type = 'error' THEN "end" + 2 WHEN type = 'signup' THEN "end" - 1 WHEN type = 'view' AND band = 'hi' THEN "start" ELSE "end" END AS "end", event_id FROM ev)
   SELECT * FROM (SELECT seq_id, "start", "end", event_id, CASE WHEN "end" <= "start" THEN 'empty' WHEN "start" > b THEN 'gap' WHEN "start" < b THEN 'overlap' END AS kind
     FROM (SELECT *, lag("end") OVER (PARTITION BY seq_id ORDER BY "start", "end") AS b FROM bad)) WHERE kind IS NOT NULL""")
 def c4_violations(spark, sf):
-    end = F.when(F.col("event_id") % 101 == 0, F.col("end") + 2).when(F.col("event_id") % 103 == 0, F.col("start")).otherwise(F.col("end"))
-    bad = events(spark, sf).where("event_id % 97 <> 0").select("seq_id", "start", end.alias("end"), "event_id")
-    return files.broken_tiles(bad)
+    end = F.when(F.col("type") == "error", F.col("end") + 2).when(F.col("type") == "signup", F.col("end") - 1).when((F.col("type") == "view") & (F.col("band") == "hi"), F.col("start")).otherwise(F.col("end"))
+    return files.broken_tiles(events(spark, sf).select("seq_id", "start", end.alias("end"), "event_id"))
 
 
 @query(f"""WITH {EV}, {EDGES}, bad AS (SELECT 'type' AS feature_set, CASE WHEN event_id % 50 = 0 THEN 'novel' WHEN event_id % 51 = 0 THEN 'odd' || (event_id % 3) ELSE type END AS feature FROM ev)
@@ -81,13 +80,14 @@ def c2_violations(spark, sf):
     return H.unknown_labels(events(spark, sf).select(F.lit("type").alias("feature_set"), label.alias("feature")), hier_events(spark))
 
 
-@query(f"""WITH {EV}, t AS (SELECT 'type' AS track, seq_id, min("start") AS s, max("end") AS e FROM ev WHERE NOT (seq_id = 'u1') GROUP BY seq_id
-  UNION ALL SELECT 'band', seq_id, min("start"), max("end") + (CASE WHEN seq_id LIKE '%7' THEN 5 ELSE 0 END) FROM ev GROUP BY seq_id)
+@query(f"""WITH {EV}, t AS (SELECT 'type' AS track, seq_id, min("start") AS s, max("end") AS e FROM ev GROUP BY seq_id HAVING count(*) > 60
+  UNION ALL SELECT 'band', seq_id, min("start"), max(CASE WHEN band = 'hi' THEN "end" + 5 ELSE "end" END) FROM ev GROUP BY seq_id)
   SELECT seq_id, CASE WHEN count(DISTINCT track) < 2 THEN 'missing' ELSE 'span' END AS problem FROM t GROUP BY seq_id HAVING count(DISTINCT track) < 2 OR min(s) <> max(s) OR min(e) <> max(e)""")
 def x1_track_mismatches(spark, sf):
     ev = events(spark, sf)
-    longer = ev.withColumn("end", F.when(F.col("seq_id").endswith("7"), F.col("end") + 5).otherwise(F.col("end")))
-    return I.track_mismatches({"type": track(ev.where("seq_id <> 'u1'"), "type"), "band": track(longer, "band")})
+    many = ev.groupBy("seq_id").agg(F.count("*").alias("n")).where("n > 60").select("seq_id")
+    longer = ev.withColumn("end", F.when(F.col("band") == "hi", F.col("end") + 5).otherwise(F.col("end")))
+    return I.track_mismatches({"type": track(ev.join(many, "seq_id"), "type"), "band": track(longer, "band")})
 
 
 # hierarchy
@@ -341,10 +341,10 @@ def bin_strided_window(spark, sf):
     return binning.bin_strided(track(events(spark, sf), "type"), type_edges(spark), 201, 50, 0.3, "window")
 
 
-@query(descent_sql("""wt AS (SELECT seq_id, p AS "start", p + 1 AS "end", feature, count(*) AS w FROM (SELECT a.seq_id, a.p, b.type AS feature FROM (SELECT seq_id, unnest(range("start", "end")) AS p FROM ev WHERE seq_id LIKE 'u%1') a
-   JOIN (SELECT seq_id, unnest(range("start", "end")) AS q, type FROM ev WHERE seq_id LIKE 'u%1') b ON a.seq_id = b.seq_id AND q BETWEEN p - 10 AND p + 10) GROUP BY seq_id, p, feature)""", 0.5, "node"))
+@query(descent_sql("""wt AS (SELECT seq_id, p AS "start", p + 1 AS "end", feature, count(*) AS w FROM (SELECT a.seq_id, a.p, b.type AS feature FROM (SELECT seq_id, unnest(range("start", "end")) AS p FROM ev) a
+   JOIN (SELECT seq_id, unnest(range("start", "end")) AS q, type FROM ev) b ON a.seq_id = b.seq_id AND q BETWEEN p - 10 AND p + 10) GROUP BY seq_id, p, feature)""", 0.5, "node"))
 def bin_exact(spark, sf):
-    return binning.bin_annotations(track(events(spark, sf), "type").where("seq_id like 'u%1'"), type_edges(spark), 21, 1)
+    return binning.bin_annotations(track(events(spark, sf), "type"), type_edges(spark), 21, 1)
 
 
 @query(f"""WITH {EV}, w AS (SELECT seq_id, sum("end" - "start") AS total, sum(CASE WHEN type = 'error' THEN "end" - "start" ELSE 0 END) AS nv FROM ev GROUP BY seq_id)
@@ -437,7 +437,7 @@ def customer_groups(spark, sf):
     return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("read_id"), F.col("c_mktsegment").alias("group"), F.col("o_custkey").alias("cluster_id"))
 
 
-ENRICH = """WITH m AS (SELECT o_custkey AS cluster_id, c_mktsegment || o_orderstatus AS "group" FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW'),
+ENRICH = """WITH m AS (SELECT o_custkey AS cluster_id, c_mktsegment || o_orderstatus AS "group" FROM orders JOIN customer ON o_custkey = c_custkey),
  c AS (SELECT cluster_id, "group", count(*) AS n FROM m GROUP BY ALL), t AS (SELECT "group", sum(n) AS gt FROM c GROUP BY ALL), z AS (SELECT cluster_id, sum(n) AS n_total, count(*) AS present FROM c GROUP BY ALL),
  f AS (SELECT z.cluster_id, t."group", coalesce(c.n, 0) AS n, n_total::BIGINT AS n_total, present, coalesce(c.n, 0) / gt AS frac, n_total / (SELECT sum(n) FROM c) AS pool FROM z CROSS JOIN t LEFT JOIN c ON c.cluster_id = z.cluster_id AND c."group" = t."group"),
  l AS (SELECT *, CASE WHEN n > 0 THEN log2(frac / pool) ELSE '-inf'::DOUBLE END AS log2fc FROM f),
@@ -446,7 +446,7 @@ ENRICH = """WITH m AS (SELECT o_custkey AS cluster_id, c_mktsegment || o_orderst
 
 
 def enriched(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return clusters.enrichment(rows.select(F.col("o_orderkey").alias("read_id"), F.col("o_custkey").alias("cluster_id")), rows.select(F.col("o_orderkey").alias("read_id"), F.concat("c_mktsegment", "o_orderstatus").alias("group")))
 
 
@@ -519,8 +519,8 @@ class _Sets(dict):
 LABEL_ROLES = _Sets(telomere=["view", "click"], canonical=["view"], its_tar1=["error"], satellite=["purchase", "signup"], noncanonical=["click"], ct=[], arm=[])
 
 
-@query(f"""WITH {EV}, k AS (SELECT seq_id, 'chr' || (1 + (row_number() OVER (PARTITION BY seq_id ORDER BY "start")) // 6) || ':' || type AS feature, "start", "end" FROM ev WHERE "start" >= 100),
- c AS (SELECT *, split_part(feature, ':', 2) AS f, min("start") OVER (PARTITION BY seq_id) AS s0, max("end") OVER (PARTITION BY seq_id) AS e0 FROM k WHERE "start" < 900),
+@query(f"""WITH {EV}, k AS (SELECT seq_id, 'chr' || (1 + (row_number() OVER (PARTITION BY seq_id ORDER BY "start")) // 6) || ':' || type AS feature, "start", "end" FROM ev),
+ c AS (SELECT *, split_part(feature, ':', 2) AS f, min("start") OVER (PARTITION BY seq_id) AS s0, max("end") OVER (PARTITION BY seq_id) AS e0 FROM k),
  d AS (SELECT *, sum(CASE WHEN f = 'view' THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS run FROM c),
  l AS (SELECT *, sum(CASE WHEN f = 'view' THEN "end" - "start" ELSE 0 END) OVER (PARTITION BY seq_id, run) AS block FROM d),
  x AS (SELECT seq_id, bool_or(f IN ('view', 'click') AND "start" < s0 + 0.15 * (e0 - s0)) AS a, bool_or(f IN ('view', 'click') AND NOT ("start" < s0 + 0.15 * (e0 - s0)) AND "end" > e0 - 0.15 * (e0 - s0)) AS b,
@@ -532,7 +532,7 @@ def cluster_labels(spark, sf):
     from pyspark.sql.window import Window
 
     n = F.row_number().over(Window.partitionBy("cluster_id").orderBy("start"))
-    segments = consensus_of(spark, sf)[0].where("start >= 100").withColumn("feature", F.concat(F.lit("chr"), (1 + F.floor(n / 6)).cast("string"), F.lit(":"), "feature")).where("start < 900")
+    segments = consensus_of(spark, sf)[0].withColumn("feature", F.concat(F.lit("chr"), (1 + F.floor(n / 6)).cast("string"), F.lit(":"), "feature"))
     sizes = segments.groupBy("cluster_id").agg(F.count("*").alias("size"), F.max("end").alias("width"))
     return clusters.labels(sizes, segments, LABEL_ROLES, alt_bp=200).drop("consensus_signature")
 
