@@ -25,8 +25,10 @@ from pyspark.sql.window import Window
 from .common import cached, few_rows, materialise, ship
 
 SEQUENCE, GRAIN, END = 2048, 8, 1
-#: Pieces in one chunk of a bin's ranking, and of the residual's layout.
-CHUNK = 1 << 16
+#: Pieces in one chunk of a bin's ranking, and in one group of the residual's layout.
+CHUNK, GROUP = 1 << 12, 1 << 12
+#: Pieces to cut of which the numbers are sent to every task (24 bytes each); more are joined by a shuffle.
+FEW = 100_000
 
 
 def encoder(vocabulary: str, ranks: str):
@@ -204,14 +206,15 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int
     combined = placed.where("sequence_id >= 0").withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
     combined = combined.select(*names, "sequence_id", "offset", F.lit(0).cast("bigint").alias("skip"))
 
-    loose = placed.where("sequence_id < 0").withColumn("group", F.expr(f"rest div {CHUNK}"))
+    loose = placed.where("sequence_id < 0").withColumn("group", F.expr(f"rest div {GROUP}"))
     sums = loose.groupBy("bin", "group").agg(F.sum("length").alias("size"))
     sums = sums.withColumn("before", F.sum("size").over(Window.orderBy("bin", "group")) - F.col("size")).drop("size")
     within = Window.partitionBy("bin", "group").orderBy("rest").rowsBetween(Window.unboundedPreceding, 0)
     loose = loose.withColumn("at", F.sum("length").over(within) - F.col("length")).join(sums, ["bin", "group"]).withColumn("at", F.col("at") + F.col("before"))
-    loose = loose.withColumn("room", window - F.col("at") % window).withColumn("base", F.expr(f"{sequences + whole} + at div {window}"))
+    loose = materialise(loose.withColumn("room", window - F.col("at") % window).withColumn("base", F.expr(f"{sequences + whole} + at div {window}")), "loose")
     uncut = loose.where("length <= room").select(*names, F.col("base").alias("sequence_id"), (F.col("at") % window).alias("offset"), F.lit(0).cast("bigint").alias("skip"))
-    split = loose.where("length > room").select("uid", "room", "base").join(cut, "uid")
+    split = loose.where("length > room").select("uid", "room", "base")
+    split = cut.join(F.broadcast(split) if split.count() <= FEW else split, "uid")
 
     def halve(batches):
         for batch in batches:
