@@ -1 +1,3 @@
 """Interval-annotation analytics on Spark."""
+
+__version__ = "0.1.0"

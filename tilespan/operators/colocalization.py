@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 WINDOWS = (0, 1_000, 10_000, 50_000)
@@ -85,7 +86,7 @@ def stratified(experiment, control, windows: Sequence[int] = WINDOWS) -> DataFra
     return got.withColumn("odds_ratio", odds).drop("sa", "se", "sv", "up", "down")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(statistic: pd.Series) -> pd.Series:
     """P(chi-squared of one degree > statistic); 1 for null."""
     return statistic.map(lambda x: 1.0 if x is None or x != x else math.erfc(math.sqrt(max(x, 0.0) / 2)))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 # label bigrams and matrices
@@ -181,7 +182,7 @@ def fisher_p(a: int, b: int, c: int, d: int, greater: bool = False) -> float:
 
 
 def fisher_udf(greater: bool = False):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([fisher_p(int(w), int(x), int(y), int(z), greater) for w, x, y, z in zip(a, b, c, d, strict=True)])
 

@@ -253,16 +253,14 @@ def density_terminal(spark, sf):
     return d.select("seq_id", "feature", *[F.round(c, 9).alias(c) for c in ("dfirst", "dlast", "dterminal", "dterminal_min")])
 
 
-CATEGORY = F.when(F.col("feature").isin("view", "click"), "look").when(F.col("feature").isin("purchase", "signup"), "act").otherwise("other")
-
-
 @query(f"""WITH {EV}, c AS (SELECT seq_id, "start", "end", CASE WHEN type IN ('view', 'click') THEN 'look' WHEN type IN ('purchase', 'signup') THEN 'act' ELSE 'other' END AS c FROM ev),
  t AS (SELECT seq_id, count(*) FILTER (WHERE c <> b) AS n FROM (SELECT *, lag(c) OVER (PARTITION BY seq_id ORDER BY "start") AS b FROM c) GROUP BY seq_id),
  u AS (SELECT seq_id, count(*) FILTER (WHERE c <> b) AS n FROM (SELECT *, lag(c) OVER (PARTITION BY seq_id ORDER BY "start") AS b FROM c WHERE c <> 'other') GROUP BY seq_id),
  k AS (SELECT seq_id, (max("end") - min("start")) / 1000 AS kb FROM ev GROUP BY seq_id)
  SELECT k.seq_id, round_even(t.n / kb, 2) AS total, round_even(coalesce(u.n, 0) / kb, 2) AS look_act FROM k JOIN t ON t.seq_id = k.seq_id LEFT JOIN u ON u.seq_id = k.seq_id""")
 def interspersion(spark, sf):
-    return measures.interspersion(track(events(spark, sf), "type"), CATEGORY, {"look_act": ({"look"}, {"act"})})
+    category = F.when(F.col("feature").isin("view", "click"), "look").when(F.col("feature").isin("purchase", "signup"), "act").otherwise("other")
+    return measures.interspersion(track(events(spark, sf), "type"), category, {"look_act": ({"look"}, {"act"})})
 
 
 @query(f"""WITH {EV}, {LONG}, {FRAC} SELECT feature_set, feature, round(median(frac), 9) AS median_nonzero, count(*) AS n_nonzero, round(least(0.05, greatest(0.001, median(frac) / 3)), 9) AS threshold
