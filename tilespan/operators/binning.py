@@ -8,60 +8,81 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.hierarchy import NOVEL, closure
+from ..functions.hierarchy import NOVEL
 from ..functions.intervals import coalesce_runs
 
 WINDOW, STEP, MAJORITY, NOVEL_MIN = 101, 1, 0.5, 0.5
 
 
-def tree(edges: DataFrame) -> DataFrame:
-    """node, ancestor, depth of both and the ancestor's parent, for one featureset; the root is left out. With several roots an unnamed root stands above them."""
-    closed = closure(edges)
-    tops = closed.groupBy("node").agg(F.max("distance").alias("d"), F.max_by("ancestor", "distance").alias("top"))
-    single = tops.select("top").distinct().count() == 1
-    parent = edges.select(F.col("child").alias("ancestor"), F.col("parent"))
-    out = closed.join(tops.select("node", F.col("d").alias("node_depth")), "node").join(tops.select(F.col("node").alias("ancestor"), F.col("d").alias("depth")), "ancestor").join(parent, "ancestor", "left")
-    if single:
-        return out.where("depth > 0").select("node", "ancestor", "node_depth", "depth", "parent")
-    return out.select("node", "ancestor", (F.col("node_depth") + 1).alias("node_depth"), (F.col("depth") + 1).alias("depth"), F.coalesce("parent", F.lit("")).alias("parent"))
-
-
-def descend(weights: DataFrame, edges: DataFrame, keys: Sequence[str], majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN) -> DataFrame:
+class Tree:
+    """A label tree in the driver (a few hundred nodes at most): children, subtrees and depths, with an unnamed root above several roots."""
+
+    def __init__(self, edges: DataFrame, labels: Sequence[str]):
+        up = {r.child: r.parent for r in edges.select("child", "parent").collect()}
+        tops = sorted({p for p in up.values() if p not in up})
+        self.root = tops[0] if len(tops) == 1 else ""
+        self.parent = dict(up) if len(tops) == 1 else {**dict.fromkeys(tops, ""), **up}
+        self.parent.update({x: self.root for x in labels if x not in self.parent and x not in (self.root, NOVEL)})
+        self.children: dict[str, list[str]] = {}
+        for child in sorted(self.parent):
+            self.children.setdefault(self.parent[child], []).append(child)
+        self.depth, self.below = {self.root: 0}, {}
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            for child in self.children.get(node, []):
+                self.depth[child] = self.depth[node] + 1
+                stack.append(child)
+        for x in sorted(self.depth, key=self.depth.get, reverse=True):
+            self.below[x] = {x}.union(*(self.below[c] for c in self.children.get(x, [])))
+
+
+def descend(weights: DataFrame, edges: DataFrame, keys: Sequence[str], majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN, labels: Sequence[str] | None = None) -> DataFrame:
     """keys, feature: the majority label of each window of weights (keys, feature, w).
 
     novel wins if it holds novel_min of the weight, else it is left out. From the root down, the heaviest child (then the
     deepest, then the last by name) is entered while its subtree holds more than majority of the node's weight (scope node) or of
-    all (window). If none is entered at the top, the heaviest label wins.
+    all (window). If none is entered at the top, the heaviest label wins. The tree is compiled into columns: one aggregation
+    gives a window's weight of every label, subtree weights are sums of those, each node's heaviest child is a greatest(), and
+    the way down is one CASE. labels: those that may occur; read from weights if not given.
     """
     keys = list(keys)
-    rows = weights.where("w > 0").groupBy(*keys, "feature").agg(F.sum("w").alias("w"))
-    every = Window.partitionBy(*keys)
-    rows = rows.withColumn("_all", F.sum("w").over(every)).withColumn("_novel", F.sum(F.when(F.col("feature") == NOVEL, F.col("w")).otherwise(0)).over(every))
-    is_novel = (F.col("_novel") > 0) & ((F.col("_novel") >= novel_min * F.col("_all")) | (F.col("_novel") == F.col("_all")))
-    called = rows.where(is_novel).select(*keys, F.lit(NOVEL).alias("feature")).distinct()
-    rows = rows.where(~is_novel & (F.col("feature") != NOVEL)).withColumn("_total", F.col("_all") - F.col("_novel")).select(*keys, "feature", "w", "_total")
-    line = F.broadcast(tree(edges))  # a label tree: a few hundred nodes at most
-    known = rows.join(line.withColumnRenamed("node", "feature"), "feature", "left")
-    own = F.col("ancestor").isNull()
-    known = known.select(*keys, "feature", "w", "_total", F.coalesce("ancestor", "feature").alias("node"), F.coalesce("depth", F.lit(1)).alias("depth"), F.when(own, "").otherwise(F.col("parent")).alias("parent"), F.coalesce("node_depth", F.lit(1)).alias("own_depth"))
-    top = F.when(F.col("depth") == 1, "").otherwise(F.col("parent"))
-    sub = known.groupBy(*keys, "node", "depth", top.alias("parent"), "_total").agg(F.sum("w").alias("sub"))
-    best = sub.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "parent").orderBy(F.desc("sub"), F.desc("depth"), F.desc("node")))).where("_n = 1").drop("_n")
-    if scope == "node":
-        above = sub.select(*keys, F.col("node").alias("parent"), F.col("sub").alias("_base"))
-        best = best.join(above, [*keys, "parent"], "left").withColumn("_base", F.coalesce("_base", "_total"))
-    else:
-        best = best.withColumn("_base", F.col("_total"))
-    passed = best.where(F.col("sub") > majority * F.col("_base")).select(*keys, "node", "depth")
-    lines = line.select("node", "ancestor").union(line.select("node", F.col("node").alias("ancestor"))).distinct()
-    met = passed.join(lines, "node", "left").withColumn("ancestor", F.coalesce("ancestor", "node"))
-    reached = met.join(passed.select(*keys, F.col("node").alias("ancestor")), [*keys, "ancestor"]).groupBy(*keys, "node", "depth").count().where("count = depth")
-    deepest = reached.groupBy(*keys).agg(F.max_by("node", "depth").alias("_deep"))
-    flat = rows.join(line.groupBy(F.col("node").alias("feature")).agg(F.max("node_depth").alias("own_depth")), "feature", "left")
-    plural = flat.groupBy(*keys).agg(F.max(F.struct("w", F.coalesce("own_depth", F.lit(1)).alias("d"), "feature"))["feature"].alias("_flat"))
-    return plural.join(deepest, keys, "left").select(*keys, F.coalesce("_deep", "_flat").alias("feature")).union(called)
+    labels = sorted(labels if labels is not None else (r[0] for r in weights.select("feature").distinct().collect()))
+    tree = Tree(edges, labels)
+    held = weights.where("w > 0").groupBy(*keys).agg(*[F.sum(F.when(F.col("feature") == x, F.col("w")).otherwise(0)).alias(f"_w{k}") for k, x in enumerate(labels)])
+    column = {x: F.col(f"_w{k}") for k, x in enumerate(labels)}
+    known = [x for x in labels if x != NOVEL]
+
+    def total(names):
+        return sum((column[x] for x in names if x in column and x != NOVEL), F.lit(0))
+
+    inner = [n for n in tree.children if tree.below[n] & set(known)]
+    sub = {n: f"_s{k}" for k, n in enumerate(sorted(tree.depth)) if tree.below[n] & set(known)}
+    held = held.withColumns({c: total(sorted(tree.below[n])) for n, c in sub.items()})
+    best = {}
+    for k, n in enumerate(sorted(inner)):
+        tried = [F.struct(F.col(sub[c]).alias("w"), F.lit(tree.depth[c]).alias("d"), F.lit(c).alias("n")) for c in tree.children[n] if c in sub]
+        if tried:
+            best[n] = f"_b{k}", (tried[0] if len(tried) == 1 else F.greatest(*tried))
+    flat = [F.struct(column[x].alias("w"), F.lit(tree.depth.get(x, 1)).alias("d"), F.lit(x).alias("n")) for x in known]
+    held = held.withColumns({c: e for c, e in best.values()} | {"_all": total(known), "_novel": column.get(NOVEL, F.lit(0))} | {"_flat": (flat[0] if len(flat) == 1 else F.greatest(*flat))["n"] if flat else F.lit(NOVEL)})
+
+    def down(node):
+        here = F.col("_flat") if node == tree.root else F.lit(node)
+        if node not in best:
+            return here
+        top = F.col(best[node][0])
+        base = F.col(sub[node]) if scope == "node" and node in sub else F.col("_all")
+        deeper = F.lit(None).cast("string")
+        for child in tree.children[node]:
+            if child in sub:
+                deeper = F.when(top["n"] == child, down(child)).otherwise(deeper)
+        return F.when((top["w"] > 0) & (top["w"] > majority * base), deeper).otherwise(here)
+
+    everything = F.col("_all") + F.col("_novel")
+    is_novel = (F.col("_novel") > 0) & ((F.col("_novel") >= novel_min * everything) | (F.col("_all") == 0))
+    return held.select(*keys, F.when(is_novel, NOVEL).otherwise(down(tree.root)).alias("feature"))
 
 
 def windows(rows: DataFrame, window: int, step: int) -> DataFrame:
@@ -74,17 +95,18 @@ def windows(rows: DataFrame, window: int, step: int) -> DataFrame:
 
 
 def window_weights(rows: DataFrame, tiles: DataFrame, window: int) -> DataFrame:
-    """seq_id, start, end, feature, w: label lengths in each window. Rows and windows meet in coordinate bins a window wide."""
+    """seq_id, start, end, feature, w: label lengths in each window, to be summed. Rows and windows meet in coordinate bins a window wide."""
     size = max(window, 64)
     a = tiles.withColumn("_bin", F.explode(F.sequence(F.expr(f"low div {size}"), F.expr(f"(high - 1) div {size}"))))
     b = rows.select("seq_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "feature").withColumn("_bin", F.explode(F.sequence(F.expr(f"_s div {size}"), F.expr(f"(_e - 1) div {size}"))))
-    met = a.join(b, ["seq_id", "_bin"]).withColumn("w", F.least("high", "_e", (F.col("_bin") + 1) * size) - F.greatest("low", "_s", F.col("_bin") * size)).where("w > 0")
-    return met.groupBy("seq_id", "start", "end", "feature").agg(F.sum("w").alias("w"))
+    met = a.join(b, ["seq_id", "_bin"]).withColumn("w", F.least("high", "_e", (F.col("_bin") + 1) * size) - F.greatest("low", "_s", F.col("_bin") * size))
+    return met.select("seq_id", "start", "end", "feature", "w").where("w > 0")
 
 
 def bin_strided(rows: DataFrame, edges: DataFrame, window: int = WINDOW, step: int = 10, majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN) -> DataFrame:
     """One label for each tile of step bases, by the window around its centre; equal neighbours joined."""
-    called = descend(window_weights(rows, windows(rows, window, step), window), edges, ["seq_id", "start", "end"], majority, scope, novel_min)
+    labels = [r[0] for r in rows.select("feature").distinct().collect()]
+    called = descend(window_weights(rows, windows(rows, window, step), window), edges, ["seq_id", "start", "end"], majority, scope, novel_min, labels)
     return coalesce_runs(called.select("seq_id", "start", "end", "feature"))
 
 

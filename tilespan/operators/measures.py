@@ -52,11 +52,21 @@ def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str]
     ends = runs.groupBy(*own).agg(
         F.greatest(F.max("v"), F.max(F.col("v") + F.col("gain"))).alias("hi"), F.least(F.min("v"), F.min(F.col("v") + F.col("gain"))).alias("lo"), F.first("v0").alias("a"), F.max(F.when(tail, F.col("v") + F.col("gain"))).alias("b")
     )
-    size = F.col("next") - F.col("p") + F.when(tail, 1).otherwise(0)
-    sized = runs.withColumn("n", size).where("n > 0")
-    flat = sized.where("slope = 0").select(*own, F.col("v").alias("x"), "n")
-    sloped = sized.where("slope <> 0").select(*own, F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.col("v") + F.col("slope") * i)).alias("x"), F.lit(1).cast("bigint").alias("n"))
-    middle = flat.union(sloped).groupBy(*own).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("mid"))
+    # a flat run holds one value n times, a sloped one each of n neighbouring values once: steps of the values' counts
+    n = F.col("next") - F.col("p") + F.when(tail, 1).otherwise(0)
+    far = F.col("v") + F.col("slope") * (F.col("n") - 1)
+    low, high, held = F.least("v", far), F.greatest("v", far), F.when(F.col("slope") == 0, F.col("n")).otherwise(1)
+    counts = runs.withColumn("n", n).where("n > 0").select(*own, "_last", F.explode(F.array(F.struct(low.alias("x"), held.alias("d")), F.struct((high + 1).alias("x"), (-held).alias("d")))).alias("c"))
+    counts = counts.groupBy(*own, "_last", F.col("c.x").alias("x")).agg(F.sum("c.d").alias("d"))
+    by_value = Window.partitionBy(*own).orderBy("x")
+    counts = counts.withColumn("each", F.sum("d").over(by_value.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.col("each") * (F.coalesce(F.lead("x").over(by_value), "x") - F.col("x"))).where("n > 0")
+    counts = counts.withColumn("upto", F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def ranked(rank):
+        inside = (F.expr(rank) < F.col("upto")) & (F.expr(rank) >= F.col("upto") - F.col("n"))
+        return F.max(F.when(inside, F.col("x") + F.floor((F.expr(rank) - F.col("upto") + F.col("n")) / F.col("each"))))
+
+    middle = counts.groupBy(*own).agg(((ranked("_last div 2") + ranked("(_last + 1) div 2")) / 2).alias("mid"))
     out = ends.join(middle, own).select(*own, *[(c / window).alias(n) for n, c in zip(DENSITIES, (F.col("hi"), F.col("lo"), F.col("mid"), F.col("a"), F.col("b"), F.greatest("a", "b"), F.least("a", "b")), strict=True)])
     return out.union(short)
 
