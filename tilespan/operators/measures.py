@@ -96,13 +96,14 @@ def long_metrics(rows: DataFrame, window: int = WINDOW, gap: int = GAP) -> DataF
     keys = ["feature_set", "seq_id"]
     shares = feature_fraction(rows, keys)
 
-    def named(df, metric, value):
-        return df.select("seq_id", F.concat_ws("__", "feature_set", F.lit(metric), "feature").alias("name"), value.cast("double").alias("value"))
-
-    dense = window_densities(rows, window, keys)
-    parts = [named(shares, "bp", F.col("bp")), named(shares, "frac", F.col("frac"))] + [named(dense, d, F.col(d)) for d in DENSITIES]
-    parts.append(named(max_block(rows, [*keys, "feature"], gap), "max_block_bp", F.col("max_block")))
-    parts.append(rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("t")).select("seq_id", F.concat_ws("__", "feature_set", F.lit("total_bp")).alias("name"), F.col("t").cast("double").alias("value")))
+    def named(df, metrics):
+        """All metrics of one table in a single pass over it."""
+        long = df.select("feature_set", "seq_id", "feature", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["feature_set", "seq_id", "feature"], list(metrics), "metric", "value")
+        return long.select("seq_id", F.concat_ws("__", "feature_set", "metric", "feature").alias("name"), "value")
+
+    totals = rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("value"))
+    parts = [named(shares, ("bp", "frac")), named(window_densities(rows, window, keys), DENSITIES), named(max_block(rows, [*keys, "feature"], gap).withColumnRenamed("max_block", "max_block_bp"), ("max_block_bp",))]
+    parts.append(totals.select("seq_id", F.concat_ws("__", "feature_set", F.lit("total_bp")).alias("name"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
