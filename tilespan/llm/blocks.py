@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import few_rows, materialise, ship, word_bounds
 
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
 
 def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
@@ -48,7 +48,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": str(16 << 20)})
 
 
-def bits_for(blocks: DataFrame, least: int = 4) -> tuple[int, int]:
+def bits_for(blocks: DataFrame, least: int = 7) -> tuple[int, int]:
     """Bits of the bucket number, and the words of all blocks."""
     total = blocks.agg(F.sum("n_bytes"), F.sum("n_words")).first()
     return max(least, int(np.ceil(np.log2(max(1, (total[0] or 0) / BUCKET_BYTES))))), int(total[1] or 0)
@@ -64,12 +64,35 @@ def grow(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps in the least number of bytes, byte by byte, so that the high ones, mostly alike, compress well; the second halves of wide keys follow as they are."""
+    head = keys if keys.ndim == 1 else keys[:, 0]
+    steps = np.diff(head, prepend=head[:1])
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return head[:1].astype("<u8").tobytes() + bytes([width]) + planes.tobytes() + (b"" if keys.ndim == 1 else keys[:, 1].astype("<u8").tobytes())
+
+
+def unpack_keys(data: bytes, n: int, wide: bool) -> np.ndarray:
+    width = data[8]
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(width, n).T
+    head = np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(data, "<u8", 1)
+    return np.stack([head, np.frombuffer(data, "<u8", n, 9 + n * width)], 1) if wide else head
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For keys of shape (n,) or (n, 2): the order that sorts them, and where each distinct one starts in it."""
-    order = np.argsort(keys, kind="stable") if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
+    """For keys of shape (n,) or (n, 2): an order that sorts them, and where each distinct one starts in it."""
+    order = np.argsort(keys if keys.ndim == 1 else keys[:, 0])
     ranked = keys[order]
     new = ranked[1:] != ranked[:-1]
-    return order, np.concatenate(([0], np.flatnonzero(new if keys.ndim == 1 else new.any(1)) + 1)) if len(keys) else np.zeros(0, np.int64)
+    if keys.ndim == 2:
+        if (new[:, 1] & ~new[:, 0]).any():  # first halves alike, second ones not
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            ranked = keys[order]
+            new = ranked[1:] != ranked[:-1]
+        new = new.any(1)
+    return order, np.concatenate(([0], np.flatnonzero(new) + 1)) if len(keys) else np.zeros(0, np.int64)
 
 
 def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide: bool = False, answers: DataFrame | None = None) -> DataFrame:
@@ -86,22 +109,21 @@ def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide:
             head = keys[:, 0] if wide else keys
             edge = np.searchsorted(head >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             some = np.flatnonzero(edge[1:] > edge[:-1])
-            rows = [(int(b), block, keys[edge[b] : edge[b + 1]].tobytes(), shrink(values[edge[b] : edge[b + 1]])) for b in some]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "data"])
+            rows = [(int(b), block, pack_keys(keys[edge[b] : edge[b + 1]]), shrink(values[edge[b] : edge[b + 1]]), int(edge[b + 1] - edge[b])) for b in some]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["bucket", "block", "keys", "data", "n"])
 
     def meet(table: pa.Table) -> pa.Table:
         raws, datas = table.column("keys").to_pylist(), table.column("data").to_pylist()
-        width = 16 if wide else 8
-        sizes = [len(r) // width for r in raws]
-        keys = np.frombuffer(b"".join(raws), np.uint64).reshape((-1, 2) if wide else -1)
+        sizes = table.column("n").to_pylist()
+        keys = np.concatenate([unpack_keys(r, n, wide) for r, n in zip(raws, sizes, strict=True)])
         values = np.concatenate([grow(d, n) for d, n in zip(datas, sizes, strict=True)])
         del raws, datas
         out = np.split(answer(keys, values), np.cumsum(sizes)[:-1])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([shrink(x) for x in out], pa.binary()), "n": pa.array(sizes, pa.int32())})
 
     few_rows(blocks.sparkSession, 1)
-    sent = joined(blocks, answers).mapInArrow(send, "bucket int, block long, keys binary, data binary")
+    sent = joined(blocks, answers).mapInArrow(send, "bucket int, block long, keys binary, data binary, n int")
     answered = sent.groupBy("bucket").applyInArrow(meet, "block long, bucket int, data binary, n int")
     packed = answered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data", "n"))).alias("parts"))
     return materialise(packed, "answers")
