@@ -28,6 +28,8 @@ from .common import few_rows, materialise, ship
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Fingerprints of which one task makes the variants.
+SPREAD = 1 << 13
 #: The blocks of bits that the views leave out.
 VIEWS = ((0, 21), (21, 42), (42, 64))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -158,13 +160,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"])
 
     few_rows(fps.sparkSession, 50_000)
-    dealt = variants(fps).repartition("view", "key").sortWithinPartitions("view", "key", "fp")
+    parts = min(20_000, fps.count() // SPREAD + 1)  # each fingerprint makes over a hundred rows, so few of them go to a task
+    dealt = variants(fps.repartition(parts, "fp")).repartition("view", "key").sortWithinPartitions("view", "key", "fp")
     return dealt.mapInArrow(meet, "u long, v long")
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
     """For a table doc_id, fp: every distinct fp with component_id (the least doc_id reachable) and root (the fp that names the component)."""
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     tree = components(links(least.select("fp")))
     rooted = least.join(tree, least.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
