@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import colocalization, legacy
-from ..sources.binding import EV, OT, events, orders_tiling, table, track
+from ..operators import choose, clusters, colocalization, legacy, measures, merges
+from ..sources.binding import EV, OT, events, orders_tiling, runs_sql, table, track
 from .catalogue import query
 
 BIGRAMS = f"""WITH {EV}, b AS (SELECT seq_id, type AS f, "end" - "start" AS l, lead(type) OVER w AS g, lead("end" - "start") OVER w AS m FROM ev WINDOW w AS (PARTITION BY seq_id ORDER BY "start"))"""
@@ -130,3 +130,102 @@ def label_filters(spark, sf):
     parts = legacy.layers(label, 2)
     rows = events(spark, sf).select(label.alias("feature"), parts[0].alias("layer_1"), parts[1].alias("layer_2"), legacy.keep_prefixes(label, ["v", "cl"], "collapsed").alias("kept"), legacy.matches_any(label, ["signup", "h*"]).alias("excluded"))
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+# merges and choices
+
+TRACKS_SQL = f"""WITH {EV}, t AS (SELECT seq_id, "start", "end", CASE type WHEN 'view' THEN 'canonical_telomere' WHEN 'click' THEN 'ITS' WHEN 'error' THEN 'TAR1' ELSE 'nonsubtelomeric' END AS s,
+  CASE band WHEN 'lo' THEN 'arm' WHEN 'mid' THEN 'ct' ELSE 'rDNA' END AS r, CASE WHEN period IN ('d0', 'd1') THEN 'nonrepeat' WHEN period IN ('d2', 'd3') THEN 'rRNA' ELSE 'LINE' END AS p FROM ev)"""
+
+
+def mapped(spark, sf):
+    ev = events(spark, sf)
+    s = F.when(F.col("type") == "view", "canonical_telomere").when(F.col("type") == "click", "ITS").when(F.col("type") == "error", "TAR1").otherwise("nonsubtelomeric")
+    r = F.when(F.col("band") == "lo", "arm").when(F.col("band") == "mid", "ct").otherwise("rDNA")
+    p = F.when(F.col("period").isin("d0", "d1"), "nonrepeat").when(F.col("period").isin("d2", "d3"), "rRNA").otherwise("LINE")
+    return [ev.select("seq_id", "start", "end", c.alias("feature")) for c in (s, r, p)]
+
+
+@query(TRACKS_SQL + """ SELECT seq_id, "start", "end", CASE WHEN s <> 'nonsubtelomeric' THEN s WHEN r = 'arm' THEN p WHEN r = 'ct' AND p = 'nonrepeat' THEN 'ct' WHEN r = 'ct' THEN p WHEN r = 'rDNA' AND p = 'rRNA' THEN 'rRNA' ELSE r END AS feature FROM t""")
+def merge_three_way(spark, sf):
+    return merges.three_way(*mapped(spark, sf))
+
+
+@query(TRACKS_SQL + """ SELECT seq_id, "start", "end", CASE WHEN s <> 'nonsubtelomeric' THEN s ELSE r END AS feature FROM t""")
+def merge_telomere_satellite(spark, sf):
+    s, r, _ = mapped(spark, sf)
+    return merges.telomere_satellite(s, r)
+
+
+@query(TRACKS_SQL + """ SELECT seq_id, "start", "end", CASE WHEN r = 'rDNA' THEN r ELSE s END AS feature FROM t""")
+def merge_chromosome_acrocentric(spark, sf):
+    s, r, _ = mapped(spark, sf)
+    return merges.chromosome_acrocentric(s, r)
+
+
+@query(TRACKS_SQL + """, f AS (SELECT seq_id, "start", "end", CASE WHEN s = 'canonical_telomere' THEN s WHEN s IN ('ITS', 'TAR1') AND r = 'rDNA' THEN 'rDNA_' || s WHEN s IN ('ITS', 'TAR1') THEN s ELSE r END AS feature FROM t), """ + runs_sql("f", "g") + ' SELECT seq_id, "start", "end", feature FROM g')
+def merge_telomere_acrocentric(spark, sf):
+    s, r, _ = mapped(spark, sf)
+    return merges.telomere_acrocentric(s, r)
+
+
+@query("""SELECT o_custkey AS read, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE 0 END)::BIGINT AS aligned, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS primary_start FROM orders GROUP BY o_custkey""")
+def alignment_stats(spark, sf):
+    o = table(spark, sf, "orders")
+    best = o.groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("b"))
+    rows = o.join(best, "o_custkey").select(F.col("o_custkey").alias("read"), F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("length"), (F.col("o_orderstatus") == "P").alias("secondary"), F.coalesce(F.col("o_orderkey") == F.col("b"), F.lit(False)).alias("primary"))
+    return legacy.alignment_stats(rows)
+
+
+MEMBERS = """WITH m AS (SELECT o_orderstatus AS cluster_id, o_orderkey AS read_id, o_orderpriority AS sample, abs(o_totalprice - 1000) AS d, o_custkey AS len FROM orders)"""
+
+
+def members(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("cluster_id"), F.col("o_orderkey").alias("read_id"), F.col("o_orderpriority").alias("sample"), F.abs(F.col("o_totalprice") - 1000).alias("centroid_distance"), F.col("o_custkey").alias("read_length"))
+
+
+@query(MEMBERS + """, w AS (SELECT DISTINCT o_orderstatus AS cluster_id, l_returnflag AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT DISTINCT l_orderkey AS read_id, l_returnflag AS feature FROM lineitem)
+ SELECT m.cluster_id, m.read_id, round(count(h.feature) / count(*), 9) AS share FROM m JOIN w ON w.cluster_id = m.cluster_id LEFT JOIN h ON h.read_id = m.read_id AND h.feature = w.feature GROUP BY m.cluster_id, m.read_id""")
+def feature_presence(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_returnflag").alias("feature"))
+    m = members(spark, sf)
+    wanted = m.join(lines, "read_id").select("cluster_id", "feature").distinct()
+    return choose.presence(m, wanted, lines).withColumn("share", F.round("share", 9))
+
+
+@query(MEMBERS + """, t AS (SELECT *, CASE WHEN sample <= '2' AND len BETWEEN 500 AND 900 THEN 0 WHEN sample <= '2' THEN 1 WHEN sample <= '4' THEN 2 ELSE 3 END AS tier, CASE WHEN sample <= '2' THEN 1.0 WHEN sample <= '4' THEN 0.5 ELSE 0.0 END AS share FROM m)
+ SELECT cluster_id, read_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY tier, share DESC, d, read_id)::INTEGER AS rank FROM t) WHERE rank <= 8""")
+def tiered_representatives(spark, sf):
+    share = F.when(F.col("sample") <= "2", 1.0).when(F.col("sample") <= "4", 0.5).otherwise(0.0)
+    return choose.tiered(members(spark, sf).withColumn("share", share), 8, 500, 900).select("cluster_id", "read_id", "tier", "rank")
+
+
+@query(MEMBERS + """ SELECT cluster_id, read_id, round(0.5 * (len % 7) / 7 + 0.4 * len / max(len) OVER (PARTITION BY cluster_id) + 0.1 * (1 - d / max(d) OVER (PARTITION BY cluster_id)), 9) AS score FROM m""")
+def balanced_scores(spark, sf):
+    rows = members(spark, sf).withColumn("feature_score", (F.col("read_length") % 7) / 7)
+    return clusters.balanced_score(rows).select("cluster_id", "read_id", F.round("score", 9).alias("score"))
+
+
+@query()
+def representatives_by_sample(spark, sf):
+    return choose.by_sample(members(spark, sf), 12)
+
+
+@query(MEMBERS + """, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY d, read_id) AS rank FROM m), t AS (SELECT median(len) AS target FROM r WHERE rank = 1),
+ p AS (SELECT cluster_id, read_id, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN abs(log2(len / target)) <= 1 THEN 0 ELSE 1 END, rank, read_id)::INTEGER AS pick FROM r, t) SELECT * FROM p WHERE pick <= 4""")
+def length_balanced(spark, sf):
+    from pyspark.sql.window import Window
+
+    ranked = members(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("centroid_distance", "read_id")))
+    return choose.even_lengths(ranked, 4).select("cluster_id", "read_id", "pick")
+
+
+@query(f"""WITH {EV}, b AS (SELECT seq_id, type AS feature, sum("end" - "start")::DOUBLE AS bp FROM ev GROUP BY ALL), s AS (SELECT seq_id, feature, bp / sum(bp) OVER (PARTITION BY seq_id) AS f, sum(bp) OVER (PARTITION BY seq_id) AS t, bp FROM b),
+ m AS (SELECT *, right(seq_id, 1) AS cluster_id FROM s), n AS (SELECT cluster_id, count(DISTINCT seq_id) AS n, sum(bp) AS total FROM m GROUP BY cluster_id),
+ th AS (SELECT feature, least(0.05, greatest(0.001, median(f) / 3)) AS threshold FROM s WHERE f > 0 GROUP BY feature)
+ SELECT m.cluster_id, m.feature, round(count(*) FILTER (WHERE f > threshold) / max(n), 9) AS readpct, round(sum(bp) / max(total), 9) AS bppct FROM m JOIN n ON n.cluster_id = m.cluster_id JOIN th ON th.feature = m.feature GROUP BY m.cluster_id, m.feature""")
+def cluster_scores(spark, sf):
+    shares = measures.feature_fraction(track(events(spark, sf), "type"), ["seq_id"])
+    who = shares.select("seq_id").distinct().withColumn("cluster_id", F.right("seq_id", F.lit(1)))
+    got = clusters.above_threshold(shares, who, measures.adaptive_thresholds(shares, keys=[]))
+    return got.select("cluster_id", "feature", F.round("readpct", 9).alias("readpct"), F.round("bppct", 9).alias("bppct"))
