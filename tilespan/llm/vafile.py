@@ -52,6 +52,7 @@ def index(rows: DataFrame, top: int = TOP) -> DataFrame:
     """Blocks (block, dim, size, low, width, cells, exact, ids): low and width give the grid, ids the k + 1 smallest ids of each entry."""
     first = Window.partitionBy("raw").orderBy("vec_id")
     entries = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).groupBy("raw").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = entries.coalesce(max(1, rows.count() // BLOCK))  # full blocks: each answers every query, so small ones cost rows
 
     def build(batches):
         def block(dim, raws, ids):
