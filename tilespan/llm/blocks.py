@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_rows, materialise, ship, word_bounds
+from .common import bounded_batches, materialise, ship, word_bounds
 
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
@@ -43,7 +43,7 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield out()
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(pack, "ids array<long>, texts array<binary>, n_bytes long, n_words long")
     return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": str(16 << 20)})
 
@@ -122,7 +122,7 @@ def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide:
         out = np.split(answer(keys, values), np.cumsum(sizes)[:-1])
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([shrink(x) for x in out], pa.binary()), "n": pa.array(sizes, pa.int32())})
 
-    few_rows(blocks.sparkSession, 1)
+    bounded_batches(blocks.sparkSession)
     sent = joined(blocks, answers).mapInArrow(send, "bucket int, block long, keys binary, data binary, n int")
     answered = sent.groupBy("bucket").applyInArrow(meet, "block long, bucket int, data binary, n int")
     packed = answered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data", "n"))).alias("parts"))

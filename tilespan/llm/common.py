@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -41,9 +42,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tilespan-{uuid.uuid4().hex}-{label}"
 
 
-def few_rows(spark: SparkSession, rows: int = 500) -> None:
-    """So many rows in an Arrow batch: few where texts travel, so that a batch of long texts stays small, many where numbers do."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Arrow batches of this many bytes at most, so that a task's Python memory doesn't follow the length of texts; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match("[0-9]+", spark.conf.get(key))[0]) > size:
+        spark.conf.set(key, f"{size}b")
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ask, bits_for, distinct, each_block, joined, make_blocks
-from .common import few_rows, mix64, ship, window_hashes, word_hashes, word_table
+from .common import bounded_batches, mix64, ship, window_hashes, word_hashes, word_table
 
 ORDER, BACKOFF = 3, 0.4
 
@@ -112,7 +112,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             mean = [v / k if k else None for v, k in zip(value.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(value), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    few_rows(docs.sparkSession, 1)
+    bounded_batches(docs.sparkSession)
     return joined(blocks, answers).mapInArrow(finish, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cached, few_rows, materialise, ship
+from .common import bounded_batches, cached, materialise, ship
 
 SEQUENCE, GRAIN, END = 2048, 8, 1
 #: Pieces in one chunk of a bin's ranking, and in one group of the residual's layout.
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: in
             types = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    few_rows(docs.sparkSession, 200)
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(answer, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int
                     rest[own] -= high[-1]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(bins), pa.array(seq), pa.array(slot), pa.array(rest)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid", "bin", "sequence_id", "slot", "rest"])
 
-    few_rows(docs.sparkSession, 50_000)
+    bounded_batches(docs.sparkSession)
     names = "doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"
     placed = ranked.select(*names, F.col("bin").cast("int"), "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long, bin int, sequence_id long, slot long, rest long")
     placed = materialise(placed, "placed")
@@ -250,7 +250,7 @@ def sequences(docs: DataFrame, window: int = SEQUENCE, pad: int = 0, **options)
                 out.append(ids if len(ids) & (len(ids) - 1) == 0 else np.pad(ids, (0, window - len(ids)), constant_values=pad))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2)], names=["sequence_id", "ids", "n_used"])
 
-    few_rows(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
     return grouped.mapInArrow(lay, "sequence_id long, ids array<int>, n_used long")
 
 

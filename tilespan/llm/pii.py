@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import few_rows, ship
+from .common import bounded_batches, ship
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -204,7 +204,7 @@ def histogram(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     seen.update(pattern(k, votes(text, k, s, e, False)) for k, s, e, _ in other)
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").sum("n").collect()
     rows = sorted((r[0], r[1]) for r in rows)
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -244,7 +244,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(answer, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
@@ -274,7 +274,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 cols[length] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, old, new, strict=True)], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(answer, schema)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, few_rows, ship, window_hashes, word_hashes, word_table
+from .common import batches, bounded_batches, ship, window_hashes, word_hashes, word_table
 
 #: Labelled rows used to fit, at most; words in a repeated window; base limits; the score below which the trees reject.
 SAMPLE, WINDOW, LEAST_WORDS, MOST_REPEATED, THRESHOLD = 20_000, 5, 10, 20, 0.5
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
             _, feats = statistics(encoded(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(list(feats), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(describe, "x array<double>, y int").toPandas()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import few_rows, materialise, ship
+from .common import bounded_batches, materialise, ship
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
             found = [fingerprint(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*batch.schema.names, name])
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(answer, _plus(docs.schema, name))
 
 
@@ -159,7 +159,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 u, v = zip(*out, strict=True) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"])
 
-    few_rows(fps.sparkSession, 50_000)
+    bounded_batches(fps.sparkSession)
     parts = min(20_000, fps.count() // SPREAD + 1)  # each fingerprint makes over a hundred rows, so few of them go to a task
     dealt = variants(fps.repartition(parts, "fp")).repartition("view", "key").sortWithinPartitions("view", "key", "fp")
     return dealt.mapInArrow(meet, "u long, v long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ask, bits_for, distinct, each_block, joined, make_blocks
-from .common import few_rows, ship, window_hashes, word_hashes, word_table
+from .common import bounded_batches, ship, window_hashes, word_hashes, word_table
 
 WINDOW, SHORTEST = 13, 8
 LAST = (1 << 63) - 1
@@ -178,7 +178,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    few_rows(docs.sparkSession, 1)
+    bounded_batches(docs.sparkSession)
     return joined(blocks, answers).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, few_rows, mix64, ship, word_hashes, word_table
+from .common import batches, bounded_batches, mix64, ship, word_hashes, word_table
 
 #: Labelled documents used to fit, tokens kept, least z-score and least log-odds of a scoring token, cost of any other token, p-value of a significant passage.
 SAMPLE, VOCABULARY, LEAST_Z, LEAST_ODDS, DRIFT, SIGNIFICANT = 30_000, 100_000, 2.5, 2.0, 0.15, 0.01
@@ -127,7 +127,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
-    few_rows(spark)
+    bounded_batches(spark)
     chosen = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.withColumn("second", F.expr("pmod(xxhash64(doc_id, 7), 3) = 0"))
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p, y, k = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array(y, pa.int32()), pa.array(k, pa.int64())], names=["doc_id", "held_out", "score", "predicted", "n_passages"])
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0 held_out", "text")
     return rows.mapInArrow(answer, "doc_id long, held_out boolean, score double, predicted int, n_passages long")
 
@@ -238,7 +238,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "end", "score", "p_value", "passage"])
 
-    few_rows(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(answer, "doc_id long, start long, end long, score double, p_value double, passage string")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import few_rows, materialise, ship
+from .common import bounded_batches, materialise, ship
 
 TOP, EVERY, CELLS = 5, 50, 64
 #: Entries of a data block, queries of a query block, groups of data blocks that each query block is sent to, exact vectors read at a time.
@@ -44,7 +44,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
                     raws.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], names=["vec_id", "raw"])
 
-    few_rows(vectors.sparkSession, 5000)
+    bounded_batches(vectors.sparkSession)
     return vectors.selectExpr("cast(vec_id as bigint) vec_id", "embedding").mapInArrow(answer, "vec_id long, raw binary")
 
 
@@ -143,12 +143,12 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["raw", "vec_id", "score"])
 
-    few_rows(vectors.sparkSession, 4)
+    bounded_batches(vectors.sparkSession)
     met = dealt.join(packed, ["part", "group"]).select("raws", "dim", "size", "low", "width", "cells", "small", "exact", "ids")
     found = materialise(met.mapInArrow(answer, "raw binary, vec_id long, score long"), "found")
     order = Window.partitionBy("raw").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
-    few_rows(vectors.sparkSession, 10_000)
+    bounded_batches(vectors.sparkSession)
     joined = asked.select(F.col("vec_id").alias("query_id"), "raw").join(merged, "raw")
     others = joined.select("query_id", F.slice(F.filter("best", lambda b: b.vec_id != F.col("query_id")), 1, top).alias("best"))
     return others.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")

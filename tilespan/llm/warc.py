@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_rows, materialise, new_path, ship
+from .common import bounded_batches, materialise, new_path, ship
 
-LEAST, LINES, DATE, PACK = 100, 512, "2024-01-01T00:00:00Z", 2048
+LEAST, LINES, DATE = 100, 512, "2024-01-01T00:00:00Z"
 
 
 def url_key(url: Column) -> Column:
@@ -147,7 +147,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             if f is not None:
                 f.close()
 
-    few_rows(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
     rows = captures(pages)
     marks = revisits(rows).select("key", "page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
     both = marks.union(rows.select("key", "page_id", F.lit(1), "url", "payload", "digest", F.lit(None).cast("bigint")))
@@ -221,7 +221,7 @@ def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    few_rows(spark, PACK)
+    bounded_batches(spark)
     sorted_ = wanted.select("key", "page_id").distinct().repartitionByRange("key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
     packed = sorted_.mapInArrow(pack, "range string, keys array<string>, pages array<long>")
     blocks = directory.groupBy("range", "folder").agg(F.sort_array(F.collect_list(F.struct("offset", "first_key", "first_page", "file", "length"))).alias("entries"))
