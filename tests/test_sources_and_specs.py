@@ -35,6 +35,14 @@ def test_good_bed_round_trip(spark, tmp_path):
     assert files.read_bed(spark, str(tmp_path / "out"), validate=False).count() == 3
 
 
+def test_runs_over_partitions(spark):
+    """A sequence may go on over a partition's edge, also past empty partitions, but not come back after another."""
+    part = 1 << 33
+    rows = [("a", 0, 1, 0), ("b", 0, 1, 1), ("b", 1, 2, part), ("b", 2, 3, 3 * part), ("c", 0, 1, 3 * part + 1), ("d", 0, 1, 4 * part), ("c", 1, 2, 5 * part)]
+    df = spark.createDataFrame([(q, s, e, "f", o, None) for q, s, e, o in rows], "seq_id string, start long, end long, feature string, ord long, problem string")
+    assert [(r.seq_id, r.ord, r.kind) for r in files.tiling_problems(df).collect()] == [("c", 5 * part, "scattered")]
+
+
 def test_tables(spark, tmp_path):
     palette = files.read_palette(spark, write(tmp_path / "c.tsv", "feature_set\tfeature\tcolor\na\tx\t#1\nb\tx\t#2\n"))
     assert files.collapse_palette(palette).first().color == "#2"

@@ -25,12 +25,33 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     return kept.select(F.get(f, F.lit(0)).alias("seq_id"), start.alias("start"), end.alias("end"), F.get(f, F.lit(3)).alias("feature"), "ord", problem.alias("problem"))
 
 
+def runs_of(rows: DataFrame) -> DataFrame:
+    """seq_id, part, first, last, head, tail: unbroken runs of one sequence in the order of ord within each partition that the
+    reader numbered (the high bits of ord), and whether a run opens or closes its partition. Partitions are ranked without gaps."""
+    placed = rows.select("seq_id", "ord", F.shiftright("ord", 33).alias("_p"))
+    ranks = placed.select("_p").distinct().withColumn("part", F.row_number().over(Window.orderBy("_p")))  # one row a partition
+    w = Window.partitionBy("_p").orderBy("ord")
+    marked = placed.withColumn("_new", F.when(F.lag("seq_id").over(w) == F.col("seq_id"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = marked.groupBy("_p", "_run", "seq_id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    every = Window.partitionBy("_p")
+    found = found.withColumn("head", F.col("first") == F.min("first").over(every)).withColumn("tail", F.col("last") == F.max("last").over(every))
+    return found.join(F.broadcast(ranks), "_p").select("seq_id", "part", "first", "last", "head", "tail")
+
+
 def tiling_problems(rows: DataFrame) -> DataFrame:
-    """Every breach of the tiling rule: scattered (a sequence's rows are not together), gap, overlap, or a row's own problem."""
-    by_place, by_seq = Window.orderBy("ord"), Window.partitionBy("seq_id").orderBy("ord")
-    before = F.lag("end").over(by_seq)
-    kind = F.when(F.col("problem").isNotNull(), F.col("problem")).when((F.lag("seq_id").over(by_place) != F.col("seq_id")) & before.isNotNull(), "scattered").when(F.col("start") > before, "gap").when(F.col("start") < before, "overlap")
-    return rows.withColumn("kind", kind).where("kind is not null").select("seq_id", "start", "end", "feature", "ord", "kind")
+    """Every breach of the tiling rule: scattered (a sequence's rows are not together), gap, overlap, or a row's own problem.
+
+    No window spans the whole file: runs are found partition by partition, and a sequence is together if each of its runs
+    opens the partition after the one that its run before closed.
+    """
+    by_seq = Window.partitionBy("seq_id").orderBy("first")
+    back = lambda c: F.lag(c).over(by_seq)
+    joined = F.col("head") & back("tail") & (F.col("part") == back("part") + 1)
+    torn = runs_of(rows).withColumn("_torn", back("part").isNotNull() & ~F.coalesce(joined, F.lit(False))).where("_torn").select(F.col("first").alias("ord"), F.lit(True).alias("_torn"))
+    before = F.lag("end").over(Window.partitionBy("seq_id").orderBy("ord"))
+    checked = rows.withColumn("_before", before).join(torn, "ord", "left")
+    kind = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("_torn"), "scattered").when(F.col("start") > F.col("_before"), "gap").when(F.col("start") < F.col("_before"), "overlap")
+    return checked.withColumn("kind", kind).where("kind is not null").select("seq_id", "start", "end", "feature", "ord", "kind")
 
 
 def broken_tiles(rows: DataFrame) -> DataFrame:
