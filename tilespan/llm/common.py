@@ -7,7 +7,6 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark import cloudpickle
@@ -79,8 +78,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return cached(f"powers {n}", lambda: _make_powers(n))
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         x = np.full(n, base, np.uint64)
