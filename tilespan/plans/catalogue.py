@@ -10,7 +10,7 @@ from ..functions import resolve as R
 from ..operators import binning, clusters, colocalization, measures
 from ..operators.overlay import overlay
 from ..sources import files
-from ..sources.binding import EDGES, EV, EVENT_EDGES, LONG, OT, TRACKS, events, hier_events, hier_geo, orders_tiling, runs_sql, table, track, tracks_long
+from ..sources.binding import EDGES, EV, LONG, OT, TRACKS, events, hier_events, hier_geo, orders_tiling, runs_sql, table, track, tracks_long
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -597,4 +597,4 @@ def density_bins(spark, sf):
     return measures.density_bins(track(events(spark, sf), "type").where("feature = 'error'"), 250)
 
 
-from . import assembly_queries, legacy_queries, streaming_queries  # noqa: E402, F401  they register theirs here
+from . import assembly_queries, figure_queries, legacy_queries, streaming_queries  # noqa: E402, F401  they register theirs here
