@@ -72,8 +72,8 @@ def _timer(schedule):
     return lambda share: position(share, schedule)
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, schedules: Sequence = SCHEDULES) -> DataFrame:
-    """A row for each document, range-sorted by first training position: row (struct of the kept columns), size, source_size, target, taken, positions (one for each pass), passes (whole passes), rest (words of a last, partial pass)."""
+def placements(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, schedules: Sequence = SCHEDULES) -> DataFrame:
+    """A row for each document: row (struct of the kept columns), size, source_size, target, taken, passes (whole passes), rest (words of a last, partial pass), positions (one for each pass), first_position."""
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"),
         word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"), F.col("doc_id").alias("id"),
@@ -96,8 +96,13 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     starts = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)), lambda k: (k * F.col("source_size") + F.col("offset")) / F.col("total")))
     which = F.col("rank") % len(schedules)
     times = F.coalesce(*[F.when(which == (k + 1) % len(schedules), F.transform(starts, _timer(s))) for k, s in enumerate(schedules)])
-    out = placed.select("row", "size", "source_size", "target", "taken", "passes", "rest", times.alias("positions"), F.element_at(times, 1).alias("first_position"))
-    return out.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("row").getField(keep[0])).sortWithinPartitions(F.col("first_position").asc_nulls_last(), F.col("row").getField(keep[0]))
+    return placed.select("row", "size", "source_size", "target", "taken", "passes", "rest", times.alias("positions"), F.element_at(times, 1).alias("first_position"))
+
+
+def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), **options) -> DataFrame:
+    """placements(), range-sorted by first training position."""
+    order = F.col("first_position").asc_nulls_last(), F.col("row").getField(keep[0])
+    return placements(docs, keep, **options).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -109,7 +114,7 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every pass over every document as a row with the columns of docs, in order of training position; the last, partial pass keeps the first words of its text only."""
-    mixed = mix(docs, keep=docs.columns, **options)
+    mixed = placements(docs, keep=docs.columns, **options)  # texts are ranged once, by the positions of their passes
     passes = mixed.where("taken > 0").select("row", "passes", "rest", F.posexplode("positions").alias("pass", "position"))
     partial = F.col("pass") >= F.col("passes")
     cut = F.col("row").withField("text", F.when(partial, first_words(F.col("row.text"), F.col("rest"))).otherwise(F.col("row.text")))
