@@ -93,6 +93,12 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(frame(spark, [])).count() == 0 == simhash.classes(frame(spark, [])).count()
 
 
+def test_column_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, 5, "a b c", 6, 7), (2, 5, "a b c", 6, 7), (3, 5, None, 6, 7)], "doc_id long, c0 int, text string, __fp int, c1 int")
+    kept = simhash.deduplicate(docs)
+    assert kept.schema == docs.schema and sorted(tuple(r) for r in kept.collect()) == [(1, 5, "a b c", 6, 7), (3, 5, None, 6, 7)]
+
+
 def test_long_chain_and_star(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000), (7000, 6999)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
