@@ -41,7 +41,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tilespan-{uuid.uuid4().hex}-{label}"
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Arrow batches of this many bytes at most, so that a task's Python memory doesn't follow the length of texts; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.match("[0-9]+", spark.conf.get(key))[0]) > size:
