@@ -26,7 +26,7 @@ from .common import bounded_batches, cached, materialise, ship
 
 SEQUENCE, GRAIN, END = 2048, 8, 1
 #: Pieces in one chunk of a bin's ranking, and in one group of the residual's layout.
-CHUNK, GROUP = 1 << 12, 1 << 12
+CHUNK, GROUP = 1 << 12, 1 << 9
 #: Pieces to cut of which the numbers are sent to every task (24 bytes each); more are joined by a shuffle.
 FEW = 100_000
 
