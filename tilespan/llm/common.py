@@ -102,7 +102,7 @@ def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of every word's bytes, made piece by piece so that a very long text needs little memory."""
     out = np.empty(len(starts), np.uint64)
     at = 0

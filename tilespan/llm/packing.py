@@ -39,7 +39,7 @@ def encoder(vocabulary: str, ranks: str):
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(vocabulary)
+    exact: list = []  # loaded when first needed
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -51,7 +51,9 @@ def encoder(vocabulary: str, ranks: str):
             except BaseException as trouble:  # the library's panics are no Exceptions
                 if isinstance(trouble, KeyboardInterrupt | SystemExit):
                     raise
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not exact:
+            exact.append(Tokenizer.from_file(vocabulary))
+        return np.array(exact[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
