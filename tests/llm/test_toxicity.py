@@ -70,6 +70,26 @@ def test_held_out(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_copies_weigh_once(spark):
+    """A large group of copies of one toxic text, some in other case and punctuation, removes no word that other toxic texts hold."""
+    rows, labels = corpus()
+    text = "scum vermin filth maggot " + " ".join(f"copied{k}" for k in range(30))
+    copies = [(10_000 + k, text if k % 2 else f" {text.upper()} !\n", "en", "s", 0, *EXTRA) for k in range(3000)]
+    table = spark.createDataFrame(labels + [(c[0], 1, 1) for c in copies], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows + copies), table)
+    alone = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    words = set(toxicity.tokens([b"scum vermin filth maggot"])[0].tolist())
+    assert words <= set(alone.hashes.tolist()) and words <= set(model.hashes.tolist())
+    assert not set(toxicity.tokens([b" ".join(b"copied%d" % k for k in range(30))])[0].tolist()) & set(model.hashes.tolist())
+
+
+def test_folded_has_the_same_tokens(spark):
+    texts = [" A, b\t\x0bC!\r\n", "", None, "\u00c9 \u00a0x\u2003Y's {z}", "...", "a b  c"]
+    got = [r.f for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", toxicity.folded("t").alias("f")).orderBy("k").collect()]
+    own = lambda t: toxicity.tokens([(t or "").encode()])[0].tolist()
+    assert [own(g) for g in got] == [own(t) for t in texts] and got[0] == got[5] == "a b c"
+
+
 def test_labels_decide_nothing_at_scoring(spark):
     """The same text has the same score whatever its id, source or language."""
     rows, labels = corpus(300)

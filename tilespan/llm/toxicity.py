@@ -7,7 +7,8 @@ law of the best segment of clean labelled texts of its length (1 - exp(-K n exp(
 goes through a logistic curve fitted on labelled documents that the log-odds have not seen.
 
 Learning uses rows with crc32(doc_id as text) mod 5 other than 0 only, SAMPLE of them at most (smallest hash first), and
-VOCABULARY tokens at most. A score depends on the text alone.
+VOCABULARY tokens at most. The log-odds and contexts count texts of the same tokens and label once, however many copies
+there are. A score depends on the text alone.
 
 Defined cases. Null or empty text: the score of no evidence. Null doc_id: kept as null, held out. Repeated rows: each
 answered alike. Very long texts: whole, in bounded pieces. Empty table: no rows. No labels of one class: no tokens
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, mix64, ship, word_hashes, word_table
+from .common import batches, bounded_batches, materialise, mix64, ship, word_hashes, word_table
 
 #: Labelled documents used to fit, tokens kept, least z-score and least log-odds of a scoring token, cost of any other token, p-value of a significant passage.
 SAMPLE, VOCABULARY, LEAST_Z, LEAST_ODDS, DRIFT, SIGNIFICANT = 30_000, 100_000, 2.5, 2.0, 0.15, 0.01
@@ -31,7 +32,8 @@ SAMPLE, VOCABULARY, LEAST_Z, LEAST_ODDS, DRIFT, SIGNIFICANT = 30_000, 100_000, 2
 CONTEXTS = 0.25
 #: The Dirichlet prior weighs one document for this many labelled ones.
 PRIOR = 16
-_FOLD = bytes(32 if chr(c) in ".,;:!?\"'()[]{}<>|*#$%&" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_MARKS = ".,;:!?\"'()[]{}<>|*#$%&"
+_FOLD = bytes(32 if chr(c) in _MARKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def tokens(texts: list[bytes]):
@@ -40,6 +42,12 @@ def tokens(texts: list[bytes]):
     return word_hashes(a, s, e), s, e, first
 
 
+def folded(text):
+    """A column's texts as their tokens with single blanks between: equal for texts of the same tokens."""
+    upper = "".join(map(chr, range(65, 91)))
+    return F.trim(F.regexp_replace(F.translate(text, upper + _MARKS, upper.lower() + " " * len(_MARKS)), r"[\x09-\x0D ]+", " "))
+
+
 def segments(scores: list[float], places: list[int], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first place, last place, score), places ascending, each place between them costing drift. One pass over a stack of candidates, each with the running total before and after it."""
     found: list[tuple[float, float, int, int]] = []
@@ -146,12 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), label)), pa.array(n)], names=["h", "y", "n"])
 
     sizes = {(r.second, r.y): r["count"] for r in rows.groupBy("second", "y").count().collect()}
-    toxic, clean = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
+    learnt = materialise(rows.where("not second").select(folded("text").alias("text"), "y").distinct(), "texts")
+    once = {r.y: r["count"] for r in learnt.groupBy("y").count().collect()}
+    toxic, clean = once.get(1, 0), once.get(0, 0)
     if not toxic or not clean:
         share = sum(v for (_, y), v in sizes.items() if y) / max(1, sum(sizes.values()))
         return Model(curve=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
     strength = (toxic + clean) / PRIOR
-    seen = rows.where("not second").mapInArrow(count, "h long, y long, n long").groupBy("h").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    seen = learnt.mapInArrow(count, "h long, y long, n long").groupBy("h").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     prior = (F.col("a") + F.col("b")) * (strength / (toxic + clean))
     odds = F.log((F.col("a") + prior) / (toxic + strength - F.col("a") - prior)) - F.log((F.col("b") + prior) / (clean + strength - F.col("b") - prior))
     seen = seen.where("a > 1").withColumn("s", odds).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior)))
@@ -174,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["h", "context"])
 
-    places = rows.where("not second").mapInArrow(contexts, "h long, context long").groupBy("h").agg(F.count_distinct("context").alias("n")).toPandas()
+    places = learnt.mapInArrow(contexts, "h long, context long").groupBy("h").agg(F.count_distinct("context").alias("n")).toPandas()
     distinct = dict(zip(places.h.to_numpy().view(np.uint64).tolist(), places.n.tolist(), strict=True))
     good = np.array([distinct.get(x, 0) >= max(2, n) for x, n in zip(table.tolist(), needed.tolist(), strict=True)], bool)
     model = Model(table[good], kept.s.to_numpy()[order][good])
