@@ -100,7 +100,7 @@ def cluster(a, spark):
     groups = assembly.communities(edges).select(F.col("node").alias("read_id"), F.col("label").alias("group")) if a.communities else assembly.components(edges).select(F.col("node").alias("read_id"), F.col("root").alias("group"))
     members = assembly.clusters(strings, groups, assembly.orientation_conflicts(edges))
     backbone = assembly.Backbone(frozenset(filler), roles["arm"] | roles["ct"], roles["telomere"], roles["acrocentric"])
-    placed = assembly.cut(assembly.layout(members, strings, scorer, backbone, a.gap))
+    placed = assembly.cut(assembly.layout(members, strings, scorer, backbone, a.gap, edges))
     voted = assembly.cut(assembly.consensus(placed))
     shape = voted.groupBy("cluster_id").agg(F.count("*").alias("consensus_segments"), F.max("end").alias("width"))
     heads = members.where("rank = 1").join(shape, "cluster_id", "left")

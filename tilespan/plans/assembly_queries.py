@@ -70,18 +70,18 @@ def clustered(spark, sf):
     strings, edges = graph(spark, sf)
     edges = assembly.cut(edges)
     found = assembly.communities(edges)
-    return strings, assembly.clusters(strings, found.select(F.col("node").alias("read_id"), F.col("label").alias("group")), assembly.orientation_conflicts(edges))
+    return strings, edges, assembly.clusters(strings, found.select(F.col("node").alias("read_id"), F.col("label").alias("group")), assembly.orientation_conflicts(edges))
 
 
 @query()
 def communities(spark, sf):
-    return clustered(spark, sf)[1].where("size > 1")
+    return clustered(spark, sf)[2].where("size > 1")
 
 
 @query()
 def layout(spark, sf):
-    strings, members = clustered(spark, sf)
-    return assembly.layout(members.where("size > 1"), strings, scorer(spark, sf), assembly.Backbone())
+    strings, edges, members = clustered(spark, sf)
+    return assembly.layout(members.where("size > 1"), strings, scorer(spark, sf), assembly.Backbone(), GATES.gap, edges)
 
 
 @query()
