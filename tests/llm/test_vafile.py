@@ -46,6 +46,19 @@ def test_against_brute_force(spark):
         assert sum(1 for g in got if g[0] == 100 and g[1] == 1) == (2 if every == 50 else 0)  # the repeated row asks twice
 
 
+def test_one_id_with_many_vectors(spark, monkeypatch):
+    """An id's own vectors, however many and however near, take no place of its answer."""
+    r = random.Random(5)
+    rows = [(k, [r.uniform(-1, 1) for _ in range(6)], "x", 1, 2) for k in range(1, 50)]
+    rows += [(0, [3.0 + r.random() for _ in range(6)], "x", 1, 2) for _ in range(30)] + [(0, [0.5, 0.5], "x", 1, 2), (3, [0.1, 0.2], "x", 1, 2)]
+    rows += [(100, rows[-3][1], "x", 1, 2), (100, [9.0] * 6, "x", 1, 2)] + [(k, rows[-3][1], "x", 1, 2) for k in (150, 151, 152)]  # shares a vector with 0
+    for block in (8192, 7):
+        monkeypatch.setattr(vafile, "BLOCK", block)
+        got = sorted(tuple(g) for g in vafile.search(spark.createDataFrame(rows, SCHEMA).repartition(3)).select("query_id", "rank", "vec_id", "score").collect())
+        want = brute(rows, 50, 5)
+        assert got == want and sum(g[0] == 0 for g in got) >= 30 * 5
+
+
 def test_empty_and_few(spark):
     assert vafile.search(spark.createDataFrame([], SCHEMA)).count() == 0
     few = spark.createDataFrame([(0, [1.0], "", 0, 0), (1, [2.0], "", 0, 0)], SCHEMA)

@@ -1,7 +1,7 @@
 """Exact top-k search with vector-approximation files.
 
 Vectors become integers, floor(256 x) for each component; equal vectors are one entry with its k + 1 smallest ids, which
-is all that a top-k with ties to smaller ids can ever return. Entries lie in blocks. A block is a vector-approximation
+is all that a top-k with ties to smaller ids can ever return, for an entry holds the asking id once at most. Entries lie in blocks. A block is a vector-approximation
 file: a grid of CELLS cells over each dimension's range in the block, the cell of each component as one byte, and the
 exact vectors. Queries come in blocks too. Where a query block meets a data block, the scan of the cells gives every entry
 a lower and an upper bound of its inner product with the query; exact vectors are then read in the order of falling upper
@@ -83,8 +83,8 @@ def index(rows: DataFrame, top: int = TOP) -> DataFrame:
     return entries.mapInArrow(build, "dim int, size int, low binary, width binary, cells binary, small boolean, exact binary, ids binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def best_of(q: np.ndarray, low, width, cells, exact, top: int):
-    """For each query row the top entries (positions and scores) of one approximation file, ties kept to the last place."""
+def best_of(q: np.ndarray, low, width, cells, exact, top: int, without=None):
+    """For each query row the top entries (positions and scores) of one approximation file, ties kept to the last place. without: for each row the entries (positions) that are no candidates."""
     centre = low + (width - 1) / 2 + cells * width.astype(np.float64)
     reach = (width - 1) / 2
     qf = q.astype(np.float64)
@@ -92,11 +92,14 @@ def best_of(q: np.ndarray, low, width, cells, exact, top: int):
     slack = 1e-9 * (np.abs(qf) @ np.abs(centre).max(0, initial=0) + spread) + 1e-6 if centre.size else np.full(len(q), 1e-6)
     out = []
     for row in range(len(q)):
-        upper = middle[row] + spread[row] + slack[row]
-        least = -np.inf
-        if len(upper) > top:
-            least = np.partition(middle[row], len(upper) - top)[len(upper) - top] - spread[row] - slack[row]
-        likely = np.flatnonzero(upper >= least)
+        mid, upper = middle[row], middle[row] + spread[row] + slack[row]
+        least, barred = -np.inf, () if without is None else without[row]
+        if len(barred):
+            mid = mid.copy()
+            mid[barred] = upper[barred] = -np.inf
+        if len(upper) - len(barred) > top:
+            least = np.partition(mid, len(upper) - top)[len(upper) - top] - spread[row] - slack[row]
+        likely = np.flatnonzero((upper >= least) & (upper > -np.inf))
         likely = likely[np.argsort(-upper[likely], kind="stable")]
         seen, kth = np.zeros(0, np.int64), -np.inf
         for at in range(0, len(likely), READ):
@@ -114,20 +117,23 @@ def best_of(q: np.ndarray, low, width, cells, exact, top: int):
 
 
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
-    """For each vector whose id is divisible by every: query_id, rank, vec_id, score of its best other vectors."""
+    """For each vector whose id is divisible by every: query_id, rank, vec_id, score of its best other vectors. An id with one vector of a dimension takes one place at most, so vectors are asked for once with one place more, whoever asks; an id with several asks for itself (asker) and leaves its own out."""
     rows = materialise(quantised(vectors), "vectors")
     blocks = materialise(index(rows, top), "vafile")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n_blocks, n_queries = blocks.count(), asked.select("raw").distinct().count()
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("bytes", F.length("raw"))
+    several = asked.distinct().groupBy("vec_id", "bytes").count().where("count > 1").select("vec_id", "bytes", F.lit(True).alias("several"))
+    asked = materialise(asked.join(several, ["vec_id", "bytes"], "left").select("vec_id", "raw", F.when(F.col("several"), F.col("vec_id")).alias("asker")), "asked")
+    units = asked.select("raw", "asker").distinct()
+    n_blocks, n_queries = blocks.count(), units.count()
     parts, groups = max(1, -(-n_queries // QUERIES)), max(1, min(GROUPS, n_blocks))
-    distinct = asked.select("raw").distinct().withColumn("part", F.pmod(F.xxhash64("raw"), F.lit(parts)))
-    packed = distinct.groupBy("part").agg(F.collect_list("raw").alias("raws")).select("part", "raws", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    distinct = units.withColumn("part", F.pmod(F.xxhash64("raw", "asker"), F.lit(parts)))
+    packed = distinct.groupBy("part").agg(F.collect_list(F.struct("raw", "asker")).alias("raws")).select("part", "raws", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
     dealt = blocks.withColumn("group", F.pmod("block", F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def answer(batches):
         for batch in batches:
             for raws, dim, size, low, width, cells, small, exact, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = [r for r in raws if len(r) == 8 * dim]
+                own = [(r["raw"], r["asker"]) for r in raws if len(r["raw"]) == 8 * dim]
                 rows = []
                 low, width = np.frombuffer(low, "<i8"), np.frombuffer(width, "<i8")
                 cells, exact = np.frombuffer(cells, np.uint8).reshape(size, dim), np.frombuffer(exact, "<i2" if small else "<i8").reshape(size, dim)
@@ -135,21 +141,27 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                 for _ in range(size):
                     entry.append(flat[at + 1 : at + 1 + flat[at]])
                     at += 1 + flat[at]
+                alone = {asker: [] for _, asker in own}  # the entries that hold no other id
+                for f, held in enumerate(entry):
+                    if len(held) == 1 and held[0] in alone:
+                        alone[held[0]].append(f)
                 for k in range(0, len(own), 128):
-                    q = np.frombuffer(b"".join(own[k : k + 128]), "<i8").reshape(-1, dim) if dim else np.zeros((len(own[k : k + 128]), 0), np.int64)
-                    for raw, (found, score) in zip(own[k : k + 128], best_of(q, low, width, cells, exact, top + 1), strict=True):
-                        pairs = sorted((-int(s), i) for f, s in zip(found, score, strict=True) for i in entry[f])[: top + 1]
-                        rows += [(raw, i, -s) for s, i in pairs]
-                cols = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["raw", "vec_id", "score"])
+                    some = own[k : k + 128]
+                    q = np.frombuffer(b"".join(raw for raw, _ in some), "<i8").reshape(-1, dim) if dim else np.zeros((len(some), 0), np.int64)
+                    for (raw, asker), (found, score) in zip(some, best_of(q, low, width, cells, exact, top + 1, [alone[asker] for _, asker in some]), strict=True):
+                        pairs = sorted((-int(s), i) for f, s in zip(found, score, strict=True) for i in entry[f] if i != asker)[: top + 1]
+                        rows += [(raw, asker, i, -s) for s, i in pairs]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["raw", "asker", "vec_id", "score"])
 
     bounded_batches(vectors.sparkSession)
     met = dealt.join(packed, ["part", "group"]).select("raws", "dim", "size", "low", "width", "cells", "small", "exact", "ids")
-    found = materialise(met.mapInArrow(answer, "raw binary, vec_id long, score long"), "found")
-    order = Window.partitionBy("raw").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+    found = materialise(met.mapInArrow(answer, "raw binary, asker long, vec_id long, score long"), "found")
+    order = Window.partitionBy("raw", "asker").orderBy(F.col("score").desc(), "vec_id")
+    merged = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).groupBy("raw", F.col("asker").alias("for")).agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     bounded_batches(vectors.sparkSession)
-    joined = asked.select(F.col("vec_id").alias("query_id"), "raw").join(merged, "raw")
+    merged = merged.withColumnRenamed("raw", "of")
+    joined = asked.select(F.col("vec_id").alias("query_id"), "raw", "asker").join(merged, (F.col("raw") == F.col("of")) & F.col("asker").eqNullSafe(F.col("for")))
     others = joined.select("query_id", F.slice(F.filter("best", lambda b: b.vec_id != F.col("query_id")), 1, top).alias("best"))
     return others.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
