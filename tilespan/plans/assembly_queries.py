@@ -75,13 +75,13 @@ def clustered(spark, sf):
 
 @query()
 def communities(spark, sf):
-    return clustered(spark, sf)[2].where("size > 1")
+    return clustered(spark, sf)[2]
 
 
 @query()
 def layout(spark, sf):
     strings, edges, members = clustered(spark, sf)
-    return assembly.layout(members.where("size > 1"), strings, scorer(spark, sf), assembly.Backbone(), GATES.gap, edges)
+    return assembly.layout(members, strings, scorer(spark, sf), assembly.Backbone(), GATES.gap, edges)
 
 
 @query()
