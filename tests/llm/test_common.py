@@ -29,10 +29,44 @@ def test_hashes_depend_on_words_alone():
     assert len(np.unique(whole)) == len(words)
     b, s2, e2, _ = common.word_table([b"\n".join(reversed(words))])
     for piece in (1, 100, 1 << 21):
-        assert (common.word_hashes(b, s2, e2, piece)[::-1] == whole).all()
+        assert (common.word_hashes(b, s2, e2, piece=piece)[::-1] == whole).all()
     assert len(common.window_hashes(whole, 5)) == len(words) - 4 and not len(common.window_hashes(whole[:3], 5))
 
 
+def turned(n):
+    """The two words of 2 ** n letters whose polynomial hashes modulo 2 ** 64 agree for any base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_that_differ_have_hashes_that_differ():
+    words = [w.encode() for n in range(3, 18) for w in turned(n)]
+    words += [b"x" * n + c + b"y" * n for n in (32, 512, 50_000) for c in (b"p", b"q")]
+    words += [b"a" * n for n in (1, 7, 8, 9, 63, 64, 65, 66, 1024, 100_000)]
+    a, s, e, _ = common.word_table([b" ".join(words)])
+    first, second = common.word_hashes(a, s, e), common.word_hashes(a, s, e, 1)
+    assert len(np.unique(first)) == len(np.unique(second)) == len(words)
+    assert not (first == second).any()
+
+
+def test_short_words_never_meet():
+    r = np.random.default_rng(1)
+    words = {bytes(w[w > 32]) for w in r.integers(0, 255, (200_000, 9), np.uint8)} - {b""}
+    a, s, e, _ = common.word_table([b" ".join(sorted(words))])
+    assert len(np.unique(common.word_hashes(a, s, e))) == len(words)
+
+
+def test_sizes():
+    assert [common.byte_size(x) for x in ("64MB", "2m", "4096", "1g", "3kb", "512b", "-1")] == [64 << 20, 2 << 20, 4096, 1 << 30, 3 << 10, 512, -1]
+
+
+def test_blocks_grow_with_the_root_of_the_corpus():
+    assert blocks.grain(0) == blocks.grain(10**9) == blocks.LEAST_BYTES
+    assert blocks.grain(10**11) == int((600 * 10**11) ** 0.5) and blocks.grain(10**14) == blocks.MOST_BYTES
+
+
 def test_keys_round_trip():
     r = np.random.default_rng(0)
     for n in (1, 2, 1000):

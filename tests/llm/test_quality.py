@@ -8,6 +8,7 @@ import pytest
 from tilespan.llm import quality
 
 from .cases import frame
+from .test_common import turned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,3 +82,9 @@ def test_held_out():
     x = quality.statistics([text(not v) for v in y])[1]
     trees = quality.boost(x[:800], y[:800], [d for _, d in quality.FEATURES])
     assert ((trees.score(x[800:]) >= 0.5) == y[800:]).mean() > 0.98
+
+
+def test_long_words_that_differ_repeat_nothing():
+    a, b = turned(10)
+    base, _ = quality.statistics([f"p q r s {a} x1 x2 x3 x4 x5 p q r s {b}".encode(), f"p q r s {a} x1 x2 x3 x4 x5 p q r s {a}".encode()])
+    assert base[:, 4].tolist() == [0, 10]

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _U = np.uint64
 
 
@@ -26,12 +29,11 @@ def ship(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else None
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tilespan-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,10 +43,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tilespan-{uuid.uuid4().hex}-{label}"
 
 
+def byte_size(text: str) -> int:
+    """Bytes of a size setting such as 64MB, 2m or 4096."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)(?:i?b)?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
-    """Arrow batches of this many bytes at most, so that a task's Python memory doesn't follow the length of texts; a lower setting stays."""
+    """Arrow batches of this many bytes at most, so that a task's Python memory doesn't follow the length of texts. The setting is
+    read when a query runs, after its operator has returned, so it stays; a lower one is left alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match("[0-9]+", spark.conf.get(key))[0]) > size:
+    if byte_size(spark.conf.get(key)) > size:
         spark.conf.set(key, f"{size}b")
 
 
@@ -78,19 +87,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return cached(f"powers {n}", lambda: _make_powers(n))
-
-
-def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(n, base, np.uint64)
-        x[:1] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (exclusive) byte of every word in a byte array."""
     space = _SPACE[a]
@@ -102,32 +98,43 @@ def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of every word's bytes, made piece by piece so that a very long text needs little memory."""
+def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, piece: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of every word's bytes; hashes of two seeds are independent.
+
+    Words of up to LONG_WORD bytes take eight bytes at a time through a bijective scrambling, side by side, so that words of
+    one length up to eight bytes never meet; longer ones take XXH3. Made piece by piece, in memory of a few times piece words.
+    """
     out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, low + piece, "right")))
-        high = int(ends[to - 1])
-        n = 1 << max(16, (high - low).bit_length())
-        power, inverse = _powers(n)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((a[low:high].astype(np.uint64) + _U(1)) * power[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-        at = to
+    held = np.zeros(len(a) + 8, np.uint8)
+    held[: len(a)] = a
+    eight = np.ndarray((len(a) + 1,), "<u8", held, strides=(1,))
+    key = mix64(np.array([seed], np.uint64) + _U(_BASE))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    begin = mix64((np.arange(LONG_WORD + 1, dtype=np.uint64) + _U(1)) * key)
+    for low in range(0, len(starts), piece):
+        s, size = starts[low : low + piece], ends[low : low + piece] - starts[low : low + piece]
+        h = mix64(begin[np.minimum(size, LONG_WORD)] ^ (eight[s] & mask[np.minimum(size, 8)]))
+        more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(more):
+            left = size[more] - at
+            h[more] = mix64((h[more] + key) * _U(0xD1342543DE82EF95) ^ (eight[s[more] + at] & mask[np.minimum(left, 8)]))
+            more, at = more[left > 8], at + 8
+        for k in np.flatnonzero(size > LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(a[s[k] : s[k] + size[k]], seed)
+        out[low : low + piece] = h
     return out
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every run of size words (none if there are fewer)."""
+    """A 64-bit hash of every run of size words (none if there are fewer), from the words' hashes."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc = np.full(n, seed + size, np.uint64)
     for j in range(size):
-        acc = acc * _U(0xD1342543DE82EF95) + words[j : j + n]
+        acc ^= acc >> _U(32)
+        acc *= _U(0xD1342543DE82EF95)
+        acc += words[j : j + n]
     return mix64(acc)
 
 

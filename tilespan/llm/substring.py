@@ -4,8 +4,8 @@ Levels are window lengths, each about twice the one before, up to the wanted len
 level only one window in each wanted stretch need be looked at: that of least hash (winnowing), which two documents that
 share the stretch both choose. Windows repeated at one length alone are extended to the next: a longer window stays a
 candidate if both halves, or its chosen first-level window, stand in another document too. At the last level a bucket
-tells each candidate whether a document of smaller doc_id starts the same window (128-bit hashes there). No pairs are made,
-and a passage that a third of all documents hold is one key a block.
+tells each candidate whether a document of smaller doc_id starts the same window (128 bits there: two hashes of all words
+under two seeds, so words that met in one would differ in the other). No pairs are made, and a passage that a third of all documents hold is one key a block.
 
 Defined cases. Null or empty text: no words. Null doc_id: after all others; such documents are no earlier than each other.
 Rows of one doc_id: neither is earlier than the other. Fewer words than a window: nothing removed. Very long texts: whole.
@@ -64,7 +64,8 @@ class Windows:
         """Hashes of the windows asked about at this level, one for each place."""
         size = self.lengths[self.step]
         if self.step == len(self.lengths) - 1:
-            return np.stack([window_hashes(self.words, size)[self.places()], window_hashes(self.words, size, 77)[self.places()]], 1)
+            other = word_hashes(self.bytes, self.starts, self.ends, 1)
+            return np.stack([window_hashes(self.words, size)[self.places()], window_hashes(other, size, 77)[self.places()]], 1)
         return window_hashes(self.words, size)[self.places()]
 
     def places(self) -> np.ndarray:
