@@ -7,6 +7,7 @@ from collections import Counter
 from tilespan.llm import lm
 
 from .cases import frame, row
+from .test_common import turned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,3 +48,9 @@ def test_empty_and_alone(spark):
     assert lm.score(frame(spark, [])).count() == 0
     got = lm.score(frame(spark, [row(12, "word")])).collect()
     assert got[0].log_score == math.log(0.4)
+
+
+def test_long_words_that_differ(spark):
+    a, b = turned(10)
+    got = lm.score(frame(spark, [row(1, a), row(2, b), row(3, "third")])).collect()
+    assert {round(r.log_score, 3) for r in got} == {round(math.log(0.4 / 3), 3)}

@@ -5,7 +5,8 @@ import re
 
 from tilespan.llm import substring
 
-from .cases import frame
+from .cases import frame, row
+from .test_common import turned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,7 +42,7 @@ def test_small_blocks(spark, monkeypatch):
 
     docs = frame(spark)
     rows = [tuple(r) for r in docs.collect()]
-    monkeypatch.setattr(blocks, "BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(blocks, "grain", lambda total: 1 << 12)
     made = blocks.make_blocks
     monkeypatch.setattr(substring, "make_blocks", lambda d: made(d, 2000))
     got = substring.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
@@ -52,5 +53,13 @@ def test_empty(spark):
     assert substring.dedup(frame(spark, [])).count() == 0
 
 
+def test_long_words_that_differ(spark):
+    for n in (10, 16):
+        a, b = turned(n)
+        head = " ".join(f"w{k}" for k in range(12))
+        got = substring.dedup(frame(spark, [row(1, f"{head} {a}"), row(2, f"{head} {b}"), row(3, f"{head} {b}")])).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
+
+
 def test_levels():
     assert substring.levels(13) == [7, 13] and substring.levels(8) == [8] and substring.levels(50) == [7, 13, 25, 50]

@@ -4,12 +4,15 @@ Exploding every n-gram of a corpus into rows costs three times what its hash doe
 megabytes. A block sends each hash bucket one row: its distinct keys of that bucket, sorted, and a value for each. A
 bucket holds the whole corpus's entries for its keys, so it can sum or compare them, and answers each block with one value
 for each key in the order asked. Keys are distinct in a block, so a key that a third of all documents hold reaches its
-bucket once from each block, and buckets stay even by the hash. Their number follows the corpus, BUCKET_BYTES of text to each.
+bucket once from each block, and buckets stay even by the hash. Blocks and buckets stand for the same bytes of text, which grow
+with the square root of the corpus so that a packet keeps about PACKET keys, up to MOST_BYTES, what a task can hold in memory;
+beyond (0.5 TB) packets get smaller instead. Shuffles take a partition for each block, so that a task's share doesn't grow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,27 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, ship, word_bounds
 
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Text in a block or bucket, from and to; keys in a packet between one block and one bucket; partitions of a shuffle, at most.
+LEAST_BYTES, MOST_BYTES, PACKET, MOST_PARTS = 4 << 20, 16 << 20, 200, 20_000
 
 
-def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+def grain(total: int) -> int:
+    """Bytes of text to a block or bucket of a corpus of this size; some two keys stand for six bytes."""
+    return int(min(MOST_BYTES, max(LEAST_BYTES, (3 * PACKET * total) ** 0.5)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Bits of the bucket number, words of all blocks, and partitions of a shuffle."""
+
+    bits: int
+    words: int
+    parts: int
+
+
+def make_blocks(docs: DataFrame, size: int | None = None) -> DataFrame:
     """A written table of blocks: block, ids (doc_id of each document), texts (UTF-8; null: empty), n_bytes, n_words. A longer document is a block alone."""
+    size = size or grain(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def pack(batches):
         ids, texts, held = [], [], 0
@@ -48,10 +67,10 @@ def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": str(16 << 20)})
 
 
-def bits_for(blocks: DataFrame, least: int = 7) -> tuple[int, int]:
-    """Bits of the bucket number, and the words of all blocks."""
-    total = blocks.agg(F.sum("n_bytes"), F.sum("n_words")).first()
-    return max(least, int(np.ceil(np.log2(max(1, (total[0] or 0) / BUCKET_BYTES))))), int(total[1] or 0)
+def plan_for(blocks: DataFrame, least: int = 7) -> Plan:
+    total, words, n = blocks.agg(F.sum("n_bytes"), F.sum("n_words"), F.count("*")).first()
+    buckets = max(1, (total or 0) / grain(total or 0))
+    return Plan(max(least, int(np.ceil(np.log2(buckets)))), int(words or 0), min(MOST_PARTS, max(n, blocks.sparkSession.sparkContext.defaultParallelism)))
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -95,7 +114,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.flatnonzero(new) + 1)) if len(keys) else np.zeros(0, np.int64)
 
 
-def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide: bool = False, answers: DataFrame | None = None) -> DataFrame:
+def ask(blocks: DataFrame, request: Callable, answer: Callable, plan: Plan, wide: bool = False, answers: DataFrame | None = None) -> DataFrame:
     """The written answers of a round, a row for each block: block, parts (bucket, data).
 
     request(ids, texts, earlier) gives a block's sorted distinct keys and non-negative values; earlier holds the answers of
@@ -103,6 +122,8 @@ def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide:
     returns a non-negative value for each.
     """
 
+    bits = plan.bits
+
     def send(batches):
         for block, ids, texts, *earlier in each_block(batches):
             keys, values = request(ids, texts, earlier)
@@ -123,17 +144,20 @@ def ask(blocks: DataFrame, request: Callable, answer: Callable, bits: int, wide:
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array([shrink(x) for x in out], pa.binary()), "n": pa.array(sizes, pa.int32())})
 
     bounded_batches(blocks.sparkSession)
-    sent = joined(blocks, answers).mapInArrow(send, "bucket int, block long, keys binary, data binary, n int")
-    answered = sent.groupBy("bucket").applyInArrow(meet, "block long, bucket int, data binary, n int")
-    packed = answered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data", "n"))).alias("parts"))
+    sent = joined(blocks, answers, plan).mapInArrow(send, "bucket int, block long, keys binary, data binary, n int")
+    answered = sent.repartition(plan.parts, "bucket").groupBy("bucket").applyInArrow(meet, "block long, bucket int, data binary, n int")
+    packed = answered.repartition(plan.parts, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data", "n"))).alias("parts"))
     return materialise(packed, "answers")
 
 
-def joined(blocks: DataFrame, answers: DataFrame | list[DataFrame] | None) -> DataFrame:
+def joined(blocks: DataFrame, answers: DataFrame | list[DataFrame] | None, plan: Plan) -> DataFrame:
     """Blocks with the answers of earlier rounds; a block that asked nothing has none."""
     out = blocks.select("block", "ids", "texts")
-    for k, a in enumerate([answers] if isinstance(answers, DataFrame) else answers or []):
-        out = out.join(a.withColumnRenamed("parts", f"parts{k}"), "block", "left")
+    answers = [answers] if isinstance(answers, DataFrame) else answers or []
+    if answers:
+        out = out.repartition(plan.parts, "block")
+    for k, a in enumerate(answers):
+        out = out.join(a.withColumnRenamed("parts", f"parts{k}").repartition(plan.parts, "block"), "block", "left")
     return out
 
 

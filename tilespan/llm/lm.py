@@ -7,7 +7,9 @@ c(uvw) / c(uv) if c(uvw) > 0; else 0.4 c(vw) / c(v) if c(vw) > 0; else 0.16 c(w)
 At a document's start the longest n-gram is the one that fits, with factor 1.
 
 Defined cases. Null or empty text: no words, log_score 0, mean null. Null doc_id: kept. Repeated rows: documents of their own,
-so each sees the other's counts. Very long texts: whole. Empty table: no rows. One document alone: every word unseen.
+so each sees the other's counts. Very long texts: whole. Empty table: no rows. One document alone: every word unseen. Extra
+columns, whatever their names: ignored. N-grams are told apart by 64-bit hashes: among n distinct ones some n * n / 2**65 pairs are
+counted as one (none to be expected below a billion).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask, bits_for, distinct, each_block, joined, make_blocks
+from .blocks import ask, distinct, each_block, joined, make_blocks, plan_for
 from .common import bounded_batches, mix64, ship, window_hashes, word_hashes, word_table
 
 ORDER, BACKOFF = 3, 0.4
@@ -92,13 +94,13 @@ def scores(grams: Grams, counts: list[np.ndarray], total: int) -> np.ndarray:
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score (sum over the words, natural logarithm) and mean_log_score of every document."""
     blocks = make_blocks(docs)
-    bits, total = bits_for(blocks)
+    plan = plan_for(blocks)
     rounds = [tuple(range(1, order)), (order,)] if order > 1 else [(1,)]
 
     def requested(orders):
         return lambda ids, texts, before: Grams(texts).asked(orders)[:2]
 
-    answers = [ask(blocks, requested(orders), summed, bits) for orders in rounds]
+    answers = [ask(blocks, requested(orders), summed, plan) for orders in rounds]
 
     def finish(batches):
         for _, ids, texts, *before in each_block(batches):
@@ -106,14 +108,15 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for orders, reply in zip(rounds, before, strict=True):
                 each = reply[grams.asked(orders)[2]] if len(reply) else np.zeros(0, np.int64)
                 counts += np.split(each, np.cumsum([len(grams.places(n)) for n in orders])[:-1])
-            s = np.concatenate(([0.0], np.cumsum(scores(grams, counts, total))))
             n = np.diff(grams.first)
-            value = np.array([float(np.sum(np.diff(s[i : j + 1]))) if j > i else 0.0 for i, j in zip(grams.first[:-1], grams.first[1:], strict=True)])
+            value = np.zeros(len(n))
+            if n.any():
+                value[n > 0] = np.add.reduceat(scores(grams, counts, plan.words), grams.first[:-1][n > 0])
             mean = [v / k if k else None for v, k in zip(value.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(value), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
     bounded_batches(docs.sparkSession)
-    return joined(blocks, answers).mapInArrow(finish, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return joined(blocks, answers, plan).mapInArrow(finish, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

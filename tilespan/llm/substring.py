@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import ask, bits_for, distinct, each_block, joined, make_blocks
+from .blocks import ask, distinct, each_block, joined, make_blocks, plan_for
 from .common import bounded_batches, ship, window_hashes, word_hashes, word_table
 
 WINDOW, SHORTEST = 13, 8
@@ -149,7 +149,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space) of every document."""
     lengths = levels(window)
     blocks = make_blocks(docs)
-    bits, _ = bits_for(blocks)
+    plan = plan_for(blocks)
     answers: list[DataFrame] = []
 
     def at_level(ids, texts, before):
@@ -165,7 +165,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             keys, value, _ = at_level(ids, texts, before).asked()
             return keys, _signed(value) if last else value
 
-        answers.append(ask(blocks, request, earlier if last else repeated, bits, wide=last, answers=list(answers)))
+        answers.append(ask(blocks, request, earlier if last else repeated, plan, wide=last, answers=list(answers)))
 
     def finish(batches):
         for _, ids, texts, *before in each_block(batches):
@@ -180,7 +180,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     bounded_batches(docs.sparkSession)
-    return joined(blocks, answers).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined(blocks, answers, plan).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
