@@ -74,6 +74,44 @@ def test_positions_invert_demand():
             assert abs(low + w0 * (t1 - t0) + slope * (t1 - t0) ** 2 / 2 - high) < 1e-12
 
 
+def test_positions_follow_the_schedules(spark):
+    """Up to any position, a source's words due by then are its schedule's integral there, to a document's size."""
+    got = [r for r in mixing.mix(spark.createDataFrame(rows(), SCHEMA)).collect() if r.taken]
+    curves = (lambda t: 1.5 * t - t * t / 2, lambda t: t, lambda t: t / 2 if t < 0.5 else 0.25 + (t - 0.5) / 2 + 2 * (t - 0.5) ** 2)
+    names = sorted({s for _, _, s, *_ in rows()}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(WORD.findall(r[1] or "")) for r in rows() if r[2] == s) for s in names}
+    for k, s in enumerate(names):
+        own = [r for r in got if r.source_size == sizes[s]]
+        for r in own:
+            assert len(r.positions) == r.passes + (r.rest > 0) and r.positions == sorted(r.positions) and r.first_position == r.positions[0]
+        for at in (0.1, 0.3, 0.5, 0.9):
+            due = sum((p < at) * (r.rest if i == r.passes else r.size) for r in own for i, p in enumerate(r.positions))
+            assert abs(due - curves[k % 3](at) * sum(r.taken for r in own)) <= max(r.size for r in own)
+
+
+def test_reruns_take_the_same_texts(spark):
+    """Documents of one id and size, but not one text."""
+    docs = spark.createDataFrame([(1, f"a{k} b c d e f g", "s" if k % 2 else "t", "", 0.0, 0) for k in range(80)], SCHEMA)
+    first, second = (sorted(map(str, mixing.mixed_rows(docs.repartition(n)).collect())) for n in (1, 5))
+    assert first == second
+
+
+def test_one_key_in_several_ranges(spark, monkeypatch):
+    """Equal rows share the sum of their words over any number of ranges."""
+    made = mixing.ranged
+    monkeypatch.setattr(mixing, "ranged", lambda df, order, label: made(df, order, label, 7))
+    docs = spark.createDataFrame([(None, "a b c", "s", "", 0.0, 0)] * 90 + [(k, "a b c d", "t", "", 0.0, 0) for k in range(10)], SCHEMA)
+    got = mixing.mix(docs).collect()
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+
+
+def test_names_with_backticks(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5)], "doc_id long, text string, source string, `a``b.c` int")
+    assert mixing.mixed_rows(docs).first()["a`b.c"] == 5
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixed_rows(spark.createDataFrame([(1, "", "a", "", 0.0, 0), (2, None, None, "", 0.0, 0)], SCHEMA)).count() == 0

@@ -6,12 +6,13 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +70,19 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, order: Sequence, label: str, rows_each: int = 1 << 17) -> DataFrame:
+    """df laid out in a total order, written: _part, the range a row is in, and _at, which rises in a range. Ranges take rows_each rows
+    each about, however equal the first columns of the order are, as long as the last ones tell rows apart."""
+    parts = -(-df.count() // rows_each) or 1
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return materialise(laid, label).withColumn("_part", F.shiftright("_at", 33))
+
+
+def named(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cached(key: str, make: Callable[[], object]) -> object:
     """A value kept for the life of this Python worker; functions shipped by value have no module of their own to keep it in."""
     import pyspark

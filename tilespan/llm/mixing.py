@@ -5,10 +5,14 @@ source's cumulative token demand. The source's documents stand in a fixed hashed
 whose words begin at offset c of that stream is due when cumulative demand reaches c, so the inverse of the demand
 curve gives its training position, and a range sort by position lays the corpus out.
 
+The hashed order goes by doc_id and text, so a rerun takes the same texts; it is cut into ranges of equally many rows, also
+within one source, doc_id or text, and each range counts on from those before. Sources are sorted in one task, a row for each:
+they may number some millions, not more.
+
 Defined cases. Null text: size 0. Null source: a source of its own, last. Null doc_id: a document like any other.
 Repeated rows: documents of their own. Empty table: no rows. The boundary document of a source gives its first words
-only, so that the source's taken words equal its target to the nearest word. Input columns may have any names: they
-travel in one struct.
+only, so that the source's taken words equal its target to the nearest word. A document of which nothing is taken has no
+position. Input columns may have any names: they travel in one struct.
 """
 
 from __future__ import annotations
@@ -19,15 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialise
+from .common import WORD, materialise, named, ranged
 
 #: Weights by source in code-point order, repeating, and the most passes over a source.
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 #: Weight schedules as (time, weight) corners, repeating over the sources: fading, constant, rising.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.5)))
-#: Hex digits of the hashed order that split a source into separately summed chunks (16 ** 3 a source).
-CHUNK_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -74,21 +76,23 @@ def _timer(schedule):
 
 def placements(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, schedules: Sequence = SCHEDULES) -> DataFrame:
     """A row for each document: row (struct of the kept columns), size, source_size, target, taken, passes (whole passes), rest (words of a last, partial pass), positions (one for each pass), first_position."""
+    source, heavy = ["name", "unnamed"], "text" in keep
+    digest = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"),
-        word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"), F.col("doc_id").alias("id"),
+        F.struct(*map(named, keep)).alias("row"), F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"),
+        word_count(F.col("text")).alias("size"), digest.alias("order"), F.monotonically_increasing_id().alias("uid"),
     )
-    sized = materialise(sized, "sized").withColumn("chunk", F.substring("order", 1, CHUNK_DIGITS))
-    source = ["name", "unnamed"]
-    chunks = sized.groupBy(*source, "chunk").agg(F.sum("size").alias("chunk_size"))
-    sizes = chunks.groupBy(*source).agg(F.sum("chunk_size").alias("source_size"))
+    sized = materialise(sized, "sized")
+    laid = ranged(sized.drop("row") if heavy else sized, [*source, "order", "uid"], "laid").drop("order")
+    ranges = laid.groupBy(*source, "_part").agg(F.sum("size").alias("range_size"))
+    sizes = ranges.groupBy(*source).agg(F.sum("range_size").alias("source_size"))
     found = targets(sizes.select(*source, "source_size", F.when(~F.col("unnamed"), F.col("name")).alias("source")), weights, most)
     found = found.select(*source, "source_size", "target", "rank", F.round("target").cast("bigint").alias("total"))
-    before = Window.partitionBy(*source).orderBy("chunk")
-    chunks = chunks.select(*source, "chunk", (F.sum("chunk_size").over(before) - F.col("chunk_size")).alias("chunk_before")).join(found, source)
-    within = Window.partitionBy(*source, "chunk").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("within", F.sum("size").over(within) - F.col("size")).join(chunks, [*source, "chunk"])
-    placed = placed.withColumn("offset", F.col("chunk_before") + F.col("within"))
+    before = Window.partitionBy(*source).orderBy("_part")
+    ranges = ranges.select(*source, "_part", (F.sum("range_size").over(before) - F.col("range_size")).alias("before")).join(found, source)
+    within = Window.partitionBy(*source, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.withColumn("within", F.sum("size").over(within) - F.col("size")).join(ranges, [*source, "_part"])
+    placed = placed.withColumn("offset", F.col("before") + F.col("within"))
     placed = placed.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("total div source_size")).otherwise(0))
     rest = F.col("total") - F.col("passes") * F.col("source_size") - F.col("offset")
     placed = placed.withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
@@ -96,6 +100,8 @@ def placements(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequ
     starts = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)), lambda k: (k * F.col("source_size") + F.col("offset")) / F.col("total")))
     which = F.col("rank") % len(schedules)
     times = F.coalesce(*[F.when(which == (k + 1) % len(schedules), F.transform(starts, _timer(s))) for k, s in enumerate(schedules)])
+    if heavy:
+        placed = placed.join(sized.select("uid", "row"), "uid")  # long texts are shuffled here only
     return placed.select("row", "size", "source_size", "target", "taken", "passes", "rest", times.alias("positions"), F.element_at(times, 1).alias("first_position"))
 
 
@@ -125,12 +131,13 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    due = F.concat_ws(",", F.transform("positions", lambda p: F.floor(p * 1e9).cast("string")))
+    return mix(docs).select("row.doc_id", "size", "source_size", "target", "taken", "first_position", due.alias("positions"))
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o
+  SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS o
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -140,12 +147,27 @@ levels AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER (ORDER BY cap / w, rank) - cap))
     / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
 found AS (
-  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 0) * w) AS target FROM levels),
+  SELECT source, source_size, rank, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 0) * w) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, f.source_size, f.target, round(f.target)::BIGINT AS total,
-    (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS before
-  FROM sized s JOIN found f ON s.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (total // source_size) * size + greatest(0, least(size, total - (total // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
-FROM placed
+  SELECT s.doc_id, s.size, f.source_size, f.target, f.rank, round(f.target)::BIGINT AS total,
+    CASE WHEN f.source_size > 0 THEN round(f.target)::BIGINT // f.source_size ELSE 0 END AS passes,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.o ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS before
+  FROM sized s JOIN found f ON s.source IS NOT DISTINCT FROM f.source),
+counted AS (SELECT *, greatest(0, least(size, total - passes * source_size - before)) AS rest FROM placed),
+due AS (
+  SELECT *, passes * size + rest AS taken,
+    CASE WHEN passes * size + rest > 0 THEN [(k * source_size + before) / total::DOUBLE for k in range(0, passes + CASE WHEN rest > 0 THEN 1 ELSE 0 END)] END AS shares
+  FROM counted),
+-- the demand curves: weight 1.5 - t, integral 1.5 t - t * t / 2; weight 1; weight 0.5 up to 0.5, then 0.5 + 4 (t - 0.5)
+timed AS (
+  SELECT *, CASE rank % 3
+    WHEN 1 THEN [(sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE + -2.0::DOUBLE * s)) - 1.5::DOUBLE) / -1.0::DOUBLE for s in shares]
+    WHEN 2 THEN [s / 1.0::DOUBLE for s in shares]
+    ELSE [CASE WHEN s < 0.25::DOUBLE THEN s / 0.5::DOUBLE
+      ELSE 0.5::DOUBLE + (sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + 8.0::DOUBLE * (s - 0.25::DOUBLE))) - 0.5::DOUBLE) / 4.0::DOUBLE END for s in shares] END AS raw
+  FROM due),
+bounded AS (SELECT *, [least(1.0::DOUBLE, greatest(0.0::DOUBLE, p)) for p in raw] AS times FROM timed)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, times[1] AS first_position,
+  coalesce(array_to_string([floor(p * 1e9::DOUBLE)::BIGINT for p in times], ','), '') AS positions
+FROM bounded
 """

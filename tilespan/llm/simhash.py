@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, materialise, ship
+from .common import bounded_batches, materialise, named, ship
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -183,7 +183,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of least doc_id (nulls last), then of least fingerprint and text."""
     names = {c: ("text" if c == "text" else f"c{k}") for k, c in enumerate(docs.columns)}  # by place, so that no name can clash
-    carried = materialise(with_fingerprints(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), "__fp"), "carried")
+    carried = materialise(with_fingerprints(docs.select(*[named(c).alias(n) for c, n in names.items()]), "__fp"), "carried")
     prints = carried.select(F.col(names["doc_id"]).alias("doc_id"), F.col("__fp").alias("fp"))
     found = classes_of(prints)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("b")).select("b.no_id", "b.least", "b.fp")
