@@ -87,3 +87,46 @@ def test_combinations():
     want = {tuple(sorted((a, b))) for a in range(1, 24) for b in range(1, 24) if a + b == 24}
     want |= {tuple(sorted((a, b, 24 - a - b))) for a in range(1, 23) for b in range(1, 23) if 24 - a - b > 0}
     assert got == want
+
+
+def test_two_tokenizers_agree():
+    """The faster library gives the ids of the one that the contract names, on odd characters, blanks, marks and case."""
+    import random
+
+    r = random.Random(4)
+    ids, encode = tokens, packing.encoder(*packing.paths())
+    pools = ["abc XYZ'sdtlm 019", " \t\n\r\x0b\x0c\x85\xa0\u2003\u3000", "éüßñ\u0301\u200d\u00ad", "漢字かな\u0e01\u0e33\u0905", "\U0001f600\U0001f468\u200d\U0001f469\ufe0f", "\x00\x01\x1f\x7f\ufffe", ".,;:!?-_#*$%&|<>()"]
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["<|endoftext|>", "a<|", "x" * 5000, " " * 5000, "1" * 3000]
+    for text, want in zip(texts, ids(texts), strict=True):
+        assert encode(text).tolist() == want[:-1].tolist(), text
+
+
+def test_other_trouble_is_raised():
+    encode = packing.encoder(*packing.paths())
+    for wrong in (5, None):
+        try:
+            encode(wrong)
+        except TypeError:
+            continue
+        raise AssertionError
+
+
+def test_waves():
+    got = packing.in_waves([((3, 5), 7), ((8,), 2)], 4)
+    assert [w for w, _, _ in got] == sorted(w for w, _, _ in got)
+    assert sum(n for _, p, n in got if p == (3, 5)) == 7 and sum(n for _, p, n in got if p == (8,)) == 2
+
+
+def test_sequences_keep_the_documents_order(spark, tmp_path):
+    """Read back from sorted files, early documents stand in early sequences."""
+    import random
+
+    r = random.Random(1)
+    rows = [row(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 2500)))) for k in range(1500)]
+    frame(spark, rows).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    got = packing.placements(spark.read.parquet(f"{tmp_path}/docs"), grain=128).collect()
+    assert check(rows, got, 2048) < 0.1
+    last = max(g.sequence_id for g in got)
+    assert {g.sequence_id for g in got} == set(range(last + 1))
+    off = [abs(g.sequence_id / last - g.doc_id / len(rows)) for g in got]
+    assert sorted(off)[len(off) // 2] < 0.05 and sorted(off)[9 * len(off) // 10] < 0.15

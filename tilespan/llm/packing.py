@@ -3,9 +3,13 @@
 Documents are cut at every full window; the histogram counts the remainders in bins of GRAIN tokens. All combinations of
 two or three bins that fill a window are columns of a matrix; NNLS finds how often to use each so that the counts come
 out, the repeats are rounded down to what the counts allow, and a greedy pass over the combinations uses what is left.
-Pieces that no combination takes are laid end to end and cut at window boundaries, so that they leave no padding. The
-histogram, the repeats and the slot table have a few thousand entries whatever the corpus; ranks within bins and places
-of the rest come from two-level sums, so no group is gathered in one task.
+Pieces that no combination takes are laid end to end and cut at window boundaries, so that they leave no padding.
+
+Documents keep their order: that of their files' names and of the rows in a file, or as they come where they are from no file.
+The repeats of each combination are dealt to WAVES waves, a bin's pieces go to its slots in order, and sequences are numbered
+wave by wave, so that what stands early in a curriculum stands in early sequences. The histogram, the repeats and the slot
+table have some hundred thousand entries whatever the corpus; ranks within bins and places of the rest come from sorted ranges
+that each count on from those before, so no group is gathered in one task.
 
 Defined cases. Null or empty text: the end token alone. Null doc_id: kept. Repeated rows: documents of their own, each
 with its own pieces. Very long texts: whole, as many windows as they fill. Empty table: no rows. Extra columns: ignored.
@@ -22,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, cached, materialise, ship
+from .common import bounded_batches, cached, materialise, ranged, ship
 
 SEQUENCE, GRAIN, END = 2048, 8, 1
-#: Pieces in one chunk of a bin's ranking, and in one group of the residual's layout.
-CHUNK, GROUP = 1 << 12, 1 << 9
+#: Waves that the sequences are dealt to.
+WAVES = 64
 #: Pieces to cut of which the numbers are sent to every task (24 bytes each); more are joined by a shuffle.
 FEW = 100_000
 
@@ -48,8 +52,8 @@ def encoder(vocabulary: str, ranks: str):
         if "<|" not in text:
             try:
                 return np.array(fast.encode_ordinary(text), np.uint32)
-            except BaseException as trouble:  # the library's panics are no Exceptions
-                if isinstance(trouble, KeyboardInterrupt | SystemExit):
+            except BaseException as trouble:  # the library's panics, which it exports no class for, are no Exceptions
+                if type(trouble).__name__ != "PanicException":
                     raise
         if not exact:
             exact.append(Tokenizer.from_file(vocabulary))
@@ -65,25 +69,26 @@ def paths() -> tuple[str, str]:
 
 
 def pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int = SEQUENCE) -> DataFrame:
-    """Every document's tokens cut at full windows: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian 32-bit)."""
+    """Every document's tokens cut at full windows: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian 32-bit), and the file and the split of it that the document is from."""
     tokenizer = tokenizer or paths()
 
     def answer(batches):
         encode = cached(f"tokenizer {tokenizer}", lambda: encoder(*tokenizer))
         for batch in batches:
-            doc, rows = batch.column(0).to_pylist(), []
+            (doc, file, split), rows = (batch.column(c).to_pylist() for c in (0, 2, 3)), []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
                 raw = ids.tobytes()
                 for start in range(0, len(ids), window):
                     part = raw[4 * start : 4 * (start + window)]
-                    rows.append((doc[k], start, len(part) // 4, zlib.crc32(part), len(ids), part))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                    rows.append((doc[k], start, len(part) // 4, zlib.crc32(part), len(ids), part, file[k], split[k]))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int64()] * 5 + [pa.binary(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "file", "split"])
 
     bounded_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(answer, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "input_file_name() file", "input_file_block_start() split")
+    return texts.mapInArrow(answer, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, file string, split long")
 
 
 def combinations(units: int) -> np.ndarray:
@@ -96,19 +101,20 @@ def combinations(units: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative x with least |a x - b|: the active-set method on normal equations."""
-    gram, right = a.T @ a, a.T @ b
+    """Non-negative x with least |a x - b|: the active-set method on the normal equations of the used columns."""
+    right = a.T @ b
     x, used = np.zeros(a.shape[1]), []
     tolerance = 1e-7 * max(1.0, np.abs(right).max(initial=0.0))
     for _ in range(rounds or 3 * a.shape[0]):
-        slope = right - gram[:, used] @ x[used] if used else right.copy()
+        slope = a.T @ (b - a[:, used] @ x[used]) if used else right.copy()
         slope[used] = -np.inf
         k = int(np.argmax(slope))
         if slope[k] <= tolerance:
             break
         used.append(k)
         while used:
-            solved = np.linalg.solve(gram[np.ix_(used, used)] + 1e-8 * np.eye(len(used)), right[used])
+            own = a[:, used]
+            solved = np.linalg.solve(own.T @ own + 1e-8 * np.eye(len(used)), right[used])
             if solved.min() > 0:
                 x[:] = 0
                 x[used] = solved
@@ -155,40 +161,46 @@ def plan(counts: np.ndarray, units: int) -> list[tuple[tuple[int, ...], int]]:
     return list(chosen.items())
 
 
-def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int = SEQUENCE, grain: int = GRAIN) -> DataFrame:
-    """The piece table with a place for every piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+def in_waves(chosen: list[tuple[tuple[int, ...], int]], waves: int) -> list[tuple[int, tuple[int, ...], int]]:
+    """(wave, combination, repeats): every combination's repeats dealt evenly to the waves, wave by wave."""
+    done = lambda n, w: (2 * n * w + waves) // (2 * waves)
+    return [(w, parts, m) for w in range(waves) for parts, n in chosen if (m := done(n, w + 1) - done(n, w))]
+
+
+def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int = SEQUENCE, grain: int = GRAIN, waves: int = WAVES) -> tuple[DataFrame, DataFrame]:
+    """The piece table with a place for every piece (doc_id, start, length, ids_crc32, doc_tokens, uid, sequence_id, offset, and skip, the ids of the piece before it), and the pieces with their ids by uid."""
     units = window // grain
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"]
     cut = materialise(pieces(docs, tokenizer, window).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    rows = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid", F.when(F.col("length") == window, units).otherwise(F.least(F.lit(units - 1), F.expr(f"(length + {grain - 1}) div {grain}"))).cast("int").alias("bin"))
-    rows = rows.withColumn("tight", F.col("length") > (units - 1) * grain)
+    tight = F.col("length") > (units - 1) * grain  # a window of its own
+    rows = cut.select(*names, "file", "split", F.when(tight, units).otherwise(F.expr(f"(length + {grain - 1}) div {grain}")).cast("int").alias("bin"))
+    laid = ranged(rows, ["bin", "file", "split", "uid"], "laid").drop("file", "split")
+    ranges = laid.groupBy("bin", "_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("bin").orderBy("_part")  # a row for each range that a bin reaches into
+    ranges = materialise(ranges.select("bin", "_part", (F.sum("n").over(before) - F.col("n") - F.col("_first")).alias("_shift"), "n"), "ranges")
+    ranked = laid.join(ranges.drop("n"), ["bin", "_part"]).withColumn("rank", F.col("_at") + F.col("_shift"))
     counts = np.zeros(units + 1, np.int64)
-    for r in rows.groupBy(F.when(F.col("tight"), units).otherwise(F.col("bin")).alias("bin")).count().collect():
-        counts[r[0]] = r[1]
-    total = int(counts.sum())
-    chosen = plan(counts[:units], units)
+    for r in ranges.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    chosen = [*plan(counts[:units], units), ((units,), int(counts[units]))]
+
     slots: dict[int, list] = {}
-    sequences = 0
-    for parts, n in chosen:
+    sequences, ends = 0, [0] * waves
+    for w, parts, n in in_waves(chosen, waves):
         for p in sorted(set(parts)):
             slots.setdefault(p, []).append((n * parts.count(p), parts.count(p), sequences, parts.index(p)))
         sequences += n
+        ends[w] = sequences
+    ends = np.maximum.accumulate(ends).tolist()
     tables = {p: tuple(np.array(c, np.int64) for c in zip(*s, strict=True)) for p, s in slots.items()}
-    whole = int(counts[units])
-    chunks = max(1, -(-total // CHUNK))
-
-    ranked = rows.withColumn("bin", F.when(F.col("tight"), units).otherwise(F.col("bin"))).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.lit(chunks)))
-    before = ranked.groupBy("bin", "chunk").count().withColumn("before", F.sum("count").over(Window.partitionBy("bin").orderBy("chunk")) - F.col("count")).drop("count")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("uid"))).join(before, ["bin", "chunk"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
 
     def place(batches):
         for batch in batches:
             bins, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bin", "rank"))
-            seq, slot, rest = np.full(len(bins), -1), np.zeros(len(bins), np.int64), rank.copy()
+            seq, slot = np.full(len(bins), -1), np.zeros(len(bins), np.int64)
             for b in np.unique(bins):
-                own = np.flatnonzero(bins == b)
-                if b == units:
-                    seq[own] = sequences + rank[own]
-                elif b in tables:
+                if b in tables:
+                    own = np.flatnonzero(bins == b)
                     size, times, base, first = tables[b]
                     high = np.cumsum(size)
                     at = np.searchsorted(high, rank[own], "right")
@@ -197,39 +209,53 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str] | None = None, window: int
                     inner = rank[own_in] - (high - size)[at]
                     seq[own_in] = base[at] + inner // times[at]
                     slot[own_in] = first[at] + inner % times[at]
-                    rest[own] -= high[-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(bins), pa.array(seq), pa.array(slot), pa.array(rest)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid", "bin", "sequence_id", "slot", "rest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(seq), pa.array(slot)], names=[*names, "sequence_id", "slot"])
 
     bounded_batches(docs.sparkSession)
-    names = "doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"
-    placed = ranked.select(*names, F.col("bin").cast("int"), "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long, bin int, sequence_id long, slot long, rest long")
+    placed = ranked.select(*names, "bin", "rank").mapInArrow(place, ", ".join(f"{n} long" for n in (*names, "sequence_id", "slot")))
     placed = materialise(placed, "placed")
+
+    # what no combination took, end to end in the documents' order
+    loose = placed.where("sequence_id < 0").drop("sequence_id", "slot").join(cut.select("uid", "file", "split"), "uid") if int(counts.sum()) > sum(n * len(p) for p, n in chosen) else None
+    if loose is None:
+        rest, windows = None, 0
+    else:
+        loose = ranged(loose, ["file", "split", "uid"], "loose").drop("file", "split")
+        sums = loose.groupBy("_part").agg(F.sum("length").alias("size"))
+        sums = materialise(sums.select("_part", "size", (F.sum("size").over(Window.orderBy("_part")) - F.col("size")).alias("before")), "sums")  # a row for each range
+        within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        rest = loose.withColumn("at", F.sum("length").over(within) - F.col("length")).join(sums.drop("size"), "_part").withColumn("at", F.col("at") + F.col("before"))
+        windows = -(-int(sums.agg(F.sum("size")).first()[0]) // window)
+    loose_ends = [windows * (w + 1) // waves for w in range(waves)]
+
+    def numbered(own, ends, others):
+        """A sequence's number among all, from its number among its kind: that many more as the waves before hold of the other kind."""
+        wave = sum((own >= F.lit(e)).cast("int") for e in ends[:-1]) if waves > 1 else F.lit(0)
+        return own + F.element_at(F.array(*map(F.lit, others)), wave + 1).cast("bigint")
+
     in_order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     combined = placed.where("sequence_id >= 0").withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
-    combined = combined.select(*names, "sequence_id", "offset", F.lit(0).cast("bigint").alias("skip"))
-
-    loose = placed.where("sequence_id < 0").withColumn("group", F.expr(f"rest div {GROUP}"))
-    sums = loose.groupBy("bin", "group").agg(F.sum("length").alias("size"))
-    sums = sums.withColumn("before", F.sum("size").over(Window.orderBy("bin", "group")) - F.col("size")).drop("size")
-    within = Window.partitionBy("bin", "group").orderBy("rest").rowsBetween(Window.unboundedPreceding, 0)
-    loose = loose.withColumn("at", F.sum("length").over(within) - F.col("length")).join(sums, ["bin", "group"]).withColumn("at", F.col("at") + F.col("before"))
-    loose = materialise(loose.withColumn("room", window - F.col("at") % window).withColumn("base", F.expr(f"{sequences + whole} + at div {window}")), "loose")
-    uncut = loose.where("length <= room").select(*names, F.col("base").alias("sequence_id"), (F.col("at") % window).alias("offset"), F.lit(0).cast("bigint").alias("skip"))
-    split = loose.where("length > room").select("uid", "room", "base")
+    out = combined.select(*names, numbered(F.col("sequence_id"), ends, [0, *loose_ends[:-1]]).alias("sequence_id"), "offset", F.lit(0).cast("bigint").alias("skip"))
+    if rest is None:
+        return out, cut
+    rest = materialise(rest.withColumn("room", window - F.col("at") % window).withColumn("base", F.expr(f"at div {window}")).select(*names, "at", "room", "base"), "loose")
+    of_rest = lambda base: numbered(base, loose_ends, ends)
+    uncut = rest.where("length <= room").select(*names, of_rest(F.col("base")).alias("sequence_id"), (F.col("at") % window).alias("offset"), F.lit(0).cast("bigint").alias("skip"))
+    split = rest.where("length > room").select("uid", "room", of_rest(F.col("base")).alias("base"), of_rest(F.col("base") + 1).alias("next"))
     split = cut.join(F.broadcast(split) if split.count() <= FEW else split, "uid")
 
     def halve(batches):
         for batch in batches:
             rows = []
-            for doc, start, length, tokens, uid, room, base, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, start, length, tokens, uid, room, base, after, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 head, tail = ids[: 4 * room], ids[4 * room :]
                 rows.append((doc, start, room, zlib.crc32(head), tokens, uid, base, window - room, 0))
-                rows.append((doc, start + room, length - room, zlib.crc32(tail), tokens, uid, base + 1, 0, room))
+                rows.append((doc, start + room, length - room, zlib.crc32(tail), tokens, uid, after, 0, room))
             cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*names, "sequence_id", "offset", "skip"])
 
-    halves = split.select("doc_id", "start", "length", "doc_tokens", "uid", "room", "base", "ids").mapInArrow(halve, ", ".join(f"{n} long" for n in (*names, "sequence_id", "offset", "skip")))
-    return combined.union(uncut).union(halves), cut
+    halves = split.select("doc_id", "start", "length", "doc_tokens", "uid", "room", "base", "next", "ids").mapInArrow(halve, ", ".join(f"{n} long" for n in (*names, "sequence_id", "offset", "skip")))
+    return out.union(uncut).union(halves), cut
 
 
 def placements(docs: DataFrame, **options) -> DataFrame:
