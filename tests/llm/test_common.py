@@ -9,7 +9,9 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 
-from tilespan.llm import blocks, common, lm, substring
+from tilespan.llm import blocks, common, graph, lm, substring
+
+from .cases import frame, row
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -92,3 +94,26 @@ def test_functions_travel_alone(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert got.stdout.split() == ["6", "1", "False"], got.stderr
+
+
+def test_components_of_long_paths(spark):
+    """Paths whose ids lie in an order that merges slowly, a cycle, loops and repeated edges."""
+    r = random.Random(5)
+    place = list(range(600))
+    r.shuffle(place)
+    edges = [(place[k], place[k + 1]) for k in range(299)] + [(place[k], place[k + 1]) for k in range(300, 599)] + [(place[599], place[300])]
+    edges += [(1000 + k, 1001 + k) for k in range(500)] + [(7000, 7000)] + [(8001, 8000), (8000, 8001)] * 5
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    want = {}
+    for own in (place[:300], place[300:], range(1000, 1501), (8000, 8001)):
+        want |= {v: min(own) for v in own if v != min(own)}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_text_for_each_label(spark):
+    docs = frame(spark, [row(1, f"text {k % 5000}") for k in range(50_000)] + [row(2, None), row(3, "c")])
+    chosen = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, y int")
+    got = common.labelled_texts(docs, chosen).collect()
+    assert sorted(x.y for x in got) == [0, 1] and {x.text for x in got if x.y} == {None}
+    assert {x.text for x in got} == {x.text for x in common.labelled_texts(docs.repartition(7), chosen).collect()}

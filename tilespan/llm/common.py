@@ -83,6 +83,12 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """text and the columns of chosen for every doc_id of chosen (a bounded table, one row for each) that docs has, written: of several rows of a doc_id the text of least hash, so that there are no more rows than chosen has."""
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return materialise(found.join(F.broadcast(chosen), "doc_id").drop("doc_id"), "labelled")
+
+
 def cached(key: str, make: Callable[[], object]) -> object:
     """A value kept for the life of this Python worker; functions shipped by value have no module of their own to keep it in."""
     import pyspark

@@ -13,17 +13,15 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """For an edge table (u, v) of longs: every vertex but the least of its component, as node, with that least one as root.
 
-    Each round halves distances at least and keeps the number of edges below vertices plus edges; a vertex with very
-    many edges only meets joins on its key, which Spark splits. Rounds are written to the shared folder.
+    Rounds go on until one changes nothing: each draws vertices nearer to the least one, some logarithm of the vertices in all.
+    A vertex with very many edges only meets joins on its key, which Spark splits. Rounds are written to the shared folder.
     """
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)
-    for _ in range(most):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -6,7 +6,9 @@ verdict as they grow: repeated words, repeated lines and symbols never make a do
 
 Defined cases. Null or empty text: zero words, so base_failed. Null doc_id: kept as null. Repeated rows: each answered.
 Very long texts: whole, in pieces of bounded memory. Empty documents: no rows. No labels, or labels of one class only:
-no trees, and the verdict is that of the base rules. Ties of a score with the threshold keep the document.
+no trees, and the verdict is that of the base rules. Ties of a score with the threshold keep the document. A doc_id with several
+labels has the lowest; one on several rows of documents is learnt from one of them, the text of least hash. Extra columns,
+whatever their names: ignored, and kept by filtered().
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, ship, window_hashes, word_hashes, word_table
+from .common import batches, bounded_batches, labelled_texts, ship, window_hashes, word_hashes, word_table
 
 #: Labelled rows used to fit, at most; words in a repeated window; base limits; the score below which the trees reject.
 SAMPLE, WINDOW, LEAST_WORDS, MOST_REPEATED, THRESHOLD = 20_000, 5, 10, 20, 0.5
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
     bounded_batches(docs.sparkSession)
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(describe, "x array<double>, y int").toPandas()
+    rows = labelled_texts(docs, chosen).select("text", "y").mapInArrow(describe, "x array<double>, y int").toPandas()
     if rows.y.nunique() < 2:
         return None
     x, y = np.array(rows.x.tolist()), rows.y.to_numpy().astype(float)

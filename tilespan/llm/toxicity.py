@@ -6,13 +6,14 @@ little. All maximal scoring segments of a text are found in one pass; a passage
 law of the best segment of clean labelled texts of its length (1 - exp(-K n exp(-lambda S))); the passages' evidence
 goes through a logistic curve fitted on labelled documents that the log-odds have not seen.
 
-Learning uses rows with crc32(doc_id as text) mod 5 other than 0 only, SAMPLE of them at most (smallest hash first), and
-VOCABULARY tokens at most. The log-odds and contexts count texts of the same tokens and label once, however many copies
+Learning uses rows with crc32(doc_id as text) mod 5 other than 0 only, SAMPLE of them at most (smallest hash first), and all
+tokens of these that toxic ones favour, so no table outgrows that sample. The log-odds and contexts count texts of the same tokens and label once, however many copies
 there are. A score depends on the text alone.
 
 Defined cases. Null or empty text: the score of no evidence. Null doc_id: kept as null, held out. Repeated rows: each
 answered alike. Very long texts: whole, in bounded pieces. Empty table: no rows. No labels of one class: no tokens
-score, and every score is the share of toxic labels, 0 without any.
+score, and every score is the share of toxic labels, 0 without any. A doc_id with several labels is toxic if one says so; one on
+several rows of documents is learnt from one of them, the text of least hash. Extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, materialise, mix64, ship, word_hashes, word_table
+from .common import batches, bounded_batches, labelled_texts, materialise, mix64, ship, word_hashes, word_table
 
-#: Labelled documents used to fit, tokens kept, least z-score and least log-odds of a scoring token, cost of any other token, p-value of a significant passage.
-SAMPLE, VOCABULARY, LEAST_Z, LEAST_ODDS, DRIFT, SIGNIFICANT = 30_000, 100_000, 2.5, 2.0, 0.15, 0.01
+#: Labelled documents used to fit, least z-score and least log-odds of a scoring token, cost of any other token, p-value of a significant passage.
+SAMPLE, LEAST_Z, LEAST_ODDS, DRIFT, SIGNIFICANT = 30_000, 2.5, 2.0, 0.15, 0.01
 #: A token must stand between different neighbours in so large a share of its toxic documents, else it belongs to copies of one text.
 CONTEXTS = 0.25
 #: The Dirichlet prior weighs one document for this many labelled ones.
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.withColumn("second", F.expr("pmod(xxhash64(doc_id, 7), 3) = 0"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "second")
+    rows = labelled_texts(docs, chosen)
 
     def count(parts):
         for batch in parts:
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = (F.col("a") + F.col("b")) * (strength / (toxic + clean))
     odds = F.log((F.col("a") + prior) / (toxic + strength - F.col("a") - prior)) - F.log((F.col("b") + prior) / (clean + strength - F.col("b") - prior))
     seen = seen.where("a > 1").withColumn("s", odds).withColumn("z", F.col("s") / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior)))
-    kept = seen.where((F.col("z") >= LEAST_Z) & (F.col("s") >= LEAST_ODDS)).orderBy(F.col("z").desc(), "h").limit(VOCABULARY).select("h", "s", "a").toPandas()
+    kept = seen.where((F.col("z") >= LEAST_Z) & (F.col("s") >= LEAST_ODDS)).select("h", "s", "a").toPandas()
     h = kept.h.to_numpy().view(np.uint64)
     order = np.argsort(h)
     table, needed = h[order], kept.a.to_numpy()[order] * CONTEXTS
