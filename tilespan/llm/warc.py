@@ -4,7 +4,8 @@ Captures are range-sorted by key: the URL with its host reversed (com,example)/p
 as a WARC file (one gzip member a record) and its captures' index lines, in key order, as a file of compressed blocks of LINES
 lines. The block directory keeps each block's first key, file, offset and length. A lookup finds its range by binary search
 over the ranges' first keys, its block by binary search over that range's directory, reads the block's byte range, finds its
-lines by binary search, and reads the records' byte ranges. Lookups are sorted too, so that reads go forward.
+lines by binary search, and reads the records' byte ranges. Lookups are sorted too, so that reads go forward, and dealt to tasks
+by the archive bytes that the directory states.
 
 A capture's payload is shuffled once: the rows that say which captures are revisits go to the same ranges and stand before them.
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise, new_path, ship
 
 LEAST, LINES, DATE = 100, 512, "2024-01-01T00:00:00Z"
+#: Lookups in one request, and archive bytes that a task of lookups reads.
+ASKED, READ_BYTES = 1024, 8 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -94,14 +97,14 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def revisits(rows: DataFrame) -> DataFrame:
-    """key, page_id, digest of the captures that revisit another, with that one as first."""
-    long = rows.where(F.octet_length("payload") >= LEAST).select("key", "page_id", "digest")
+    """key, page_id, digest of the captures (key, page_id, digest, size) that revisit another, with that one as first."""
+    long = rows.where(F.col("size") >= LEAST).select("key", "page_id", "digest")
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     return long.join(firsts, "digest").where("page_id is null or page_id > first").select("key", "page_id", "digest", "first").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes archives and index blocks; returns the block directory (range, first_key, first_page, file, offset, length)."""
+    """Writes archives and index blocks; returns the block directory (range, first_key, first_page, file, offset, length, and the bytes of its records in the archive)."""
     folder = folder or new_path(pages.sparkSession, "warc")
 
     def save(batches):
@@ -109,22 +112,22 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         system.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
         archive = lines = None
-        at = spot = 0
+        at = spot = begun = 0
         now, known = None, {}
         held: list[tuple[bytes, int | None, bytes]] = []
 
         def block():
-            nonlocal spot
+            nonlocal spot, begun
             data = zlib.compress(b"\n".join(x[2] for x in held), 6)
             lines.write(data)
-            row = (name, held[0][0].decode(), held[0][1], f"{name}.cdx", spot, len(data))
-            spot += len(data)
+            row = (name, held[0][0].decode(), held[0][1], f"{name}.cdx", spot, len(data), at - begun)
+            spot, begun = spot + len(data), at
             held.clear()
             return row
 
         def out(rows):
-            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["range", "first_key", "first_page", "file", "offset", "length"])
+            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["range", "first_key", "first_page", "file", "offset", "length", "bytes"])
 
         for batch in batches:
             for key, page, mark, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -149,11 +152,12 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     bounded_batches(pages.sparkSession)
     rows = captures(pages)
-    marks = revisits(rows).select("key", "page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
+    known = materialise(rows.select("key", "page_id", "digest", F.octet_length("payload").alias("size")), "digests")
+    marks = revisits(known).select("key", "page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
     both = marks.union(rows.select("key", "page_id", F.lit(1), "url", "payload", "digest", F.lit(None).cast("bigint")))
     place = [F.col("key"), F.col("page_id").asc_nulls_last()]
     rows = both.repartitionByRange(*place).sortWithinPartitions(*place, "mark")
-    made = rows.mapInArrow(save, "range string, first_key string, first_page long, file string, offset long, length long")
+    made = rows.mapInArrow(save, "range string, first_key string, first_page long, file string, offset long, length long, bytes long")
     return materialise(made.withColumn("folder", F.lit(folder)), "directory")
 
 
@@ -170,7 +174,7 @@ def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
             keys, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             where = [max(0, bisect.bisect_right(starts, order(k.encode(), p)) - 1) for k, p in zip(keys, pages, strict=True)]
             for k in range(1, len(keys) + 1):
-                if k == len(keys) or where[k] != where[at]:
+                if k == len(keys) or where[k] != where[at] or k - at == ASKED:
                     if names:
                         out.append((names[where[at]], keys[at:k], pages[at:k]))
                     at = k
@@ -225,7 +229,8 @@ def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
     sorted_ = wanted.select("key", "page_id").distinct().repartitionByRange("key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last())
     packed = sorted_.mapInArrow(pack, "range string, keys array<string>, pages array<long>")
     blocks = directory.groupBy("range", "folder").agg(F.sort_array(F.collect_list(F.struct("offset", "first_key", "first_page", "file", "length"))).alias("entries"))
-    met = packed.join(blocks, "range").select("folder", "entries", "keys", "pages")
+    tasks = max(1, -(-(directory.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES))
+    met = packed.join(blocks, "range").select("folder", "entries", "keys", "pages").repartition(tasks)
     return met.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
