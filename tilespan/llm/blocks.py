@@ -67,7 +67,7 @@ def make_blocks(docs: DataFrame, size: int | None = None) -> DataFrame:
     return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": str(16 << 20)})
 
 
-def plan_for(blocks: DataFrame, least: int = 7) -> Plan:
+def plan_for(blocks: DataFrame, least: int = 10) -> Plan:
     total, words, n = blocks.agg(F.sum("n_bytes"), F.sum("n_words"), F.count("*")).first()
     buckets = max(1, (total or 0) / grain(total or 0))
     return Plan(max(least, int(np.ceil(np.log2(buckets)))), int(words or 0), min(MOST_PARTS, max(n, blocks.sparkSession.sparkContext.defaultParallelism)))
