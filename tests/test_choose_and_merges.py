@@ -10,17 +10,20 @@ from .test_intervals import SCHEMA
 
 
 def test_by_sample_is_proportional(spark):
+    """Each sample's rounded share, one at least, largest samples first while slots last."""
     r = random.Random(0)
-    rows = [(f"c{k % 2}", k, r.choice("aaabbc"), r.random()) for k in range(200)]
-    got = choose.by_sample(spark.createDataFrame(rows, "cluster_id string, read_id long, sample string, centroid_distance double"), 9).collect()
-    for c in ("c0", "c1"):
-        own = [g for g in got if g.cluster_id == c]
-        assert len(own) == 9 and {g.sample for g in own} == {"a", "b", "c"} and sorted(g["rank"] for g in own) == list(range(1, 10))
-        for s in "abc":
-            size = sum(x[0] == c and x[2] == s for x in rows)
-            taken = [g.centroid_distance for g in own if g.sample == s]
-            assert abs(len(taken) - 9 * size / 100) <= 1.01
-            assert sorted(taken) == sorted(x[3] for x in rows if x[0] == c and x[2] == s)[: len(taken)]
+    for n, pool in ((9, "aaabbc"), (3, "abcdefg"), (40, "aab"), (1, "ab")):
+        rows = [(f"c{k % 2}", k, r.choice(pool), r.random()) for k in range(60)]
+        got = choose.by_sample(spark.createDataFrame(rows, "cluster_id string, read_id long, sample string, centroid_distance double"), n).collect()
+        for c in ("c0", "c1"):
+            own, left, want = [x for x in rows if x[0] == c], n, set()
+            sizes = {s: sum(x[2] == s for x in own) for s in pool}
+            for s in sorted(sizes, key=lambda s: (-sizes[s], s)):
+                take = min(max(1, round(sizes[s] / len(own) * n)), sizes[s], left) if sizes[s] else 0
+                want |= {x[1] for x in sorted((x for x in own if x[2] == s), key=lambda x: x[3])[:take]}
+                left -= take
+            mine = [g for g in got if g.cluster_id == c]
+            assert {g.read_id for g in mine} == want and [g.read_id for g in sorted(mine, key=lambda g: g["rank"])] == [g.read_id for g in sorted(mine, key=lambda g: g.centroid_distance)]
 
 
 def test_curated_falls_back(spark):

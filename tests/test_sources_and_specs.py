@@ -35,12 +35,11 @@ def test_good_bed_round_trip(spark, tmp_path):
     assert files.read_bed(spark, str(tmp_path / "out"), validate=False).count() == 3
 
 
-def test_runs_over_partitions(spark):
-    """A sequence may go on over a partition's edge, also past empty partitions, but not come back after another."""
-    part = 1 << 33
-    rows = [("a", 0, 1, 0), ("b", 0, 1, 1), ("b", 1, 2, part), ("b", 2, 3, 3 * part), ("c", 0, 1, 3 * part + 1), ("d", 0, 1, 4 * part), ("c", 1, 2, 5 * part)]
-    df = spark.createDataFrame([(q, s, e, "f", o, None) for q, s, e, o in rows], "seq_id string, start long, end long, feature string, ord long, problem string")
-    assert [(r.seq_id, r.ord, r.kind) for r in files.tiling_problems(df).collect()] == [("c", 5 * part, "scattered")]
+def test_runs_over_splits(spark):
+    """A sequence may go on over the edge of a split or a file, also past empty ones, but not come back after another."""
+    rows = [("a", 0, 1, ("p0", 0, 7)), ("b", 0, 1, ("p0", 0, 8)), ("b", 1, 2, ("p0", 64, 2)), ("b", 2, 3, ("p2", 0, 1)), ("c", 0, 1, ("p2", 0, 2)), ("d", 0, 1, ("p3", 0, 0)), ("c", 1, 2, ("p4", 0, 0))]
+    df = spark.createDataFrame([(q, s, e, "f", o, None) for q, s, e, o in rows], "seq_id string, start long, end long, feature string, ord struct<file:string,split:long,row:long>, problem string")
+    assert [(r.seq_id, r.ord.file, r.kind) for r in files.tiling_problems(df).collect()] == [("c", "p4", "scattered")]
 
 
 def test_tables(spark, tmp_path):
@@ -58,7 +57,7 @@ SPEC = {"precedence": ["p", "q"], "rules": [{"when": {"p": ["x"], "q": "@k"}, "e
 
 
 def test_resolution(spark):
-    spec = R.load(SPEC, {("q", "k"): {"u", "v"}})
+    spec = R.load(SPEC, {("q", "k"): {"u", "v"}, ("q", "z"): {"z"}, ("p", "x"): {"x"}, ("p", "y"): {"y"}})
     rows = spark.createDataFrame([("x", "u"), ("x", "w"), ("m", "z"), ("y", "w"), ("y", "z")], "p string, q string")
     assert [r[0] for r in rows.select(spec.column()).collect()] == ["x_u", "x", "L", "y:w", "L"]
     everything = R.load({"precedence": ["p", "q"], "rules": [{"emit": "q"}]})
@@ -71,8 +70,84 @@ def test_bad_specs(bad):
         R.load(bad)
 
 
+def test_separators(spark):
+    """Composites that name no separator."""
+    rows = spark.createDataFrame([("x", "u")], "p string, q string")
+    one = lambda emit, when=None: rows.select(R.load({"precedence": ["p", "q"], "rules": [{"when": when or {}, "emit": emit}]}).column()).first()[0]
+    assert (one({"composite": "all"}), one({"composite": ["q", "p"]}), one({"composite": "all", "sep": "+"})) == ("x:u", "u:x", "x+u")
+    assert one("composite", {"p": ["x"], "q": ["u"]}) == one({"composite": "when"}, {"p": ["x"], "q": ["u"]}) == "x_u"
+
+
+def test_specs_are_held_against_the_trees(tmp_path):
+    classes = {("p", "x"): {"x"}, ("q", "k"): {"k", "u"}, ("q", "u"): {"u"}}
+    good = {"name": "n", "precedence": ["p", "q"], "rules": [{"when": {"p": "x", "q": ["u", "@k"]}, "emit": "q"}]}
+    assert R.load(good, classes).rules[0].when["q"] == {"k", "u"}
+    for bad in ({**good, "extra": 1}, {**good, "precedence": ["p", "z"]}, {**good, "rules": [{"when": {"p": "misspelt"}, "emit": "p"}]}, {**good, "rules": [{"emit": {"composite": "all", "other": 1}}]}, {**good, "rules": [{"emit": {"sep": ":"}}]}, {**good, "rules": [{"emit": "composite"}]}, []):
+        with pytest.raises(R.SpecError):
+            R.load(bad, classes)
+    path = tmp_path / "spec.yaml"
+    path.write_text("precedence: [p]\n")
+    with pytest.raises(R.SpecError):
+        R.load_yaml(str(path))
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    for n in (41, 200):
+        edges = spark.createDataFrame([("r", f"n{k}", f"n{k + 1}") for k in range(n - 1)], "feature_set string, child string, parent string")
+        closed = H.closure(edges)
+        assert closed.count() == n * (n + 1) // 2 and H.depths(closed).agg({"depth": "max"}).first()[0] == n - 1
+    for cycle in ([("r", "a", "b"), ("r", "b", "a")], [("r", "a", "a")], [("r", "x", "a"), ("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a")]):
+        with pytest.raises(ValueError, match="cycle"):
+            H.closure(spark.createDataFrame(cycle, "feature_set string, child string, parent string"))
+
+
+def test_genome_roles_without_optional_nodes(spark):
+    nodes = [("region", "ct", "centromeric"), ("region", "centromeric", "top"), ("region", "arm", "top"), ("subtelomeric", "ITS", "telomere_like"), ("subtelomeric", "TAR1", "telomere_like"), ("subtelomeric", "canonical_telomere", "top"), ("subtelomeric", "noncanonical_telomere", "telomere_like"), ("chromosome", "chr1", "autosome")]
+    roles = H.Roles(spark.createDataFrame(nodes, "feature_set string, child string, parent string"), H.GENOME_ROLES, H.GENOME_MINUS, H.GENOME_OPTIONAL)
+    assert roles["acrocentric"] == roles["interspersed"] == frozenset() and roles["chromosome"] == {"chr1"}
+    assert roles["filler"] - roles["structureless"] == roles["telomere"] == {"canonical_telomere", "noncanonical_telomere"}
+    with pytest.raises(KeyError):
+        H.Roles(spark.createDataFrame(nodes[1:], "feature_set string, child string, parent string"), H.GENOME_ROLES, H.GENOME_MINUS, H.GENOME_OPTIONAL)
+
+
+def test_two_groups_of_several(spark):
+    rows = [("c1", "x")] * 6 + [("c1", "y")] * 3 + [("c1", "z")] * 2 + [("c2", "z")] * 9 + [("c2", "y")] * 9 + [("c3", "x")] * 2
+    got = {r.cluster_id: r for r in legacy.fisher_two_group(spark.createDataFrame(rows, "cluster_id string, group string"), "x").collect()}
+    assert (got["c1"].treatment, got["c1"].control_in, got["c1"].treatment_in) == ("y", 6, 3) and abs(got["c1"].p_value - legacy.fisher_p(6, 3, 2, 9)) < 1e-12
+    assert (got["c2"].treatment, got["c2"].control_in, got["c2"].treatment_in) == ("y", 0, 9)
+    assert got["c3"].treatment == "x"
+    one = legacy.fisher_two_group(spark.createDataFrame([("c", "x")], "cluster_id string, group string"), "x").first()
+    assert one.p_value == 1.0 and one.enrichment == "mixed"
+
+
+def test_wide_enrichment(spark):
+    from tilespan.operators import clusters
+
+    reads = spark.createDataFrame([(f"r{k}", "c1" if k < 6 else "c2") for k in range(10)], "read_id string, cluster_id string")
+    groups = spark.createDataFrame([(f"r{k}", "A" if k < 5 else "B") for k in range(10)], "read_id string, group string")
+    got = clusters.wide_enrichment(clusters.enrichment(reads, groups))
+    assert got.columns == ["cluster_id", "n_total", "n_A", "n_B", "frac_A", "frac_B", "log2fc_A", "log2fc_B", "top_group", "private", "enriched"]
+    assert [(r.cluster_id, r.n_A, r.n_B, r.log2fc_A == float("-inf"), r.private) for r in got.collect()] == [("c2", 0, 4, True, 1), ("c1", 5, 1, False, 0)]
+
+
+def test_by_sample_takes_any_id(spark):
+    from tilespan.operators import choose
+
+    rows = [("c", f"read-{k}", "ABBBCCCCCC"[k % 10], float(k)) for k in range(40)]
+    got = choose.by_sample(spark.createDataFrame(rows, "cluster_id string, read_id string, sample string, centroid_distance double"), 10).collect()
+    assert sorted(r.sample for r in got) == list("ABBBCCCCCC") and sorted(r.rank for r in got) == list(range(1, 11))
+
+
+def test_interesting_reads(spark):
+    from tilespan.operators import assembly
+
+    strings = spark.createDataFrame([("a", [("chr1:arm", 5000), ("chr1:aSat", 10)], 0), ("b", [("arm", 5), ("aSat", 2000)], 0)], "read_id string, segs array<struct<feature:string,len:long>>, bp long")
+    assert [r.read_id for r in assembly.interesting(strings, {"arm"}, 2000).collect()] == ["b"] and assembly.interesting(strings, {"arm"}, 0).count() == 2
+
+
 def test_presets_load():
-    classes = {("region", "arm"): {"arm", "p_arm", "q_arm"}}
+    classes = {(fs, x): {x} for fs, labels in {"region": ["ct", "rDNA"], "repeat": ["nonrepeat", "rRNA"], "subtelomeric": ["canonical_telomere", "noncanonical_telomere", "telomere_like", "ITS", "TAR1"], "chromosome": ["chr1"], "acrocentric": ["DJ", "PHR", "rDNA", "SST1", "PJ", "array", "acrocentric"]}.items() for x in labels}
+    classes[("region", "arm")] = {"arm", "p_arm", "q_arm"}
     assert [R.preset(n, classes).precedence[0] for n in R.preset_names()] == ["chromosome", "chromosome", "region", "acrocentric", "region"]
 
 

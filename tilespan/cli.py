@@ -43,7 +43,7 @@ def long_table(found):
 
 
 def genome_roles(spark, path):
-    return H.Roles(files.read_hierarchy(spark, path), H.GENOME_ROLES, H.GENOME_MINUS)
+    return H.Roles(files.read_hierarchy(spark, path), H.GENOME_ROLES, H.GENOME_MINUS, H.GENOME_OPTIONAL)
 
 
 def bin_annotations(a, spark):
@@ -64,8 +64,13 @@ def overlay_annotations(a, spark):
 
 
 def build_feature_matrix(a, spark):
-    rows = long_table(tracks(spark, a.bed))
-    metrics = measures.long_metrics(rows, a.window, a.gap_tol)
+    rows, crossings = long_table(tracks(spark, a.bed)), None
+    if a.interspersion:
+        if not a.hierarchy:
+            raise SystemExit("--interspersion needs --hierarchy")
+        own, roles = files.read_bed(spark, a.interspersion), genome_roles(spark, a.hierarchy)
+        crossings = measures.interspersion(own, measures.category(F.col("feature"), roles), measures.CROSSINGS)
+    metrics = measures.long_metrics(rows, a.window, a.gap_tol, crossings=crossings)
     files.write_tsv(measures.wide_matrix(metrics).orderBy("seq_id"), a.output)
     files.write_tsv(measures.adaptive_thresholds(measures.feature_fraction(rows), a.factor, a.least, a.most), a.output + ".thresholds")
 
@@ -76,7 +81,7 @@ def detect_rearrangements(a, spark):
         return colocalization.support(colocalization.min_gaps(rows, a.min_occurrence), colocalization.read_spans(rows), a.windows, a.boundaries)
 
     calls = colocalization.detect(sample(a.experiment), sample(a.control), sample(a.reference) if a.reference else None, a.windows, a.min_support, a.min_log2, a.fdr)
-    files.write_tsv(calls, a.output)
+    files.write_tsv(calls.select(*colocalization.CALL), a.output)
 
 
 def genome_weights(a, spark):
@@ -91,15 +96,24 @@ def pool_samples(a, spark):
 
 def cluster(a, spark):
     rows, roles = files.read_bed(spark, a.bed), genome_roles(spark, a.hierarchy)
-    strings = assembly.label_strings(rows, a.min_length, a.min_occurrence)
-    filler = roles["telomere"] | roles["arm"] | roles["ct"] | {"novel"}
-    weight = {r.feature: r.weight for r in files.read_weights(spark, a.weights).collect()} if a.weights else None  # a label vocabulary
+    strings = assembly.interesting(assembly.label_strings(rows, a.min_length, a.min_occurrence), roles["filler"], a.min_interesting)
+    rows = rows.join(strings.select(F.col("read_id").alias("seq_id")), "seq_id", "left_semi")
+    filler = roles["filler"]
+    weight = None  # of a label vocabulary
+    if a.weights or a.weight_method == "genome-freq":
+        if not a.weights:
+            raise SystemExit("--weight-method genome-freq needs --weights")
+        weight = {r.feature: r.weight for r in files.read_weights(spark, a.weights).collect()}
+    elif a.weight_method == "repeat-mask":
+        weight = dict.fromkeys(roles["masked"], 0.0)
+    elif a.weight_method == "idf":
+        weight = {r.feature: r.weight for r in measures.document_weights(rows, a.weight_floor).collect()}
     scorer = assembly.Scorer([roles["satellite"], roles["arm"], roles["ct"], roles["telomere"] | roles["its_tar1"]], a.match, a.partial, a.mismatch, a.cross, weight)
-    gates = assembly.Gates(a.gap, a.min_overlap, a.min_identity, a.min_jaccard, a.distinctive_weight, frozenset(filler), a.transition)
+    gates = assembly.Gates(a.gap, a.min_overlap, a.min_identity, a.min_jaccard, a.distinctive_weight, filler, a.transition)
     edges = assembly.cut(assembly.overlap_graph(assembly.candidate_pairs(rows, a.block), strings, scorer, gates))
     groups = assembly.communities(edges).select(F.col("node").alias("read_id"), F.col("label").alias("group")) if a.communities else assembly.components(edges).select(F.col("node").alias("read_id"), F.col("root").alias("group"))
     members = assembly.clusters(strings, groups, assembly.orientation_conflicts(edges))
-    backbone = assembly.Backbone(frozenset(filler), roles["arm"] | roles["ct"], roles["telomere"], roles["acrocentric"])
+    backbone = assembly.Backbone(filler, roles["structureless"], roles["telomere"], roles["acrocentric"])
     placed = assembly.cut(assembly.layout(members, strings, scorer, backbone, a.gap, edges))
     voted = assembly.cut(assembly.consensus(placed))
     shape = voted.groupBy("cluster_id").agg(F.count("*").alias("consensus_segments"), F.max("end").alias("width"))
@@ -110,8 +124,9 @@ def cluster(a, spark):
 
 
 def test_enrichment(a, spark):
-    groups = files.group_map(files.read_list(spark, a.read_list).withColumn("ord", F.monotonically_increasing_id()), a.group_col)
-    files.write_tsv(clusters.enrichment(files.read_layout(spark, a.layout), groups, a.min_log2, a.min_size), a.output)
+    groups = files.group_map(files.read_list(spark, a.read_list).withColumn("ord", files.placed()), a.group_col)
+    found = clusters.enrichment(files.read_layout(spark, a.layout), groups, a.min_log2, a.min_size)
+    files.write_tsv(clusters.wide_enrichment(found), a.output)
 
 
 def cluster_annotate(a, spark):
@@ -156,11 +171,11 @@ def parser() -> argparse.ArgumentParser:
     beds = ("bed", {"nargs": "+", "metavar": "FEATURESET=PATH"})
     command(bin_annotations, ("bed", {}), need("hierarchy"), need("feature-set"), need("output"), opt("window", 101), opt("step", 1), opt("majority", 0.5), opt("scope", "node", choices=["node", "window"]), opt("novel-min", 0.5), opt("compression", "none"))
     command(overlay_annotations, beds, need("hierarchy"), need("output"), opt("preset", choices=R.preset_names()), opt("spec"), opt("separator", ":"), opt("compression", "none"))
-    command(build_feature_matrix, beds, need("output"), opt("window", 1000), opt("gap-tol", 100), opt("factor", 3.0), opt("least", 0.001), opt("most", 0.05))
+    command(build_feature_matrix, beds, need("output"), opt("interspersion"), opt("hierarchy"), opt("window", 1000), opt("gap-tol", 100), opt("factor", 3.0), opt("least", 0.001), opt("most", 0.05))
     command(detect_rearrangements, need("experiment"), need("control"), opt("reference"), need("output"), opt("windows", [0, 1000, 10000, 50000], numbers), opt("boundaries", [], numbers), opt("min-occurrence", 0), opt("min-support", 3), opt("min-log2", 1.0), opt("fdr", 0.05))
     command(genome_weights, beds, need("output"))
     command(pool_samples, ("bed", {"nargs": "+", "metavar": "SAMPLE:PATH"}), need("output"), need("read-list"), opt("separator", "|"))
-    command(cluster, ("bed", {}), need("hierarchy"), need("output"), opt("weights"), opt("min-length", 0), opt("min-occurrence", 0), opt("gap", 0.1), opt("match", 1.0), opt("partial", 0.5), opt("mismatch", -1.0), opt("cross", -2.0), opt("min-overlap", 1000.0), opt("min-identity", 0.9), opt("min-jaccard", 0.0), opt("distinctive-weight", 0.15), opt("block", 0),
+    command(cluster, ("bed", {}), need("hierarchy"), need("output"), opt("weights"), opt("weight-method", "repeat-mask", choices=["none", "repeat-mask", "idf", "genome-freq"]), opt("weight-floor", 0.1), opt("min-length", 0), opt("min-occurrence", 0), opt("min-interesting", 2000.0), opt("gap", 0.1), opt("match", 1.0), opt("partial", 0.5), opt("mismatch", -1.0), opt("cross", -2.0), opt("min-overlap", 1000.0), opt("min-identity", 0.9), opt("min-jaccard", 0.0), opt("distinctive-weight", 0.15), opt("block", 0),
             ("--transition", {"action": argparse.BooleanOptionalAction, "default": True}), ("--communities", {"action": argparse.BooleanOptionalAction, "default": True}))
     command(test_enrichment, need("layout"), need("read-list"), need("output"), opt("group-col", "sample"), opt("min-log2", 1.0), opt("min-size", 2))
     command(cluster_annotate, need("clusters"), need("consensus"), need("hierarchy"), need("output"), opt("min-size", 2), opt("end", 0.15), opt("satellite", 0.8), opt("alt", 6000))

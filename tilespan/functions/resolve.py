@@ -48,10 +48,14 @@ def composite(precedence, sep: str = ":") -> Spec:
 
 
 def load(data: Mapping, classes: Mapping[tuple[str, str], set[str]] | None = None) -> Spec:
-    """A spec from its plain form. classes gives the labels under (featureset, node), for @node; a rule's featuresets must stand in precedence order."""
+    """A spec from its plain form. classes gives the labels under (featureset, node), for @node and to know the trees' labels; a rule's featuresets must stand in precedence order."""
+    if not isinstance(data, Mapping) or set(data) - {"name", "precedence", "rules"}:
+        raise SpecError("a spec has name, precedence and rules only")
     if not isinstance(data.get("precedence"), list) or not data["precedence"] or len(set(data["precedence"])) != len(data["precedence"]):
         raise SpecError("precedence must be a list of different featuresets")
     precedence, rules = tuple(data["precedence"]), []
+    if classes is not None and (unknown := set(precedence) - {fs for fs, _ in classes}):
+        raise SpecError(f"no tree for {', '.join(sorted(unknown))}")
     for k, raw in enumerate(data.get("rules", [])):
         if set(raw) - {"when", "emit"} or "emit" not in raw:
             raise SpecError(f"rule {k} has when and emit only")
@@ -72,25 +76,33 @@ def expand(labels, feature_set: str, classes) -> frozenset[str]:
             if not found:
                 raise SpecError(f"no class {label} in {feature_set}")
             out |= found
+        elif classes is not None and (feature_set, label) not in classes:
+            raise SpecError(f"{feature_set} has no {label}")
         else:
             out.add(label)
     return frozenset(out)
 
 
+#: What joins the labels of a composite that names no separator.
+SEPARATORS = {"when": "_", "all": ":", "listed": ":"}
+
+
 def parse_emit(raw, precedence, when_keys, k: int) -> tuple:
     if raw == "composite":
-        return "composite", when_keys or precedence, "_"
+        raw = {"composite": "when"}
     if isinstance(raw, str):
         if raw not in precedence:
             raise SpecError(f"rule {k} emits {raw}, which is no featureset")
         return "featureset", raw
-    if set(raw) == {"literal"}:
-        return "literal", raw["literal"]
-    names = raw.get("composite")
-    names = {"all": precedence, "when": when_keys}.get(names, names) if isinstance(names, str) else tuple(names or ())
+    if not isinstance(raw, Mapping) or set(raw) not in ({"literal"}, {"composite"}, {"composite", "sep"}):
+        raise SpecError(f"rule {k} emits a featureset, a literal or a composite")
+    if "literal" in raw:
+        return "literal", str(raw["literal"])
+    kind = raw["composite"] if isinstance(raw["composite"], str) else "listed"
+    names = {"all": precedence, "when": when_keys, "listed": tuple(raw["composite"])}.get(kind)
     if not names or any(n not in precedence for n in names):
         raise SpecError(f"rule {k} emits a composite of unknown featuresets")
-    return "composite", tuple(names), raw.get("sep", "_")
+    return "composite", tuple(names), raw.get("sep", SEPARATORS[kind])
 
 
 #: The named presets.
@@ -143,4 +155,7 @@ def load_yaml(path: str, classes=None) -> Spec:
     import yaml
 
     with open(path) as f:
-        return load(yaml.safe_load(f), classes)
+        data = yaml.safe_load(f)
+    if not isinstance(data, Mapping) or not isinstance(data.get("name"), str):
+        raise SpecError(f"{path} needs a name")
+    return load(data, classes)

@@ -44,23 +44,18 @@ def annotation_score(read_metrics: DataFrame, cluster_metrics: DataFrame, weight
 
 
 def by_sample(rows: DataFrame, n: int) -> DataFrame:
-    """n reads a cluster, shared among samples in proportion to their reads (one each while slots last, largest remainders), the nearest of each sample."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf.groupby("sample").size()
-        names = sorted(size.index, key=lambda s: (-size[s], s))
-        share = {s: size[s] * n / len(pdf) for s in names}
-        slots = {s: min(size[s], max(1, int(share[s])) if k < n else 0) for k, s in enumerate(names)}
-        while sum(slots.values()) > n:
-            slots[max((s for s in names if slots[s] > 1), key=lambda s: slots[s] - share[s])] -= 1
-        while sum(slots.values()) < min(n, len(pdf)):
-            slots[max((s for s in names if slots[s] < size[s]), key=lambda s: share[s] - slots[s])] += 1
-        order = pdf.sort_values(["centroid_distance", "read_id"])
-        keep = pd.concat([order[order["sample"] == s].head(k) for s, k in slots.items()]).sort_values(["centroid_distance", "read_id"])
-        return keep.assign(rank=range(1, len(keep) + 1))
-
-    kinds = "cluster_id string, read_id long, sample string, centroid_distance double, rank int"
-    return rows.select("cluster_id", "read_id", "sample", "centroid_distance").groupBy("cluster_id").applyInPandas(pick, kinds)
+    """n reads a cluster at most (cluster_id, read_id, sample, centroid_distance, rank): samples by falling size each take their
+    share of n, rounded half to even, one at least, while slots last, and give their nearest reads."""
+    sample = Window.partitionBy("cluster_id", "sample")
+    sizes = rows.groupBy("cluster_id", "sample").agg(F.count("*").alias("size"))
+    wanted = F.least("size", F.greatest(F.lit(1), F.bround(F.col("size") / F.sum("size").over(Window.partitionBy("cluster_id")) * n)).cast("long"))
+    sizes = sizes.withColumn("wanted", wanted)
+    before = F.sum("wanted").over(Window.partitionBy("cluster_id").orderBy(F.desc("size"), "sample")) - F.col("wanted")
+    slots = sizes.select("cluster_id", "sample", F.least("wanted", F.greatest(F.lit(0), n - before)).alias("slots")).where("slots > 0")
+    near = rows.withColumn("_n", F.row_number().over(sample.orderBy("centroid_distance", "read_id")))
+    kept = near.join(slots, ["cluster_id", "sample"]).where("_n <= slots")
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("centroid_distance", "read_id"))
+    return kept.select("cluster_id", "read_id", "sample", "centroid_distance", rank.alias("rank"))
 
 
 def even_lengths(rows: DataFrame, n: int) -> DataFrame:

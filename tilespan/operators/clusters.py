@@ -28,6 +28,14 @@ def enrichment(clusters: DataFrame, groups: DataFrame, min_log2: float = 1.0, mi
     return full.select("cluster_id", "group", "n", "n_total", "frac", "log2fc", "top_group", (F.col("present") == 1).alias("private"), ((F.col("n_total") >= min_size) & (F.col("top") >= min_log2)).alias("enriched"))
 
 
+def wide_enrichment(rows: DataFrame) -> DataFrame:
+    """enrichment() as a row for each cluster, the strongest first: cluster_id, n_total, then n_, frac_ and log2fc_ of each group by name, top_group, private and enriched (1 or 0). The groups are read first."""
+    names = [r[0] for r in rows.select("group").distinct().orderBy("group").collect()]
+    cells = [F.max(F.when(F.col("group") == g, F.col(c))).alias(f"{c}_{g}") for c in ("n", "frac", "log2fc") for g in names]
+    ends = [F.first("top_group").alias("top_group"), *[F.max(F.col(c).cast("int")).alias(c) for c in ("private", "enriched")]]
+    return rows.groupBy("cluster_id", "n_total").agg(*cells, *ends, F.max("log2fc").alias("_top")).orderBy(F.desc("_top"), F.desc("n_total"), "cluster_id").drop("_top")
+
+
 def enrichment_summary(rows: DataFrame) -> DataFrame:
     """By top group: clusters, enriched and private ones."""
     one = rows.where("group = top_group")

@@ -115,6 +115,10 @@ def log2_ratio() -> Column:
     return F.log2(rate("exp_support", "exp_total") / rate("ctrl_support", "ctrl_total"))
 
 
+#: The columns of a table of calls, in order.
+CALL = ("feature_a", "feature_b", "window", "exp_support", "exp_total", "exp_rate", "ctrl_support", "ctrl_total", "ctrl_rate", "ref_rate", "log2_ratio", "odds_ratio", "p_value", "q_value", "direction", "reference_abnormal", "passes")
+
+
 def detect(experiment, control, reference=None, windows: Sequence[int] = WINDOWS, min_support: int = 3, min_log2: float = 1.0, alpha: float = 0.05, eps: float = 0.0) -> DataFrame:
     """All tested (pair, window) calls with p, q, rates, effect, direction and passes; passing ones first, then by q, pair and window."""
     cells = ["feature_a", "feature_b", "window"]

@@ -173,31 +173,50 @@ def _log_choose(n: int, k: int) -> float:
 
 def fisher_p(a: int, b: int, c: int, d: int, greater: bool = False) -> float:
     """Fisher's exact p of the table [[a, b], [c, d]], two-sided (tables no likelier than this one) or for a larger a."""
-    row, column, total = a + b, a + c, a + b + c + d
-    low, high = max(0, row + column - total), min(row, column)
-    base = _log_choose(total, row)
-    logs = np.array([_log_choose(column, k) + _log_choose(total - column, row - k) - base for k in range(low, high + 1)])
-    keep = np.arange(low, high + 1) >= a if greater else logs <= logs[a - low] + 1e-7
-    return float(min(1.0, np.exp(logs[keep]).sum()))
+    return float(fisher_ps(np.array([[a, b, c, d]]), greater)[0])
+
+
+def fisher_ps(tables: np.ndarray, greater: bool = False) -> np.ndarray:
+    """fisher_p of every row. Log factorials are summed once up to the largest total."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(1, int(tables.sum(1).max(initial=0))) + 1)))))
+    out = np.empty(len(tables))
+    for i, (a, b, c, d) in enumerate(tables.tolist()):
+        row, column, total = a + b, a + c, a + b + c + d
+        low, high = max(0, row + column - total), min(row, column)
+        k = np.arange(low, high + 1)
+        each = logs[column] - logs[k] - logs[column - k] + logs[total - column] - logs[row - k] - logs[total - column - row + k] - (logs[total] - logs[row] - logs[total - row])
+        out[i] = min(1.0, np.exp(each[k >= a if greater else each <= each[a - low] + 1e-7]).sum())
+    return out
 
 
 def fisher_udf(greater: bool = False):
     @F.pandas_udf(DoubleType())
     def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([fisher_p(int(w), int(x), int(y), int(z), greater) for w, x, y, z in zip(a, b, c, d, strict=True)])
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        kinds, which = np.unique(np.stack([a, b, c, d], 1).astype(np.int64), axis=0, return_inverse=True)
+        return pd.Series(fisher_ps(kinds, greater)[which.ravel()])
 
     return test
 
 
 def fisher_two_group(members: DataFrame, control: str) -> DataFrame:
-    """cluster_id, control_in, treatment_in, odds_ratio, p_value, enrichment of members (cluster_id, group): control against all else."""
-    n = members.groupBy("cluster_id").agg(F.count_if(F.col("group") == control).alias("a"), F.count_if(F.col("group") != control).alias("b"))
-    total = n.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    x = n.join(F.broadcast(total)).withColumn("c", F.col("ta") - F.col("a")).withColumn("d", F.col("tb") - F.col("b"))
+    """cluster_id, control_in, treatment_in, odds_ratio, p_value, enrichment of members (cluster_id, group): control against the other
+    group. Of more than two groups the other is the commonest one of that cluster (the least name on ties; control itself if it has none)."""
+    counts = members.groupBy("cluster_id", "group").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("t"))
+    known = totals.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.when(F.col("group") == control, F.col("t"))), F.lit(0)).alias("control_total"), F.min(F.when(F.col("group") != control, F.col("group"))).alias("only"))
+    first = Window.partitionBy("cluster_id").orderBy((F.col("group") == control).cast("int"), F.desc("n"), "group")
+    inside = counts.groupBy("cluster_id").agg(F.coalesce(F.sum(F.when(F.col("group") == control, F.col("n"))), F.lit(0)).alias("a"))
+    common = counts.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("cluster_id", F.col("group").alias("common"))
+    x = inside.join(common, "cluster_id").join(F.broadcast(known)).withColumn("group", F.when((F.col("groups") == 2) & F.col("only").isNotNull(), F.col("only")).otherwise(F.col("common")))
+    x = x.join(counts.withColumnRenamed("n", "b"), ["cluster_id", "group"], "left").na.fill(0, ["b"]).join(totals, "group")
+    x = x.withColumn("c", F.col("control_total") - F.col("a")).withColumn("d", F.col("t") - F.col("b"))
     odds = F.when(F.col("b") * F.col("c") > 0, F.try_divide((F.col("a") * F.col("d")).cast("double"), (F.col("b") * F.col("c")).cast("double"))).when(F.col("a") * F.col("d") > 0, float("inf")).otherwise(float("nan"))
-    x = x.withColumn("odds_ratio", odds).withColumn("p_value", fisher_udf()("a", "b", "c", "d"))
-    label = F.when(F.col("p_value") >= 0.05, "mixed").when(F.col("odds_ratio") > 1, f"{control}-enriched").when(F.col("odds_ratio") < 1, "treatment-enriched").otherwise("mixed")
-    return x.select("cluster_id", F.col("a").alias("control_in"), F.col("b").alias("treatment_in"), "odds_ratio", "p_value", label.alias("enrichment"))
+    alone = F.col("groups") < 2
+    x = x.withColumn("odds_ratio", F.when(alone, float("nan")).otherwise(odds)).withColumn("p_value", F.when(alone, 1.0).otherwise(fisher_udf()("a", "b", "c", "d")))
+    label = F.when(F.col("p_value") >= 0.05, "mixed").when(F.col("odds_ratio") > 1, f"{control}-enriched").when(F.col("odds_ratio") < 1, F.concat("group", F.lit("-enriched"))).otherwise("mixed")
+    return x.select("cluster_id", F.col("a").alias("control_in"), F.col("b").alias("treatment_in"), "odds_ratio", "p_value", label.alias("enrichment"), F.col("group").alias("treatment"))
 
 
 def fisher_per_sample(members: DataFrame, scale: bool = False) -> DataFrame:

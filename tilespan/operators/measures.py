@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,10 @@ def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str]
     return out.union(short)
 
 
+#: The pairs of category sets whose changes a feature matrix counts.
+CROSSINGS = {"can_ncan": ({"canonical"}, {"noncanonical"}), "tel_sat": ({"canonical", "noncanonical"}, {"satellite"}), "arm_tel": ({"arm"}, {"canonical", "noncanonical", "ITS_TAR1"})}
+
+
 def interspersion(rows: DataFrame, category: Column, pairs: dict[str, tuple[set, set]], keys: Sequence[str] = ("seq_id",)) -> DataFrame:
     """Changes of category along each sequence, for each kilobase (half-even, two places): total over all rows; and for each named
     pair of category sets the changes between the two sets, among rows that are not other."""
@@ -91,28 +96,49 @@ def adaptive_thresholds(fractions: DataFrame, factor: float = FACTOR, least: flo
     return found.withColumn("threshold", F.least(F.lit(most), F.greatest(F.lit(least), F.col("median_nonzero") / factor)))
 
 
-def long_metrics(rows: DataFrame, window: int = WINDOW, gap: int = GAP) -> DataFrame:
-    """seq_id, name ({featureset}__{metric}__{feature}), value: shares, lengths, densities and longest blocks of every label, and total lengths."""
-    keys = ["feature_set", "seq_id"]
-    shares = feature_fraction(rows, keys)
+#: The metrics of a feature matrix, by the pass that makes them.
+METRICS = ("bp", "frac", *DENSITIES, "max_block_bp", "total_bp")
+
 
-    def named(df, metrics):
-        """All metrics of one table in a single pass over it."""
-        long = df.select("feature_set", "seq_id", "feature", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["feature_set", "seq_id", "feature"], list(metrics), "metric", "value")
+def long_metrics(rows: DataFrame, window: int = WINDOW, gap: int = GAP, metrics: Sequence[str] = METRICS, crossings: DataFrame | None = None) -> DataFrame:
+    """seq_id, name ({featureset}__{metric}__{feature}), value: shares, lengths, densities and longest blocks of every label, and total
+    lengths; only those of the metrics asked for are computed. crossings: a table of interspersion(), whose columns join as interspersion__{name}."""
+    keys, asked = ["feature_set", "seq_id"], set(metrics)
+
+    def named(df, own):
+        """All asked metrics of one table in a single pass over it."""
+        own = [m for m in own if m in asked]
+        long = df.select("feature_set", "seq_id", "feature", *[F.col(m).cast("double").alias(m) for m in own]).unpivot(["feature_set", "seq_id", "feature"], own, "metric", "value")
         return long.select("seq_id", F.concat_ws("__", "feature_set", "metric", "feature").alias("name"), "value")
 
-    totals = rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("value"))
-    parts = [named(shares, ("bp", "frac")), named(window_densities(rows, window, keys), DENSITIES), named(max_block(rows, [*keys, "feature"], gap).withColumnRenamed("max_block", "max_block_bp"), ("max_block_bp",))]
-    parts.append(totals.select("seq_id", F.concat_ws("__", "feature_set", F.lit("total_bp")).alias("name"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    parts = []
+    if asked & {"bp", "frac"}:
+        parts.append(named(feature_fraction(rows, keys), ("bp", "frac")))
+    if asked & set(DENSITIES):
+        parts.append(named(window_densities(rows, window, keys), DENSITIES))
+    if "max_block_bp" in asked:
+        parts.append(named(max_block(rows, [*keys, "feature"], gap).withColumnRenamed("max_block", "max_block_bp"), ("max_block_bp",)))
+    if "total_bp" in asked:
+        totals = rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("value"))
+        parts.append(totals.select("seq_id", F.concat_ws("__", "feature_set", F.lit("total_bp")).alias("name"), "value"))
+    if crossings is not None:
+        own = [c for c in crossings.columns if c != "seq_id"]
+        long = crossings.select("seq_id", *[F.col(c).cast("double").alias(c) for c in own]).unpivot(["seq_id"], own, "metric", "value")
+        parts.append(long.select("seq_id", F.concat_ws("__", F.lit("interspersion"), "metric").alias("name"), "value"))
+    if not parts:
+        raise ValueError(f"metrics are {', '.join(METRICS)}")
+    return reduce(DataFrame.union, parts)
+
+
+def metrics_of(names: Sequence[str]) -> set[str]:
+    """The metrics that columns of a feature matrix are named after."""
+    return {part for n in names for part in n.split("__")[1:2]}
 
 
 def wide_matrix(metrics: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """A row for each sequence, a column for each name, 0 where absent. Without names the column set is read first, in sorted order."""
     names = sorted(r[0] for r in metrics.select("name").distinct().collect()) if names is None else list(names)
+    metrics = metrics.where(F.col("name").isin(names))
     return metrics.groupBy("seq_id").pivot("name", names).agg(F.first("value")).na.fill(0.0)
 
 

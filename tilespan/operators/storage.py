@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(session: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only on a local master where none is set, as in tests, one of our own."""
+    context = session.sparkContext
+    found = context.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tilespan-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df, in the folder that spark.checkpoint.dir names; only where none is set, as in tests, one of our own."""
-    session = df.sparkSession
-    if not session.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tilespan-"))
+    """A reliable checkpoint of df, in folder()."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -10,7 +10,7 @@ from ..functions import resolve as R
 from ..operators import binning, clusters, colocalization, measures
 from ..operators.overlay import overlay
 from ..sources import files
-from ..sources.binding import EDGES, EV, LONG, OT, TRACKS, events, hier_events, hier_geo, orders_tiling, runs_sql, table, track, tracks_long
+from ..sources.binding import EDGES, EV, EVENT_EDGES, LONG, OT, TRACKS, events, hier_events, hier_geo, orders_tiling, runs_sql, table, track, tracks_long
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,7 +41,7 @@ SPEC = R.load(
             {"when": {"period": "@early"}, "emit": "band"},
         ],
     },
-    {("type", "browse"): {"browse", "look", "view", "click"}, ("period", "early"): {"early", "d0", "d1", "d2"}},
+    H.classes_of(EVENT_EDGES),
 )
 RESOLVED = """CASE WHEN type IN ('browse', 'look', 'view', 'click') AND band = 'hi' THEN type || '|' || period
   WHEN type = 'error' THEN 'fault' WHEN period IN ('early', 'd0', 'd1', 'd2') THEN band ELSE type END"""
@@ -276,12 +276,26 @@ MATRIX = [f"{fs}__{m}__{f}" for fs, fss in (("band", ("hi", "lo", "mid")),) for
 @query(f"""WITH {EV}, {LONG}, {FRAC} SELECT seq_id, {', '.join(f"coalesce(round(max({'bp' if '__bp__' in n else 'frac'}) FILTER (WHERE feature = '{n.rsplit('__', 1)[1]}'), 9), 0)::DOUBLE AS {n}" for n in MATRIX)}
   FROM frac WHERE feature_set = 'band' GROUP BY seq_id""")
 def feature_matrix_wide(spark, sf):
-    return measures.wide_matrix(measures.long_metrics(tracks_long(events(spark, sf)).where("feature_set = 'band'")).withColumn("value", F.round("value", 9)), MATRIX)
+    return measures.wide_matrix(measures.long_metrics(tracks_long(events(spark, sf)).where("feature_set = 'band'"), metrics=measures.metrics_of(MATRIX)).withColumn("value", F.round("value", 9)), MATRIX)
 
 
-@query()
+ALL_METRICS = f"""WITH {EV}, {LONG}, {FRAC}, base AS (SELECT feature_set, seq_id, unnest(range("start", "end")) AS p, feature AS own FROM ann), lab AS (SELECT DISTINCT feature_set, seq_id, feature FROM ann),
+ span AS (SELECT feature_set, seq_id, max("end") AS len FROM ann GROUP BY ALL),
+ w AS (SELECT b.feature_set, b.seq_id, l.feature, p, len, sum(CASE WHEN own = l.feature THEN 1 ELSE 0 END) OVER (PARTITION BY b.feature_set, b.seq_id, l.feature ORDER BY p ROWS BETWEEN CURRENT ROW AND 999 FOLLOWING) AS s
+   FROM base b JOIN lab l ON b.feature_set = l.feature_set AND b.seq_id = l.seq_id JOIN span ON span.seq_id = b.seq_id AND span.feature_set = b.feature_set),
+ d AS (SELECT feature_set, seq_id, feature, max(s) / 1000 AS dmax, min(s) / 1000 AS dmin, median(s) / 1000 AS dmedian, max(CASE WHEN p = 0 THEN s END) / 1000 AS dfirst, max(CASE WHEN p = len - 1000 THEN s END) / 1000 AS dlast
+   FROM w WHERE len >= 1000 AND p <= len - 1000 GROUP BY ALL UNION ALL SELECT feature_set, seq_id, feature, frac, frac, frac, frac, frac FROM frac WHERE total_bp < 1000),
+ cuts AS (SELECT *, CASE WHEN "start" - max("end") OVER (PARTITION BY feature_set, seq_id, feature ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 100 THEN 0 ELSE 1 END AS cut FROM ann),
+ runs AS (SELECT *, sum(cut) OVER (PARTITION BY feature_set, seq_id, feature ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS run FROM cuts),
+ block AS (SELECT feature_set, seq_id, feature, max(n) AS n FROM (SELECT feature_set, seq_id, feature, max("end") - min("start") AS n FROM runs GROUP BY feature_set, seq_id, feature, run) GROUP BY ALL),
+ m AS (SELECT feature_set, seq_id, feature, unnest(['bp', 'frac']) AS metric, unnest([bp::DOUBLE, frac]) AS value FROM frac UNION ALL SELECT feature_set, seq_id, feature, 'max_block_bp', n FROM block
+   UNION ALL SELECT feature_set, seq_id, feature, unnest(['dmax', 'dmin', 'dmedian', 'dfirst', 'dlast', 'dterminal', 'dterminal_min']), unnest([dmax, dmin, dmedian, dfirst, dlast, greatest(dfirst, dlast), least(dfirst, dlast)]) FROM d)
+ SELECT seq_id, feature_set || '__' || metric || '__' || feature AS name, round(value, 9) AS value FROM m UNION ALL SELECT DISTINCT seq_id, feature_set || '__total_bp', total_bp::DOUBLE FROM frac"""
+
+
+@query(ALL_METRICS)
 def feature_matrix_long(spark, sf):
-    return measures.long_metrics(tracks_long(events(spark, sf)))
+    return measures.long_metrics(tracks_long(events(spark, sf))).withColumn("value", F.round("value", 9))
 
 
 @query(f"""WITH {EV}, {LONG}, b AS (SELECT feature_set, feature, sum("end" - "start")::BIGINT AS genome_bp FROM ann GROUP BY ALL), f AS (SELECT *, genome_bp / sum(genome_bp) OVER (PARTITION BY feature_set) AS f FROM b)
@@ -418,9 +432,22 @@ def bh_order(spark, sf):
     return got.select("feature_a", "feature_b", "window", rank.cast("bigint").alias("bh_rank"), F.round(colocalization.log2_ratio(), 6).alias("log2_ratio"))
 
 
-@query()
+#: The tail 2 / sqrt(pi) times the integral of exp(-t * t) from z to z + 8, by Simpson's rule.
+CALLS = CMH + """, zz AS (SELECT *, sqrt(greatest(statistic, 0) / 2) AS z FROM st),
+ pv AS (SELECT *, CASE WHEN statistic IS NULL THEN 1.0 ELSE least(1.0, 2 / sqrt(pi()) * 0.004 / 3 * list_sum([exp(-pow(z + 0.004 * i, 2)) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END for i in range(0, 2001)])) END AS p_value FROM zz),
+ raws AS (SELECT *, least(1.0, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, feature_a, feature_b, wi)) AS raw FROM pv),
+ qv AS (SELECT *, min(raw) OVER (ORDER BY p_value DESC, feature_a DESC, feature_b DESC, wi DESC ROWS UNBOUNDED PRECEDING) AS q_value, exp_support / exp_total AS exp_rate, ctrl_support / ctrl_total AS ctrl_rate,
+   ln(((exp_support + 0.5) / (exp_total + 1)) / ((ctrl_support + 0.5) / (ctrl_total + 1))) / ln(2) AS log2_ratio FROM raws)
+ SELECT feature_a, feature_b, wi AS "window", exp_support, exp_total, round(exp_rate, 6) AS exp_rate, ctrl_support, ctrl_total, round(ctrl_rate, 6) AS ctrl_rate, round(log2_ratio, 6) AS log2_ratio, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value,
+   CASE WHEN exp_rate >= ctrl_rate THEN 'enriched' ELSE 'depleted' END AS direction, greatest(exp_rate, ctrl_rate) > 0 AS reference_abnormal,
+   q_value <= 0.2 AND greatest(exp_support, ctrl_support) >= 3 AND abs(log2_ratio) >= 0.2 AND greatest(exp_rate, ctrl_rate) > 0 AS passes FROM qv"""
+
+
+@query(CALLS)
 def differential_calls(spark, sf):
-    return colocalization.detect(*two_samples(spark, sf), windows=W3, min_log2=0.2, alpha=0.2)
+    got = colocalization.detect(*two_samples(spark, sf), windows=W3, min_log2=0.2, alpha=0.2)
+    rounded = {"exp_rate", "ctrl_rate", "log2_ratio", "p_value", "q_value"}
+    return got.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in colocalization.CALL if c not in ("ref_rate", "odds_ratio")])
 
 
 # clusters
@@ -597,4 +624,4 @@ def density_bins(spark, sf):
     return measures.density_bins(track(events(spark, sf), "type").where("feature = 'error'"), 250)
 
 
-from . import assembly_queries, figure_queries, legacy_queries, streaming_queries  # noqa: E402, F401  they register theirs here
+from . import assembly_queries, figure_queries, file_queries, legacy_queries, streaming_queries  # noqa: E402, F401  they register theirs here

@@ -38,17 +38,19 @@ def matrix_length_weighted(spark, sf):
 
 
 FISHER = """WITH m AS (SELECT c_nationkey AS cluster_id, o_orderstatus AS g FROM orders JOIN customer ON o_custkey = c_custkey),
- n AS (SELECT cluster_id, count(*) FILTER (WHERE g = 'F') AS a, count(*) FILTER (WHERE g <> 'F') AS b FROM m GROUP BY ALL), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM n),
- x AS (SELECT cluster_id, a, b, (ta - a) AS c, (tb - b) AS d, ta AS col, ta + tb AS tot, a + b AS rw FROM n, t),
+ e AS (SELECT cluster_id, g, count(*) AS n FROM m GROUP BY ALL), gt AS (SELECT g, sum(n) AS t FROM e GROUP BY g),
+ o0 AS (SELECT cluster_id, coalesce(sum(n) FILTER (WHERE g = 'F'), 0) AS a, coalesce(arg_max(g, (n, -ascii(g))) FILTER (WHERE g <> 'F'), 'F') AS og FROM e GROUP BY cluster_id),
+ x AS (SELECT o0.cluster_id, a::BIGINT AS a, coalesce(e.n, 0)::BIGINT AS b, ((SELECT t FROM gt WHERE g = 'F') - a)::BIGINT AS c, (gt.t - coalesce(e.n, 0))::BIGINT AS d, og, ((SELECT t FROM gt WHERE g = 'F'))::BIGINT AS col, ((SELECT t FROM gt WHERE g = 'F') + gt.t)::BIGINT AS tot, (a + coalesce(e.n, 0))::BIGINT AS rw
+   FROM o0 JOIN gt ON gt.g = og LEFT JOIN e ON e.cluster_id = o0.cluster_id AND e.g = og),
  k AS (SELECT *, unnest(range(greatest(0, rw + col - tot)::BIGINT, least(rw, col)::BIGINT + 1)) AS k FROM x),
  l AS (SELECT *, lgamma(col + 1) - lgamma(k + 1) - lgamma(col - k + 1) + lgamma(tot - col + 1) - lgamma(rw - k + 1) - lgamma(tot - col - rw + k + 1) - (lgamma(tot + 1) - lgamma(rw + 1) - lgamma(tot - rw + 1)) AS lp FROM k),
  o AS (SELECT cluster_id, max(lp) FILTER (WHERE k = a) AS obs FROM l GROUP BY cluster_id)"""
 
 
-@query(FISHER + """ SELECT l.cluster_id, max(a) AS control_in, max(b) AS treatment_in, round(max(a * d / (b * c)), 6) AS odds_ratio, round(least(1, sum(exp(lp)) FILTER (WHERE lp <= obs + 1e-7)), 6) AS p_value FROM l JOIN o ON l.cluster_id = o.cluster_id GROUP BY l.cluster_id""")
+@query(FISHER + """ SELECT l.cluster_id, max(a) AS control_in, max(b) AS treatment_in, max(og) AS treatment, round(max(a * d / (b * c)), 6) AS odds_ratio, round(least(1, sum(exp(lp)) FILTER (WHERE lp <= obs + 1e-7)), 6) AS p_value FROM l JOIN o ON l.cluster_id = o.cluster_id GROUP BY l.cluster_id""")
 def fisher_two_group(spark, sf):
     m = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("cluster_id"), F.col("o_orderstatus").alias("group"))
-    return legacy.fisher_two_group(m, "F").select("cluster_id", "control_in", "treatment_in", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("p_value", 6).alias("p_value"))
+    return legacy.fisher_two_group(m, "F").select("cluster_id", "control_in", "treatment_in", "treatment", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("p_value", 6).alias("p_value"))
 
 
 PER_SAMPLE = """WITH m AS (SELECT c_nationkey AS cluster_id, o_orderpriority AS sample, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -206,9 +208,12 @@ def balanced_scores(spark, sf):
     return clusters.balanced_score(rows).select("cluster_id", "read_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(MEMBERS + """, z AS (SELECT cluster_id, sample, count(*) AS size FROM m GROUP BY ALL), y AS (SELECT *, least(size, greatest(1, round_even(size / sum(size) OVER (PARTITION BY cluster_id) * 12, 0)))::BIGINT AS wanted FROM z),
+ x AS (SELECT *, least(wanted, greatest(0, 12 - (sum(wanted) OVER (PARTITION BY cluster_id ORDER BY size DESC, sample) - wanted))) AS slots FROM y),
+ r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, sample ORDER BY d, read_id) AS n FROM m)
+ SELECT r.cluster_id, read_id::VARCHAR AS read_id, r.sample, d AS centroid_distance, row_number() OVER (PARTITION BY r.cluster_id ORDER BY d, read_id)::INTEGER AS rank FROM r JOIN x ON r.cluster_id = x.cluster_id AND r.sample = x.sample AND n <= slots""")
 def representatives_by_sample(spark, sf):
-    return choose.by_sample(members(spark, sf), 12)
+    return choose.by_sample(members(spark, sf), 12).withColumn("read_id", F.col("read_id").cast("string"))
 
 
 @query(MEMBERS + """, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY d, read_id) AS rank FROM m), t AS (SELECT median(len) AS target FROM r WHERE rank = 1),

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def placed() -> Column:
+    """A row's place: files by name, then the split of the file, then the row. Readers take files by size, so row numbers alone follow no order."""
+    return F.struct(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (its text), ord (its place; ascending in a file), file."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("ord"), F.input_file_name().alias("file"))
+    """line (its text), ord (its place)."""
+    return spark.read.text(path).select(F.col("value").alias("line"), placed().alias("ord"))
 
 
 def parse_bed(lines: DataFrame) -> DataFrame:
@@ -26,10 +31,10 @@ def parse_bed(lines: DataFrame) -> DataFrame:
 
 
 def runs_of(rows: DataFrame) -> DataFrame:
-    """seq_id, part, first, last, head, tail: unbroken runs of one sequence in the order of ord within each partition that the
-    reader numbered (the high bits of ord), and whether a run opens or closes its partition. Partitions are ranked without gaps."""
-    placed = rows.select("seq_id", "ord", F.shiftright("ord", 33).alias("_p"))
-    ranks = placed.select("_p").distinct().withColumn("part", F.row_number().over(Window.orderBy("_p")))  # one row a partition
+    """seq_id, part, first, last, head, tail: unbroken runs of one sequence in the order of ord within each split of a file,
+    and whether a run opens or closes its split. Splits are ranked without gaps."""
+    placed = rows.select("seq_id", "ord", F.struct("ord.file", "ord.split").alias("_p"))
+    ranks = placed.select("_p").distinct().withColumn("part", F.row_number().over(Window.orderBy("_p")))  # one row a split
     w = Window.partitionBy("_p").orderBy("ord")
     marked = placed.withColumn("_new", F.when(F.lag("seq_id").over(w) == F.col("seq_id"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     found = marked.groupBy("_p", "_run", "seq_id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
@@ -41,8 +46,8 @@ def runs_of(rows: DataFrame) -> DataFrame:
 def tiling_problems(rows: DataFrame) -> DataFrame:
     """Every breach of the tiling rule: scattered (a sequence's rows are not together), gap, overlap, or a row's own problem.
 
-    No window spans the whole file: runs are found partition by partition, and a sequence is together if each of its runs
-    opens the partition after the one that its run before closed.
+    No window spans the whole file: runs are found split by split, and a sequence is together if each of its runs
+    opens the split after the one that its run before closed.
     """
     by_seq = Window.partitionBy("seq_id").orderBy("first")
     back = lambda c: F.lag(c).over(by_seq)
@@ -68,7 +73,7 @@ def read_bed(spark: SparkSession, path: str, validate: bool = True) -> DataFrame
     if validate:
         wrong = tiling_problems(rows).orderBy("ord").limit(1).collect()
         if wrong:
-            raise ValueError(f"{wrong[0].kind} at row {wrong[0].ord}: {wrong[0].seq_id} {wrong[0].start} {wrong[0].end}")
+            raise ValueError(f"{wrong[0].kind} at row {wrong[0].ord.row} of {wrong[0].ord.file}: {wrong[0].seq_id} {wrong[0].start} {wrong[0].end}")
     return rows.where("problem is null").drop("problem")
 
 
@@ -105,7 +110,7 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_palette(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, ["feature_set", "feature", "color"]).withColumn("ord", F.monotonically_increasing_id())
+    return read_table(spark, path, ["feature_set", "feature", "color"]).withColumn("ord", placed())
 
 
 def collapse_palette(palette: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ def last_assignment(rows: DataFrame) -> DataFrame:
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    return last_assignment(read_table(spark, path, ["read_id", "cluster_id"]).withColumn("ord", F.monotonically_increasing_id()))
+    return last_assignment(read_table(spark, path, ["read_id", "cluster_id"]).withColumn("ord", placed()))
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
