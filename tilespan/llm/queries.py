@@ -16,6 +16,9 @@ _WHERE = {
     "op8_simhash_components": "simhash",
     "op9_toxicity": "toxicity",
     "op10_pii_spans": "pii",
+    "op11_fill_in_middle": "infill",
+    "op12_collocations": "collocation",
+    "op13_url_rules": "urlrules",
 }
 
 
