@@ -65,6 +65,33 @@ def test_binning(spark, scope, majority):
         assert sorted(tuple(x) for x in found.collect()) == plain_binning(rows, window, step, majority, scope, 0.4)
 
 
+def test_long_stretches_cost_no_bases(spark, monkeypatch):
+    """Windows are evaluated where weights bend and where the label changes, not at every base; a long sequence is dealt in pieces."""
+    rows, low = [], 5
+    r = random.Random(3)
+    for k in range(40):
+        n = r.choice([3, 40, 5_000_000])
+        rows.append(("q", low, low + n, r.choice(LABELS)))
+        low += n
+    rows += [("one", 0, 7, "a")]
+    df, edges = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(EDGES, "feature_set string, child string, parent string")
+    for piece in (1 << 20, 777_777):
+        found = sorted(tuple(x) for x in binning.bin_exact(df, edges, 101, piece=piece).collect())
+        assert found.pop(0) == ("one", 0, 7, "a") and found[0][1] == 5 and found[-1][2] == low
+        assert all(a[2] == b[1] and a[3] != b[3] for a, b in zip(found[:-1], found[1:]))
+        calls = {s: f for _, s, _, f in found}
+        for s, f in list(calls.items()):
+            for x in (s, s - 1):
+                if x >= 5:
+                    own = [max(0, min(e, x + 51) - max(b, x - 50)) for _, b, e, _ in rows[:-1]]
+                    weights = {}
+                    for w, (_, _, _, label) in zip(own, rows):
+                        if w:
+                            weights[label] = weights.get(label, 0) + w
+                    at = max(k for k in calls if k <= x)
+                    assert calls[at] == plain_descent(weights, 0.5, "node", 0.5)
+
+
 def test_pieces_do_not_matter(spark):
     rows = tiling(random.Random(9), 4, LABELS, 120)
     df, edges = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(EDGES, "feature_set string, child string, parent string")

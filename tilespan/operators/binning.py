@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hierarchy import NOVEL
 from ..functions.intervals import coalesce_runs
+from .storage import spread
 
 WINDOW, STEP, MAJORITY, NOVEL_MIN = 101, 1, 0.5, 0.5
 
@@ -110,100 +113,182 @@ def bin_strided(rows: DataFrame, edges: DataFrame, window: int = WINDOW, step: i
     return coalesce_runs(called.select("seq_id", "start", "end", "feature"))
 
 
-def majority_labels(weights: np.ndarray, labels: list[str], parents: dict[str, str], majority: float, scope: str, novel_min: float) -> np.ndarray:
-    """The descent for many windows at once: weights has a row a window and a column a label. Returns label numbers into the list it also returns."""
-    names = sorted(set(labels) | set(parents) | set(parents.values()))
-    at = {n: k for k, n in enumerate(names)}
-    tops = sorted({p for p in parents.values() if p not in parents})
-    root = tops[0] if len(tops) == 1 else None
-    chain = {}
-    for n in names:
-        line, x = [n], n
-        while x in parents:
-            x = parents[x]
-            line.append(x)
-        chain[n] = [y for y in line if y != root]
-    depth = np.array([len(chain[n]) if n in parents or n in tops else 1 for n in names])
-    raw = np.zeros((len(weights), len(names)))
-    for k, label in enumerate(labels):
-        raw[:, at[label]] += weights[:, k]
-    total = raw.sum(1)
-    novel = raw[:, at[NOVEL]].copy() if NOVEL in at else np.zeros(len(raw))
-    call_novel = (novel > 0) & ((novel >= novel_min * total) | (novel == total))
-    if NOVEL in at:
-        raw[:, at[NOVEL]] = 0
-    total = total - novel
-    sub = np.zeros_like(raw)
-    for n in names:
-        for x in chain[n]:
-            sub[:, at[x]] += raw[:, at[n]]
-    order = sorted(range(len(names)), key=lambda k: (depth[k], names[k]))
-    rank = np.empty(len(names))
-    rank[order] = np.arange(len(names))
-    kids: dict[str | None, list[int]] = {}
-    for n in names:
-        if n != root:
-            up = parents.get(n)
-            kids.setdefault(None if up is None or up == root else up, []).append(at[n])
-    out = np.full(len(raw), -1)
-    stack = [(None, np.arange(len(raw)), total)]
-    while stack:
-        node, rows, base = stack.pop()
-        own = np.array(kids.get(node, []), int)
-        if not len(own) or not len(rows):
-            continue
-        heavy = sub[np.ix_(rows, own)]
-        top = heavy.max(1)
-        pick = own[np.where(heavy == top[:, None], rank[own], -1).argmax(1)]
-        goes = (top > 0) & (top > majority * (base if scope == "node" else total[rows]))
-        for k in np.unique(pick[goes]):
-            mine = rows[goes & (pick == k)]
-            out[mine] = k
-            stack.append((names[k], mine, sub[mine, k]))
-    flat = np.where(raw == raw.max(1, keepdims=True), rank, -1).argmax(1)
-    out = np.where(out < 0, flat, out)
-    if NOVEL in at:
-        out[call_novel] = at[NOVEL]
-    return np.array(names, object)[out]
-
-
-def bin_exact(rows: DataFrame, edges: DataFrame, window: int = WINDOW, majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN, piece: int = 50_000) -> DataFrame:
-    """The majority label of every base. A sequence is one task's work; its bases go in pieces, so memory follows its rows, not its length."""
-    parents = {r.child: r.parent for r in edges.collect()}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"])
-        s, e = pdf["start"].to_numpy(), pdf["end"].to_numpy()
-        low, length = s[0], int(e.max() - s[0])
-        s, e = s - low, e - low
-        labels = sorted(set(pdf["feature"]))
-        number = np.array([labels.index(f) for f in pdf["feature"]])
-        out = []
-        for p in range(0, length, piece):
-            i = np.arange(p, min(length, p + piece))
-            a, b = np.maximum(0, i - (window - 1) // 2), np.minimum(length, i + window // 2 + 1)
-            w = np.zeros((len(i), len(labels)))
-            for k in range(len(labels)):
-                ks, ke = s[number == k], e[number == k]
-                done = np.concatenate(([0], np.cumsum(ke - ks)))
-
-                def upto(x, ks=ks, ke=ke, done=done):
-                    n = np.searchsorted(ks, x, "right")
-                    return done[n] - np.where(n > 0, np.maximum(0, ke[np.maximum(n - 1, 0)] - x), 0)
-
-                w[:, k] = upto(b) - upto(a)
-            found = majority_labels(w, labels, parents, majority, scope, novel_min)
-            cut = np.concatenate(([0], np.flatnonzero(found[1:] != found[:-1]) + 1, [len(found)]))
-            out += [(p + x, p + y, found[x]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        merged = []
-        for x, y, f in out:
-            if merged and merged[-1][2] == f:
-                merged[-1][1] = y
-            else:
-                merged.append([x, y, f])
-        return pd.DataFrame({"seq_id": pdf["seq_id"].iloc[0], "start": [m[0] + low for m in merged], "end": [m[1] + low for m in merged], "feature": [m[2] for m in merged]})
-
-    return rows.select("seq_id", "start", "end", "feature").groupBy("seq_id").applyInPandas(run, "seq_id string, start long, end long, feature string")
+class Descent:
+    """The descent for many windows at once, as outcomes: a row of weights (a column a label) gives the number of the node it ends at,
+    names + that number where the heaviest label stood in for a root that nothing was entered from. Shares are compared in whole numbers."""
+
+    def __init__(self, labels: Sequence[str], parents: dict[str, str], majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN):
+        self.names = sorted(set(labels) | set(parents) | set(parents.values()))
+        self.scope, self.share, self.novel_share = scope, Fraction(str(majority)), Fraction(str(novel_min))
+        at = {n: k for k, n in enumerate(self.names)}
+        tops = sorted({p for p in parents.values() if p not in parents})
+        root = tops[0] if len(tops) == 1 else None
+        self.label = np.array([at[x] for x in labels], np.int64)
+        self.novel = at.get(NOVEL)
+        lines = [[n] for n in self.names]
+        for line in lines:
+            while line[-1] in parents:
+                line.append(parents[line[-1]])
+        depth = [len([x for x in line if x != root]) if line[0] in parents or line[0] in tops else 1 for line in lines]
+        self.rank = np.empty(len(self.names))
+        self.rank[sorted(range(len(self.names)), key=lambda k: (depth[k], self.names[k]))] = np.arange(len(self.names))
+        self.member = np.zeros((len(self.names), len(self.names)), np.int64)  # row a label's, column a node's: the label lies below it
+        for k, line in enumerate(lines):
+            self.member[k, [at[x] for x in line if x != root]] = 1
+        self.children: dict[int | None, list[int]] = {}
+        for n in self.names:
+            if n != root:
+                up = parents.get(n)
+                self.children.setdefault(None if up is None or up == root else at[up], []).append(at[n])
+
+    def __call__(self, weights: np.ndarray) -> np.ndarray:
+        raw = np.zeros((len(weights), len(self.names)), np.int64)
+        raw[:, self.label] = weights
+        total = raw.sum(1)
+        called = np.zeros(len(raw), bool)
+        if self.novel is not None:
+            novel = raw[:, self.novel].copy()
+            called = (novel > 0) & ((novel * self.novel_share.denominator >= self.novel_share.numerator * total) | (novel == total))
+            raw[:, self.novel] = 0
+            total = total - novel
+        below = raw @ self.member
+        flat = np.where(raw == raw.max(1, keepdims=True), self.rank, -1).argmax(1)
+        out = len(self.names) + flat
+        todo = [(None, np.arange(len(raw)), total)]
+        while todo:
+            node, rows, base = todo.pop()
+            own = np.array(self.children.get(node, []), np.int64)
+            if not len(own) or not len(rows):
+                continue
+            heavy = below[np.ix_(rows, own)]
+            top = heavy.max(1)
+            pick = own[np.where(heavy == top[:, None], self.rank[own], -1).argmax(1)]
+            enters = (top > 0) & (top * self.share.denominator > self.share.numerator * (base if self.scope == "node" else total[rows]))
+            for k in np.unique(pick[enters]):
+                mine = rows[enters & (pick == k)]
+                out[mine] = k
+                todo.append((int(k), mine, below[mine, k]))
+        if self.novel is not None:
+            out[called] = self.novel
+        return out
+
+    def called(self, outcome: np.ndarray) -> np.ndarray:
+        return np.array(self.names, object)[outcome % len(self.names)]
+
+
+class Covers:
+    """How many bases of each label lie before a place, over all intervals of a batch laid on one line."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, label: np.ndarray, labels: int):
+        order = np.lexsort((start, label))
+        self.start, self.end = start[order], end[order]
+        self.first = np.searchsorted(label[order], np.arange(labels + 1))
+        self.done = np.concatenate(([0], np.cumsum(self.end - self.start)))
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A row for each window [low, high), a column for each label."""
+        out = np.zeros((len(low), len(self.first) - 1), np.int64)
+        for k, (a, b) in enumerate(pairwise(self.first.tolist())):
+            start, end, done = self.start[a:b], self.end[a:b], self.done[a : b + 1]
+            for place, sign in ((high, 1), (low, -1)):
+                n = np.searchsorted(start, place, "right")
+                last = np.maximum(n - 1, 0)
+                out[:, k] += sign * (done[n] - done[0] - np.where(n > 0, np.maximum(0, end[last] - place), 0))
+        return out
+
+
+def changes(descent: Descent, covers: Covers, points: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and outcomes enough to tell the outcome of every place. points: places in order between which all weights run straight,
+    each in the piece (a number) of that index, whose sequence's bounds are low and high.
+
+    Where weights run straight, the places of one outcome lie together: entering a child, ranking it first and stopping are all
+    half-lines or stretches. So equal outcomes at both ends of a stretch hold in between, and unequal ones are told apart by halving.
+    """
+
+    def outcomes(at, own):
+        out = np.empty(len(at), np.int64)
+        for k in range(0, len(at), 1 << 14):  # the table of weights has a column a label
+            x, s, e = at[k : k + (1 << 14)], low[own[k : k + (1 << 14)]], high[own[k : k + (1 << 14)]]
+            out[k : k + (1 << 14)] = descent(covers.between(np.maximum(s, x - before), np.minimum(e, x + after + 1)))
+        return out
+
+    found = outcomes(points, piece)
+    places, results = [points], [found]
+    left, right, one, two, own = points[:-1], points[1:], found[:-1], found[1:], piece[:-1]
+    same = piece[1:] == own
+    left, right, one, two, own = (x[same] for x in (left, right, one, two, own))
+    while True:
+        apart = (one != two) & (right - left > 1)
+        if not apart.any():
+            break
+        left, right, one, two, own = (x[apart] for x in (left, right, one, two, own))
+        mid = (left + right) // 2
+        here = outcomes(mid, own)
+        places.append(mid)
+        results.append(here)
+        left, right = np.concatenate((left, mid)), np.concatenate((mid, right))
+        one, two, own = np.concatenate((one, here)), np.concatenate((here, two)), np.concatenate((own, own))
+    places, results = np.concatenate(places), np.concatenate(results)
+    order = np.argsort(places, kind="stable")
+    return places[order], results[order]
+
+
+def bin_exact(rows: DataFrame, edges: DataFrame, window: int = WINDOW, majority: float = MAJORITY, scope: str = "node", novel_min: float = NOVEL_MIN, piece: int = 1 << 20) -> DataFrame:
+    """The majority label of every base of sequences that rows tile, equal neighbours joined.
+
+    Weights of a sliding window run straight between the places where one of its ends meets an interval's: only these are evaluated, and
+    between them as many as tell where the label changes, so work follows intervals and not bases. A sequence is dealt in pieces of so many bases,
+    each with the intervals its windows reach, and pieces are read in batches that hold several. A share of exactly majority enters nothing.
+    """
+    parents = {r.child: r.parent for r in edges.select("child", "parent").collect()}  # a label tree
+    before, after = (window - 1) // 2, window // 2
+    span = rows.groupBy("seq_id").agg(F.min("start").alias("_s"), F.max("end").alias("_e"))
+    met = rows.select("seq_id", "start", "end", "feature").join(span, "seq_id")
+    dealt = met.withColumn("_p", F.explode(F.expr(f"sequence((greatest(_s, start - {after}) - _s) div {piece}, (least(_e, end + {before}) - 1 - _s) div {piece})")))
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, e, base, end_ = (pdf[c].to_numpy(np.int64) for c in ("start", "end", "_s", "_e"))
+        labels, code = np.unique(pdf["feature"].to_numpy(object), return_inverse=True)
+        new = np.append(True, (pdf["seq_id"].to_numpy()[1:] != pdf["seq_id"].to_numpy()[:-1]) | np.diff(pdf["_p"].to_numpy()).astype(bool))
+        own, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        first = base[heads] + pdf["_p"].to_numpy(np.int64)[heads] * piece  # the piece's own bases
+        last = np.minimum(end_[heads], first + piece)
+        reach = last - first + window + 2
+        move = np.concatenate(([0], np.cumsum(reach)[:-1])) - first + before + 1  # lays the pieces side by side
+        s, e = np.maximum(s, (first - before)[own]), np.minimum(e, (last + after)[own])
+        keep = s < e
+        covers = Covers((s + move[own])[keep], (e + move[own])[keep], code[keep], len(labels))
+        bends = np.concatenate([x + d for x in (s, e) for d in (before, -1 - after)] + [first, last - 1])
+        whose = np.concatenate([own] * 4 + [np.arange(len(heads))] * 2)
+        bends = np.clip(bends, first[whose], last[whose] - 1) + move[whose]
+        points, at = np.unique(bends, return_index=True)
+        descent = Descent(labels.tolist(), parents, majority, scope, novel_min)
+        places, outcome = changes(descent, covers, points, whose[at], base[heads] + move, end_[heads] + move, before, after)
+        owner = np.searchsorted(first + move, places, "right") - 1
+        start = np.flatnonzero(np.append(True, (outcome[1:] % len(descent.names) != outcome[:-1] % len(descent.names)) | (owner[1:] != owner[:-1])))
+        o = owner[start]
+        begin = places[start] - move[o]
+        until = np.append(begin[1:], 0)
+        ends = np.append(o[1:] != o[:-1], True)
+        return pd.DataFrame({"seq_id": pdf["seq_id"].to_numpy()[heads[o]], "start": begin, "end": np.where(ends, last[o], until), "feature": descent.called(outcome[start])})
+
+    def run(parts):
+        held: list[pd.DataFrame] = []
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            if sum(map(len, held)) >= 1 << 15:
+                both = pd.concat(held, ignore_index=True)
+                tail = (both["seq_id"].to_numpy() == both["seq_id"].iloc[-1]) & (both["_p"].to_numpy() == both["_p"].iloc[-1])
+                if not tail.all():  # the last piece may go on
+                    yield several(both[~tail])
+                held = [both[tail].reset_index(drop=True)]
+        if held:
+            yield several(pd.concat(held, ignore_index=True))
+
+    laid = spread(dealt, "seq_id", "_p").sortWithinPartitions("seq_id", "_p", "start")
+    return coalesce_runs(laid.mapInPandas(run, "seq_id string, start long, end long, feature string"))
 
 
 def bin_annotations(rows: DataFrame, edges: DataFrame, window: int = WINDOW, step: int = STEP, **options) -> DataFrame:

@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df, in folder()."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as spark.sql.shuffle.partitions says. For work that costs more than its bytes tell: a number that is named keeps AQE from joining the tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -89,6 +89,34 @@ def layout_consensus(spark, sf):
     return assembly.consensus(assembly.cut(layout(spark, sf)))
 
 
+#: The chain of an order: its parts in line order, each part a label of its own, where an order has three at least.
+CHAIN = """l AS (SELECT l_orderkey AS o, 'p' || l_partkey AS f, min(l_linenumber) AS k, 500 + 10 * arg_min(l_quantity, (l_linenumber, l_quantity))::BIGINT AS n FROM lineitem GROUP BY ALL),
+ c AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY k, f) AS r, count(*) OVER (PARTITION BY o) AS m, sum(n) OVER (PARTITION BY o ORDER BY k, f ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM l QUALIFY m >= 3)"""
+
+
+def chain_layout(spark, sf):
+    """Reads cut from each order's chain (all of it, without its last part, without its first and for odd orders turned round), laid out."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("feature"))
+    first = lines.agg(F.min(F.struct("l_linenumber", "l_quantity")).alias("m")).select("o", "feature", F.col("m.l_linenumber").alias("k"), (500 + 10 * F.col("m.l_quantity").cast("bigint")).alias("len"))
+    chain = first.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("k", "feature", "len"))).alias("x")).where("size(x) >= 3").select("o", F.transform("x", lambda v: F.struct(v["feature"].alias("feature"), v["len"].alias("len"))).alias("x"))
+    tail = F.expr("slice(x, 2, size(x) - 1)")
+    cuts = F.array(F.struct(F.lit("all").alias("name"), F.col("x").alias("segs")), F.struct(F.lit("head").alias("name"), F.expr("slice(x, 1, size(x) - 1)").alias("segs")), F.struct(F.lit("tail").alias("name"), F.when(F.col("o") % 2 == 1, F.reverse(tail)).otherwise(tail).alias("segs")))
+    reads = chain.select(F.col("o").cast("string").alias("cluster_id"), F.explode(cuts).alias("c")).select("cluster_id", F.concat_ws("-", "cluster_id", "c.name").alias("read_id"), "c.segs")
+    members = reads.select("read_id", "cluster_id", F.concat(F.col("cluster_id"), F.lit("-all")).alias("seed"), F.lit(3).alias("size"), F.lit(1).alias("rank"), F.lit(False).alias("conflict"))
+    return assembly.layout(members, reads.select("read_id", "segs"), assembly.Scorer(), assembly.Backbone())
+
+
+@query(f"""WITH {CHAIN} SELECT o::VARCHAR AS cluster_id, o || '-' || name AS read_id, name = 'all' AS is_seed, name = 'tail' AND o % 2 = 1 AS reversed, e - n AS "start", e AS "end", f AS feature
+ FROM c, (VALUES ('all'), ('head'), ('tail')) v(name) WHERE name = 'all' OR (name = 'head' AND r < m) OR (name = 'tail' AND r > 1)""")
+def layout_chains(spark, sf):
+    return chain_layout(spark, sf)
+
+
+@query(f"""WITH {CHAIN} SELECT o::VARCHAR AS cluster_id, e - n AS "start", e AS "end", f AS feature, 1 + (r < m)::BIGINT + (r > 1)::BIGINT AS support, 1 + (r < m)::BIGINT + (r > 1)::BIGINT AS coverage FROM c""")
+def layout_chains_consensus(spark, sf):
+    return assembly.consensus(assembly.cut(chain_layout(spark, sf)))
+
+
 @query(f"""WITH {EV}, s AS (SELECT 'c' || (hash_key % 10) AS cluster_id, "start" AS s, "end" AS e, type FROM (SELECT *, substr(seq_id, 2)::INTEGER AS hash_key FROM ev)),
  b AS (SELECT DISTINCT cluster_id, unnest([s, e]) AS p FROM s), c AS (SELECT cluster_id, p AS "start", lead(p) OVER (PARTITION BY cluster_id ORDER BY p) AS "end" FROM b),
  v AS (SELECT c.cluster_id, c."start", c."end", type, count(*) AS n FROM c JOIN s ON s.cluster_id = c.cluster_id AND s.s <= c."start" AND s.e >= c."end" WHERE c."end" IS NOT NULL GROUP BY ALL),

@@ -9,8 +9,9 @@ from ..functions import intervals as I
 from ..functions import resolve as R
 from ..operators import binning, clusters, colocalization, measures
 from ..operators.overlay import overlay
+from ..operators.storage import cut
 from ..sources import files
-from ..sources.binding import EDGES, EV, EVENT_EDGES, LONG, OT, TRACKS, events, hier_events, hier_geo, orders_tiling, runs_sql, table, track, tracks_long
+from ..sources.binding import EDGES, EV, EVENT_EDGES, HT, LONG, OT, TRACKS, events, hier_events, hier_geo, hier_tables, orders_tiling, runs_sql, table, track, tracks_long
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,16 +94,16 @@ def x1_track_mismatches(spark, sf):
 # hierarchy
 
 
-@query(f"""WITH RECURSIVE {EDGES}, n AS (SELECT feature_set, child AS node FROM edges UNION SELECT feature_set, parent FROM edges),
-  c AS (SELECT feature_set, node, node AS ancestor, 0 AS distance FROM n UNION ALL SELECT c.feature_set, node, parent, distance + 1 FROM c JOIN edges e ON e.feature_set = c.feature_set AND e.child = c.ancestor)
+@query(f"""WITH RECURSIVE {HT}, n AS (SELECT feature_set, child AS node FROM ht UNION SELECT feature_set, parent FROM ht),
+  c AS (SELECT feature_set, node, node AS ancestor, 0 AS distance FROM n UNION ALL SELECT c.feature_set, node, parent, distance + 1 FROM c JOIN ht e ON e.feature_set = c.feature_set AND e.child = c.ancestor)
   SELECT * FROM c""")
 def hierarchy_closure(spark, sf):
-    return H.closure(hier_events(spark))
+    return H.closure(cut(hier_tables(spark, sf)))
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT feature_set, child AS node FROM edges WHERE (feature_set, child) NOT IN (SELECT (feature_set, parent) FROM edges)")
+@query(f"WITH {HT} SELECT DISTINCT feature_set, child AS node FROM ht WHERE (feature_set, child) NOT IN (SELECT (feature_set, parent) FROM ht)")
 def hierarchy_leaves(spark, sf):
-    return H.leaves(hier_events(spark))
+    return H.leaves(hier_tables(spark, sf))
 
 
 @query("""SELECT n_name AS node, r_name AS ancestor FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'categorized' FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -111,9 +112,9 @@ def hierarchy_descendants(spark, sf):
     return H.closure(hier_geo(spark, sf)).where("distance > 0").select("node", "ancestor")
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT feature_set, parent AS node FROM edges WHERE (feature_set, parent) NOT IN (SELECT (feature_set, child) FROM edges)")
+@query(f"WITH {HT} SELECT DISTINCT feature_set, parent AS node FROM ht WHERE (feature_set, parent) NOT IN (SELECT (feature_set, child) FROM ht)")
 def hierarchy_roots(spark, sf):
-    return H.roots(hier_events(spark))
+    return H.roots(hier_tables(spark, sf))
 
 
 # interval algebra

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import hierarchy as H
 from ..functions import resolve as R
@@ -12,9 +13,9 @@ from ..operators import assembly, clusters, figures, legacy, measures
 from ..operators.overlay import overlay
 from ..operators.storage import cut, folder
 from ..sources import files
-from ..sources.binding import EDGES, EV, LONG, events, hier_events, table, track, tracks_long
+from ..sources.binding import EV, HT, LONG, events, hier_tables, table, track, tracks_long
 from .catalogue import query
-from .legacy_queries import TRACKS_SQL, mapped
+from .legacy_queries import MAPPED, TRACKS_SQL, mapped
 
 #: The label trees of the genome, as parent: children.
 GENOME = {
@@ -78,9 +79,9 @@ def bed_problems(spark, sf):
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("end").alias("ends"))
 
 
-@query(f"WITH {EDGES} SELECT feature_set, child, parent FROM edges")
+@query(f"WITH {HT} SELECT feature_set, child, parent FROM ht")
 def hierarchy_tsv(spark, sf):
-    return files.read_hierarchy(spark, stored(spark, hier_events(spark), "tree"))
+    return files.read_hierarchy(spark, stored(spark, hier_tables(spark, sf), "tree"))
 
 
 PALETTE = "p AS (SELECT n_regionkey::VARCHAR AS feature_set, 'f_' || (n_nationkey % 7) AS feature, '#' || lpad(n_nationkey::VARCHAR, 6, '0') AS color, n_nationkey AS o FROM nation)"
@@ -163,18 +164,23 @@ def pooled_files(spark, sf):
 ROLES = [*H.GENOME_ROLES]
 
 
-@query(f"""WITH RECURSIVE {TREE}, u AS (SELECT feature_set, child AS node, parent AS top FROM ge UNION SELECT ge.feature_set, ge.child, u.top FROM ge JOIN u ON u.feature_set = ge.feature_set AND u.node = ge.parent),
+@query(f"""WITH RECURSIVE {EV}, {TREE}, u AS (SELECT feature_set, child AS node, parent AS top FROM ge UNION SELECT ge.feature_set, ge.child, u.top FROM ge JOIN u ON u.feature_set = ge.feature_set AND u.node = ge.parent),
  d AS (SELECT * FROM u UNION SELECT feature_set, child, child FROM ge), n AS (SELECT 'canonical' AS role, 'canonical_telomere' AS label UNION SELECT 'noncanonical', 'noncanonical_telomere' UNION SELECT 'its_tar1', unnest(['ITS', 'TAR1']) UNION SELECT 'ct', 'ct'
   UNION SELECT 'arm', node FROM d WHERE feature_set = 'region' AND top = 'arm' UNION SELECT 'satellite', node FROM d WHERE feature_set = 'region' AND top = 'centromeric' AND node <> 'ct'
   UNION SELECT 'acrocentric', node FROM u WHERE feature_set = 'chromosome' AND top = 'acrocentric' UNION SELECT 'chromosome', child FROM ge WHERE feature_set = 'chromosome' AND child NOT IN (SELECT parent FROM ge WHERE feature_set = 'chromosome')
   UNION SELECT 'interspersed', node FROM d WHERE feature_set = 'repeat' AND top = 'Interspersed_Repeat'),
  t AS (SELECT 'telomere' AS role, label FROM n WHERE role IN ('canonical', 'noncanonical')),
- s AS (SELECT 'structureless' AS role, label FROM n WHERE role IN ('arm', 'ct') UNION SELECT 'structureless', unnest(['telomere_like', 'nonsubtelomeric', 'nonrepeat', 'novel', 'categorized']))
- SELECT * FROM n UNION SELECT * FROM t UNION SELECT * FROM s UNION SELECT 'filler', label FROM s UNION SELECT 'filler', label FROM t UNION SELECT 'masked', label FROM n WHERE role = 'interspersed' UNION SELECT 'masked', 'nonrepeat'""")
+ s AS (SELECT 'structureless' AS role, label FROM n WHERE role IN ('arm', 'ct') UNION SELECT 'structureless', unnest(['telomere_like', 'nonsubtelomeric', 'nonrepeat', 'novel', 'categorized'])),
+ a AS (SELECT * FROM n UNION SELECT * FROM t UNION SELECT * FROM s UNION SELECT 'filler', label FROM s UNION SELECT 'filler', label FROM t UNION SELECT 'masked', label FROM n WHERE role = 'interspersed' UNION SELECT 'masked', 'nonrepeat'),
+ {MAPPED}, b AS (SELECT feature, sum("end" - "start")::BIGINT AS bp FROM (SELECT s AS feature, "start", "end" FROM tr UNION ALL SELECT r, "start", "end" FROM tr UNION ALL SELECT p, "start", "end" FROM tr) GROUP BY feature)
+ SELECT role, label, bp FROM a JOIN b ON b.feature = a.label""")
 def genome_roles(spark, sf):
-    """Every class role over the genome tree, read from a file."""
+    """The bases of every label in every class role it plays, by the genome tree read from a file."""
     roles = H.Roles(files.read_hierarchy(spark, stored(spark, genome(spark), "tree")), H.GENOME_ROLES, H.GENOME_MINUS, H.GENOME_OPTIONAL)
-    return spark.createDataFrame([(name, label) for name in ROLES for label in sorted(roles[name])], "role string, label string")
+    held = F.array_compact(F.array(*[F.when(roles.members(name, F.col("feature")), name) for name in ROLES]))
+    s, r, p = mapped(spark, sf)
+    bases = s.union(r).union(p).groupBy("feature").agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
+    return bases.select(F.explode(held).alias("role"), F.col("feature").alias("label"), "bp")
 
 
 CATEGORY = """CASE WHEN a IN ('centromeric', 'aSat', 'alpha_hor', 'active_hor', 'dhor', 'hor', 'mixedAlpha', 'mon', 'bSat', 'cenSat', 'gSat', 'HSat', 'HSat1', 'HSat1A', 'HSat1B', 'HSat2', 'HSat3') THEN 'satellite'
@@ -182,13 +188,17 @@ CATEGORY = """CASE WHEN a IN ('centromeric', 'aSat', 'alpha_hor', 'active_hor',
  WHEN a IN ('ITS', 'TAR1') THEN 'ITS_TAR1' WHEN a = 'ct' THEN 'ct' WHEN a IN ('arm', 'p_arm', 'q_arm') THEN 'arm' ELSE 'other' END"""
 
 
-@query(f"""WITH {TREE}, x AS (SELECT DISTINCT child AS a FROM ge), y AS (SELECT a, '' AS b, a AS feature FROM x UNION SELECT x.a, z.a, x.a || ':' || z.a FROM x, x z) SELECT feature, {CATEGORY} AS category FROM y""")
+@query(f"""WITH {EV}, {MAPPED}, x AS (SELECT r AS a, '' AS b, r AS feature, "end" - "start" AS n FROM tr UNION ALL SELECT s, '', s, "end" - "start" FROM tr UNION ALL SELECT r, s, r || ':' || s, "end" - "start" FROM tr UNION ALL SELECT s, r, s || ':' || r, "end" - "start" FROM tr)
+ SELECT feature, {CATEGORY} AS category, count(*) AS segments, sum(n)::BIGINT AS bp FROM x GROUP BY ALL""")
 def label_categories(spark, sf):
-    """The interspersion category of every label of one or two layers."""
-    labels = genome(spark).select(F.col("child").alias("a")).distinct()
-    two = labels.crossJoin(labels.withColumnRenamed("a", "b")).select(F.concat_ws(":", "a", "b").alias("feature"))  # a vocabulary of ninety labels
+    """The interspersion category of every segment of one or two layers, by label."""
     roles = H.Roles(genome(spark), H.GENOME_ROLES, H.GENOME_MINUS, H.GENOME_OPTIONAL)
-    return labels.select(F.col("a").alias("feature")).union(two).select("feature", measures.category(F.col("feature"), roles).alias("category"))
+    s, r, _ = mapped(spark, sf)
+    place = ["seq_id", "start", "end"]
+    both = r.withColumnRenamed("feature", "r").join(s.withColumnRenamed("feature", "s"), place)
+    labels = both.select(*place, F.explode(F.array("r", "s", F.concat_ws(":", "r", "s"), F.concat_ws(":", "s", "r"))).alias("feature"))
+    counted = labels.groupBy("feature").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).alias("bp"))
+    return counted.withColumn("category", measures.category(F.col("feature"), roles))
 
 
 def tracks_for(spark, sf, names):
@@ -245,16 +255,22 @@ def spec_from_yaml(spark, sf):
     return overlay(tracks_for(spark, sf, spec.precedence), spec)
 
 
-@query("""SELECT c_custkey, CASE WHEN o >= 1.5 THEN 'enriched' WHEN o <= 1 / 1.5 THEN 'depleted' ELSE 'mixed' END AS label
- FROM (SELECT c_custkey, ((i + 0.5) * (100 - j + 0.5)) / ((50 - i + 0.5) * (j + 0.5)) AS o FROM (SELECT c_custkey, c_custkey % 50 AS i, c_custkey * 7 % 100 AS j FROM customer))""")
+@query("""WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS i FROM customer GROUP BY ALL), a AS (SELECT c_nationkey, sum(i) AS a FROM n GROUP BY ALL), b AS (SELECT c_mktsegment, sum(i) AS b FROM n GROUP BY ALL),
+ x AS (SELECT n.*, a, b - i AS j, (SELECT count(*) FROM customer) - a AS r FROM n JOIN a ON a.c_nationkey = n.c_nationkey JOIN b ON b.c_mktsegment = n.c_mktsegment), o AS (SELECT *, ((i + 0.5) * (r - j + 0.5)) / ((a - i + 0.5) * (j + 0.5)) AS o FROM x)
+ SELECT c_nationkey, c_mktsegment, CASE WHEN o >= 1.5 THEN 'enriched' WHEN o <= 1 / 1.5 THEN 'depleted' ELSE 'mixed' END AS label FROM o""")
 def odds_check(spark, sf):
-    k = F.col("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", legacy.odds_check(k % 50, F.lit(50), k * 7 % 100, F.lit(100)).alias("label"))
+    """Each nation's customers of each segment, against those of all other nations."""
+    n = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("i"))
+    n = n.withColumn("a", F.sum("i").over(Window.partitionBy("c_nationkey"))).withColumn("b", F.sum("i").over(Window.partitionBy("c_mktsegment")))
+    x = n.crossJoin(n.agg(F.sum("i").alias("all")))  # one row
+    return x.select("c_nationkey", "c_mktsegment", legacy.odds_check(F.col("i"), F.col("a"), F.col("b") - F.col("i"), F.col("all") - F.col("a")).alias("label"))
 
 
-@query("SELECT n_nationkey, round(avg(n_regionkey) OVER (ORDER BY n_nationkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS smooth FROM nation")
+@query("SELECT o_orderdate AS day, round(avg(n) OVER (ORDER BY o_orderdate ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING), 9) AS smooth FROM (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY o_orderdate)")
 def rolling_mean(spark, sf):
-    return legacy.rolling_mean(table(spark, sf, "nation"), "n_nationkey", "n_regionkey", 2).select("n_nationkey", F.round("smooth", 9).alias("smooth"))
+    """Orders a day, over a month around it."""
+    days = table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return legacy.rolling_mean(days, "day", "n", 15).select("day", F.round("smooth", 9).alias("smooth"))
 
 
 @query(f"""WITH {EV}, s AS (SELECT seq_id AS read_id, sum("end" - "start")::BIGINT AS bp, sum("end" - "start") FILTER (WHERE type NOT IN ('view', 'error')) AS i FROM ev GROUP BY seq_id) SELECT read_id, bp FROM s WHERE i >= 800""")

@@ -136,8 +136,9 @@ def label_filters(spark, sf):
 
 # merges and choices
 
-TRACKS_SQL = f"""WITH {EV}, t AS (SELECT seq_id, "start", "end", CASE type WHEN 'view' THEN 'canonical_telomere' WHEN 'click' THEN 'ITS' WHEN 'error' THEN 'TAR1' ELSE 'nonsubtelomeric' END AS s,
+MAPPED = """tr AS (SELECT seq_id, "start", "end", CASE type WHEN 'view' THEN 'canonical_telomere' WHEN 'click' THEN 'ITS' WHEN 'error' THEN 'TAR1' ELSE 'nonsubtelomeric' END AS s,
   CASE band WHEN 'lo' THEN 'arm' WHEN 'mid' THEN 'ct' ELSE 'rDNA' END AS r, CASE WHEN period IN ('d0', 'd1') THEN 'nonrepeat' WHEN period IN ('d2', 'd3') THEN 'rRNA' ELSE 'LINE' END AS p FROM ev)"""
+TRACKS_SQL = f"WITH {EV}, {MAPPED}, t AS (SELECT * FROM tr)"
 
 
 def mapped(spark, sf):

@@ -65,7 +65,19 @@ def hier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.union(region.select(F.lit("geo"), "r_name", F.lit("categorized")))
 
 
+def hier_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trees: parts by brand and type, and suppliers by nation and region."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    name = lambda a, b: F.concat(F.lit(a), F.col(b).cast("string"))
+    kind = F.concat_ws("/", "p_brand", "p_type")
+    parts = part.select(name("p", "p_partkey"), kind).union(part.select(kind, "p_brand").distinct()).union(part.select("p_brand", F.lit("categorized")).distinct()).toDF("child", "parent")
+    met = supplier.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("geo").alias("feature_set"), name("s", "s_suppkey").alias("child"), F.col("n_name").alias("parent"))
+    return parts.select(F.lit("part").alias("feature_set"), "child", "parent").union(met).union(hier_geo(spark, sf_dir))
+
+
 #: The same views for DuckDB.
+HT = """ht AS (SELECT 'part' AS feature_set, 'p' || p_partkey AS child, p_brand || '/' || p_type AS parent FROM part UNION SELECT 'part', p_brand || '/' || p_type, p_brand FROM part UNION SELECT 'part', p_brand, 'categorized' FROM part
+  UNION SELECT 'geo', 's' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'geo', n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'geo', r_name, 'categorized' FROM region)"""
 EV = """ev AS (
   SELECT seq_id, (sum(len) OVER w - len)::BIGINT AS "start", (sum(len) OVER w)::BIGINT AS "end", type, band, period, event_id
   FROM (SELECT 'u' || user_id AS seq_id, ts, event_id, floor(value)::BIGINT + 1 AS len, event_type AS type,
