@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tilespan.llm import vafile
@@ -16,7 +18,7 @@ def vectors():
     out += [(500 + k, out[3][1], "x", 1, 2) for k in range(40)]  # copies: ties
     out += [(700 + k, [round(r.uniform(-1, 1)) * 0.5 for _ in range(12)], "x", 1, 2) for k in range(100)]
     out += [(850, None, None, 1, 2), (851, [0.1, None] + [0.0] * 10, "x", 1, 2), (852, [math.nan] * 12, "x", 1, 2), (853, [math.inf] + [0.0] * 11, "x", 1, 2), (None, [0.1] * 12, "x", 1, 2)]
-    out += [(900, [0.5, 0.5], "x", 1, 2), (901, [0.25, -1.0], "x", 1, 2), (950, [], "x", 1, 2), (951, [], "x", 1, 2), (100, out[100][1], "x", 1, 2), (1000, [3e38] + [0.0] * 11, "x", 1, 2)]
+    out += [(900, [0.5, 0.5], "x", 1, 2), (901, [0.25, -1.0], "x", 1, 2), (950, [], "x", 1, 2), (951, [], "x", 1, 2), (100, out[100][1], "x", 1, 2)]
     return out
 
 
@@ -25,11 +27,8 @@ def brute(rows, every, top):
     for i, v, *_ in {(i, None if v is None else tuple(v)) for i, v, *_ in rows}:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        import numpy as np
-
         x = [math.floor(256 * float(np.float32(e))) for e in v]
-        if all(abs(e) < 2**62 for e in x):
-            good.append((i, x))
+        good.append((i, x))
     answers = []
     for i, q in good:
         if i % every == 0:
@@ -71,3 +70,47 @@ def test_many_blocks(spark, monkeypatch):
     rows = vectors()
     got = vafile.search(spark.createDataFrame(rows, SCHEMA).repartition(3), 7, 4).select("query_id", "rank", "vec_id", "score").distinct().orderBy(F.col("query_id"), "rank").collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 7, 4)
+
+
+def large():
+    """Components up to a float's largest; most scores with them vanish or lose, so that all that is returned has 64 bits."""
+    r = random.Random(6)
+    out = [(k, [0.0, round(r.uniform(-1, 1), 2), 5.0], "x", 1, 2) for k in range(60)]
+    out += [(61, [1e17, 0.25, 4.0], "x", 1, 2), (62, [-1e30, 3.0, 3.0], "x", 1, 2), (63, [3e38, -1e16, -3e38], "x", 1, 2), (64, [-3e38, 0.5, -1e20], "x", 1, 2), (65, [1e17, 0.25, 4.5], "x", 1, 2)]
+    out += [(k, [1.0, -1.0, -1.0], "x", 1, 2) for k in (70, 71)]
+    return [(i, v if i != 50 else [0.0, 2.0, 3.0], *x) for i, v, *x in out]
+
+
+def test_large_components_take_part(spark, monkeypatch):
+    rows = large()
+    for block in (8192, 9):
+        monkeypatch.setattr(vafile, "BLOCK", block)
+        got = sorted(tuple(g) for g in vafile.search(spark.createDataFrame(rows, SCHEMA).repartition(2)).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == brute(rows, 50, 5)
+
+
+def test_doubles_of_any_size(spark):
+    schema = SCHEMA.replace("float", "double")
+    rows = [(k, [0.0, k / 7, 1.0], "x", 1, 2) for k in range(12)] + [(20, [0.0, -1e300, 1e14], "x", 1, 2), (21, [1e300, 1.0, 1.0], "x", 1, 2), (22, [-1e300, 1.0, -1e300], "x", 1, 2), (23, [1e307, 1e308, 0.0], "x", 1, 2)]
+    got = sorted(tuple(g) for g in vafile.search(spark.createDataFrame(rows, schema)).select("query_id", "rank", "vec_id", "score").collect())
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows if i != 23]  # 256e308 is no double
+    scored = sorted((-sum(a * b for a, b in zip(good[0][1], v)), i) for i, v in good if i != 0)[:5]
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(scored)] and got[0][2] == 20
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    rows = [(0, [1e17, 1.0], "x", 1, 2), (1, [1e17, 1.0], "x", 1, 2)]
+    try:
+        vafile.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    except Exception as e:  # Spark's own class
+        assert "passes 64 bits" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_scores_are_exact():
+    r = random.Random(2)
+    for scale in (10, 10**9, 10**18, 10**40):
+        x = np.array([[float(r.randint(-scale, scale)) for _ in range(5)] for _ in range(7)])
+        q = np.array([float(r.randint(-scale, scale)) for _ in range(5)])
+        assert [int(s) for s in vafile.scores(x, q)] == [sum(int(a) * int(b) for a, b in zip(row, q)) for row in x]

@@ -8,7 +8,10 @@ a lower and an upper bound of its inner product with the query; exact vectors ar
 bound (rising lower bound of distance), a few at a time, until the k-th best exact score exceeds every bound left. The
 best of the blocks, k + 1 a query at most from each, are merged by a ranking that Spark limits before the shuffle.
 
-Defined cases. Null vectors, vectors with a null or non-finite component, or with one whose 256-fold has no 64-bit integer: no part.
+Whole numbers are kept as doubles, which hold floor(256 x) of any double, and scores are exact whatever their size. A score of the result that
+passes 64 bits is an error; one that passes them elsewhere only loses or wins its place.
+
+Defined cases. Null vectors, vectors with a null or non-finite component (or one whose 256-fold no double holds): no part.
 Null id: no part. Repeated rows of one id and vector: one candidate, and one answer for each as a query; one id with
 other vectors: each its own, never a candidate of its own id. Different dimensions: only vectors of a query's own dimension are its candidates. Empty
 vectors: score 0 with each other. Fewer than k candidates: all. Empty table: no rows. Extra columns: ignored.
@@ -24,25 +27,25 @@ from pyspark.sql.window import Window
 
 from .common import bounded_batches, materialise, ship
 
-TOP, EVERY, CELLS = 5, 50, 64
+TOP, EVERY, CELLS, LIMIT = 5, 50, 64, (1 << 63) - 1
 #: Entries of a data block, queries of a query block, groups of data blocks that each query block is sent to, exact vectors read at a time.
 BLOCK, QUERIES, GROUPS, READ = 8192, 1024, 64, 16
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and raw (64-bit integers, little-endian) of every vector that takes part."""
+    """vec_id and raw (doubles of whole numbers, little-endian) of every vector that takes part. floor(256 * x) of a double is a double, whatever its size."""
 
     def answer(batches):
         for batch in batches:
-            ids, raws = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or v is None or None in v:
-                    continue
-                x = np.floor(256 * np.array(v, np.float64))
-                if np.isfinite(x).all() and (np.abs(x) < 2.0**62).all():
-                    ids.append(i)
-                    raws.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], names=["vec_id", "raw"])
+            ids, lists = batch.column(0), batch.column(1)
+            flat, sizes = lists.flatten(), pa.compute.list_value_length(lists)
+            values = np.floor(256 * flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)) + 0.0  # no negative zero
+            ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+            starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            takes = np.flatnonzero((bad[ends] == bad[starts]) & ids.is_valid().to_numpy(zero_copy_only=False) & lists.is_valid().to_numpy(zero_copy_only=False))
+            raws = [values[starts[k] : ends[k]].astype("<f8").tobytes() for k in takes]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(takes)), pa.array(raws, pa.binary())], names=["vec_id", "raw"])
 
     bounded_batches(vectors.sparkSession)
     return vectors.selectExpr("cast(vec_id as bigint) vec_id", "embedding").mapInArrow(answer, "vec_id long, raw binary")
@@ -56,13 +59,13 @@ def index(rows: DataFrame, top: int = TOP) -> DataFrame:
 
     def build(batches):
         def block(dim, raws, ids):
-            x = np.frombuffer(b"".join(raws), "<i8").reshape(len(raws), dim)
-            low, high = (x.min(0), x.max(0)) if dim else (np.zeros(0, np.int64),) * 2
-            width = np.maximum(1, -(-(high - low + 1) // CELLS)).astype("<i8")
-            cells = ((x - low) // width).astype(np.uint8)
-            small = np.abs(x).max(initial=0) < 1 << 15
+            x = np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), dim)
+            low, high = (x.min(0), x.max(0)) if dim else (np.zeros(0),) * 2
+            width = np.maximum(1, np.ceil(high / CELLS - low / CELLS + 1 / CELLS))
+            cells = np.minimum(CELLS - 1, np.floor((x / 2 - low / 2) / (width / 2))).astype(np.uint8)  # halves, as differences may pass a double
+            small = bool(np.abs(x).max(initial=0) < 1 << 15)
             flat = np.concatenate([np.array([len(i), *i], "<i8") for i in ids])
-            return (dim, len(raws), low.astype("<i8").tobytes(), width.tobytes(), cells.tobytes(), small.item(), x.astype("<i2" if small else "<i8").tobytes(), flat.tobytes())
+            return (dim, len(raws), low.astype("<f8").tobytes(), width.astype("<f8").tobytes(), cells.tobytes(), small, x.astype("<i2" if small else "<f8").tobytes(), flat.tobytes())
 
         def out(made):
             types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
@@ -83,22 +86,36 @@ def index(rows: DataFrame, top: int = TOP) -> DataFrame:
     return entries.mapInArrow(build, "dim int, size int, low binary, width binary, cells binary, small boolean, exact binary, ids binary").withColumn("block", F.monotonically_increasing_id())
 
 
+def scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products: in 64 bits where no sum can pass them, else as Python's whole numbers."""
+    if len(q) * float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2.0**62:
+        return rows.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(v) for v in q]
+    out = np.empty(len(rows), object)
+    out[:] = [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in rows]
+    return out
+
+
 def best_of(q: np.ndarray, low, width, cells, exact, top: int, without=None):
-    """For each query row the top entries (positions and scores) of one approximation file, ties kept to the last place. without: for each row the entries (positions) that are no candidates."""
-    centre = low + (width - 1) / 2 + cells * width.astype(np.float64)
+    """For each query row the top entries (positions and scores) of one approximation file, ties kept to the last place. without: for
+    each row the entries (positions) that are no candidates. Bounds beyond a double's range are no bounds."""
     reach = (width - 1) / 2
-    qf = q.astype(np.float64)
-    middle, spread = qf @ centre.T, np.abs(qf) @ reach
-    slack = 1e-9 * (np.abs(qf) @ np.abs(centre).max(0, initial=0) + spread) + 1e-6 if centre.size else np.full(len(q), 1e-6)
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = low + reach + cells * width
+        middle, spread = q @ centre.T, np.abs(q) @ reach
+        slack = 1e-9 * (np.abs(q) @ np.abs(centre).max(0, initial=0) + spread) + 1e-6 if centre.size else np.full(len(q), 1e-6)
+        wild = ~np.isfinite(middle) | ~np.isfinite(spread + slack)[:, None]
+        over = np.where(wild, np.finfo(float).max, middle + (spread + slack)[:, None])
+        under = np.where(wild, -np.finfo(float).max, middle - (spread + slack)[:, None])
     out = []
     for row in range(len(q)):
-        mid, upper = middle[row], middle[row] + spread[row] + slack[row]
+        upper, floor = over[row], under[row]
         least, barred = -np.inf, () if without is None else without[row]
         if len(barred):
-            mid = mid.copy()
-            mid[barred] = upper[barred] = -np.inf
+            upper, floor = upper.copy(), floor.copy()
+            upper[barred] = floor[barred] = -np.inf
         if len(upper) - len(barred) > top:
-            least = np.partition(mid, len(upper) - top)[len(upper) - top] - spread[row] - slack[row]
+            least = np.partition(floor, len(upper) - top)[len(upper) - top]
         likely = np.flatnonzero((upper >= least) & (upper > -np.inf))
         likely = likely[np.argsort(-upper[likely], kind="stable")]
         seen, kth = np.zeros(0, np.int64), -np.inf
@@ -106,10 +123,9 @@ def best_of(q: np.ndarray, low, width, cells, exact, top: int, without=None):
             part = likely[at : at + READ]
             if upper[part[0]] < kth:
                 break
-            with np.errstate(over="ignore"):
-                seen = np.concatenate((seen, exact[part].astype(np.int64) @ q[row]))
+            seen = np.concatenate((seen, scores(exact[part], q[row])))
             if len(seen) >= top:
-                kth = np.partition(seen, len(seen) - top)[len(seen) - top]
+                kth = np.sort(seen)[len(seen) - top]
         read = likely[: len(seen)]
         keep = seen >= kth if len(seen) > top else np.ones(len(seen), bool)
         out.append((read[keep], seen[keep]))
@@ -135,8 +151,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
             for raws, dim, size, low, width, cells, small, exact, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = [(r["raw"], r["asker"]) for r in raws if len(r["raw"]) == 8 * dim]
                 rows = []
-                low, width = np.frombuffer(low, "<i8"), np.frombuffer(width, "<i8")
-                cells, exact = np.frombuffer(cells, np.uint8).reshape(size, dim), np.frombuffer(exact, "<i2" if small else "<i8").reshape(size, dim)
+                low, width = np.frombuffer(low, "<f8"), np.frombuffer(width, "<f8")
+                cells, exact = np.frombuffer(cells, np.uint8).reshape(size, dim), np.frombuffer(exact, "<i2" if small else "<f8").reshape(size, dim)
                 flat, entry, at = np.frombuffer(ids, "<i8").tolist(), [], 0
                 for _ in range(size):
                     entry.append(flat[at + 1 : at + 1 + flat[at]])
@@ -147,23 +163,23 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                         alone[held[0]].append(f)
                 for k in range(0, len(own), 128):
                     some = own[k : k + 128]
-                    q = np.frombuffer(b"".join(raw for raw, _ in some), "<i8").reshape(-1, dim) if dim else np.zeros((len(some), 0), np.int64)
+                    q = np.frombuffer(b"".join(raw for raw, _ in some), "<f8").reshape(-1, dim) if dim else np.zeros((len(some), 0))
                     for (raw, asker), (found, score) in zip(some, best_of(q, low, width, cells, exact, top + 1, [alone[asker] for _, asker in some]), strict=True):
                         pairs = sorted((-int(s), i) for f, s in zip(found, score, strict=True) for i in entry[f] if i != asker)[: top + 1]
-                        rows += [(raw, asker, i, -s) for s, i in pairs]
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["raw", "asker", "vec_id", "score"])
+                        rows += [(raw, asker, i, max(-LIMIT, min(LIMIT, -s)), abs(s) > LIMIT) for s, i in pairs]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["raw", "asker", "vec_id", "score", "beyond"])
 
     bounded_batches(vectors.sparkSession)
     met = dealt.join(packed, ["part", "group"]).select("raws", "dim", "size", "low", "width", "cells", "small", "exact", "ids")
-    found = materialise(met.mapInArrow(answer, "raw binary, asker long, vec_id long, score long"), "found")
+    found = materialise(met.mapInArrow(answer, "raw binary, asker long, vec_id long, score long, beyond boolean"), "found")
     order = Window.partitionBy("raw", "asker").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).groupBy("raw", F.col("asker").alias("for")).agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+    merged = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1).groupBy("raw", F.col("asker").alias("for")).agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "beyond"))).alias("best"))
     bounded_batches(vectors.sparkSession)
     merged = merged.withColumnRenamed("raw", "of")
     joined = asked.select(F.col("vec_id").alias("query_id"), "raw", "asker").join(merged, (F.col("raw") == F.col("of")) & F.col("asker").eqNullSafe(F.col("for")))
     others = joined.select("query_id", F.slice(F.filter("best", lambda b: b.vec_id != F.col("query_id")), 1, top).alias("best"))
-    return others.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    return others.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", F.when(F.col("b.beyond"), F.raise_error("a score passes 64 bits")).otherwise(F.col("b.score")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
