@@ -16,7 +16,7 @@ def placed() -> Column:
     return F.struct(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("split"), F.monotonically_increasing_id().alias("row"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """line (its text), ord (its place)."""
     return spark.read.text(path).select(F.col("value").alias("line"), placed().alias("ord"))
 
@@ -166,10 +166,14 @@ def named_parts(file: Column, pattern: str, names: list[str]) -> list[Column]:
     return [F.regexp_extract(file, pattern, k + 1).alias(n) for k, n in enumerate(names)]
 
 
+def bed_line() -> Column:
+    return F.concat_ws("\t", "seq_id", "start", "end", "feature")
+
+
 def write_bed(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Annotation BED, in order of sequence place and start."""
     keys = [c for c in ("seq_ord", "seq_id", "start") if c in rows.columns]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.concat_ws("\t", "seq_id", "start", "end", "feature").alias("value")).write.option("compression", compression).text(path)
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(bed_line().alias("value")).write.option("compression", compression).text(path)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
