@@ -1,6 +1,7 @@
 """Files, checks, resolution specs, statistics, streaming and the command line."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -181,6 +182,20 @@ def test_statistics(spark):
     assert np.allclose(got, [0.04, 0.16 / 3, 0.16 / 3, 0.5])
 
 
+def test_adjusted_in_blocks_of_ranks(spark):
+    r = random.Random(3)
+    for dependent in (False, True):
+        p = [None if k % 17 == 0 else round(r.random() ** 3, 3) for k in range(300)]
+        some = sorted(x for x in p if x is not None)
+        n, scale = len(some), sum(1 / i for i in range(1, len(some) + 1)) if dependent else 1.0
+        want = {x: min(1.0, min(some[j] * n * scale / (j + 1) for j in range(some.index(x), n))) for x in set(some)}
+        rows = spark.createDataFrame(list(enumerate(p)), "k int, p_value double")
+        got = colocalization.adjusted(rows, order=["k"], dependent=dependent, block=16).collect()
+        assert len(got) == 300 and all((x.q_value is None) if x.p_value is None else abs(x.q_value - want[x.p_value]) < 1e-9 for x in got)
+    assert abs(colocalization.harmonic(1 << 21) - sum(1 / i for i in range(1, (1 << 21) + 1))) < 1e-9
+    assert colocalization.adjusted(rows.limit(0), order=["k"]).count() == 0
+
+
 def test_linkage_and_quality():
     x = np.array([[0, 0], [0, 1], [5, 5], [5, 6], [20, 0]], float)
     for method in ("ward", "average", "complete", "single"):

@@ -110,7 +110,7 @@ def cluster(a, spark):
         weight = {r.feature: r.weight for r in measures.document_weights(rows, a.weight_floor).collect()}
     scorer = assembly.Scorer([roles["satellite"], roles["arm"], roles["ct"], roles["telomere"] | roles["its_tar1"]], a.match, a.partial, a.mismatch, a.cross, weight)
     gates = assembly.Gates(a.gap, a.min_overlap, a.min_identity, a.min_jaccard, a.distinctive_weight, filler, a.transition)
-    edges = assembly.cut(assembly.overlap_graph(assembly.candidate_pairs(rows, a.block), strings, scorer, gates))
+    edges = assembly.cut(assembly.blocked_overlaps(rows, strings, scorer, gates, a.block))
     groups = assembly.communities(edges).select(F.col("node").alias("read_id"), F.col("label").alias("group")) if a.communities else assembly.components(edges).select(F.col("node").alias("read_id"), F.col("root").alias("group"))
     members = assembly.clusters(strings, groups, assembly.orientation_conflicts(edges))
     backbone = assembly.Backbone(filler, roles["structureless"], roles["telomere"], roles["acrocentric"])

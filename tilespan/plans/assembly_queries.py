@@ -28,7 +28,7 @@ GATES = assembly.Gates(gap=0.1, min_overlap=30, min_identity=0.3, min_jaccard=0.
 def graph(spark, sf):
     rows = orders_tiling(spark, sf)
     strings = assembly.label_strings(rows)
-    return strings, assembly.overlap_graph(assembly.candidate_pairs(rows, SHARED), strings, scorer(spark, sf), GATES)
+    return strings, assembly.blocked_overlaps(rows, strings, scorer(spark, sf), GATES, SHARED)
 
 
 @query(f"WITH {OT}, {PAIRS} SELECT a, b FROM p")
