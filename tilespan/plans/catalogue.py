@@ -625,4 +625,4 @@ def density_bins(spark, sf):
     return measures.density_bins(track(events(spark, sf), "type").where("feature = 'error'"), 250)
 
 
-from . import assembly_queries, figure_queries, file_queries, legacy_queries, profile_queries, scan_queries, streaming_queries  # noqa: E402, F401  they register theirs here
+from . import assembly_queries, decompose_queries, figure_queries, file_queries, legacy_queries, profile_queries, scan_queries, streaming_queries  # noqa: E402, F401  they register theirs here
