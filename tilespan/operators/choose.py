@@ -29,9 +29,42 @@ def tiered(rows: DataFrame, n: int, low: int, high: int) -> DataFrame:
     return rows.withColumn("tier", tier).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+#: The lengths of reads that are drawn best, and next best.
+BEST, NEXT = (16_000, 20_000), (10_000, 15_999)
+
+
+def length_tiers(rows: DataFrame, n: int) -> DataFrame:
+    """n reads a cluster (cluster_id, read_id, read_length, share) that hold a wanted label: those of the best length first, then of the next, then shorter ones, in a
+    tier the longest; reads beyond the best length are never taken."""
+    tier = F.when(F.col("read_length").between(*BEST), 0).when(F.col("read_length").between(*NEXT), 1).when(F.col("read_length") < NEXT[0], 2)
+    w = Window.partitionBy("cluster_id").orderBy("tier", F.desc("read_length"), "read_id")
+    return rows.where("share > 0").withColumn("tier", tier).where("tier is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def by_strategy(rows: DataFrame, n: int, strategy: str) -> DataFrame:
+    """n reads a cluster by name: feature-match (length_tiers, and for clusters where that finds none the fallback), longest, balanced (by clusters.balanced_score),
+    centroid or by-sample; columns cluster_id, read_id, rank."""
+    from . import clusters
+
+    own = Window.partitionBy("cluster_id")
+    if strategy == "feature-match":
+        found = length_tiers(rows, n).select("cluster_id", "read_id", "rank")
+        rest = rows.join(found.select("cluster_id").distinct(), "cluster_id", "left_anti")
+        return found.unionByName(clusters.nearest_then_longest(rest, n).select("cluster_id", "read_id", "rank"))
+    if strategy == "centroid":
+        return clusters.representatives(rows, n).select("cluster_id", "read_id", "rank")
+    if strategy == "by-sample":
+        return by_sample(rows, n).select("cluster_id", "read_id", "rank")
+    scored = {"longest": lambda: rows.withColumn("_s", F.col("read_length")), "balanced": lambda: clusters.balanced_score(rows).withColumnRenamed("score", "_s")}
+    if strategy not in scored:
+        raise ValueError(f"no strategy {strategy}")
+    ranked = scored[strategy]().withColumn("rank", F.row_number().over(own.orderBy(F.desc("_s"), "read_id")))
+    return ranked.where(F.col("rank") <= n).select("cluster_id", "read_id", "rank")
+
+
 def closeness(read: Column, cluster: Column) -> Column:
-    """1 for equal values, falling to 0 with their difference over the larger."""
-    return F.when((read == 0) & (cluster == 0), 1.0).otherwise(1 - F.abs(read - cluster) / F.greatest(F.abs(read), F.abs(cluster)))
+    """1 for equal values, falling to 0 where their difference is the cluster's value."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(read - cluster) / F.greatest(F.abs(cluster), F.lit(1e-6)))
 
 
 def annotation_score(read_metrics: DataFrame, cluster_metrics: DataFrame, weights: dict[str, float]) -> DataFrame:

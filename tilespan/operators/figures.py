@@ -23,6 +23,19 @@ def legend(rows: DataFrame, palette: DataFrame) -> DataFrame:
     return shown.select(F.row_number().over(Window.orderBy("ord", "label")).alias("place"), "label", "color")  # a legend
 
 
+def legend_order(labels: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """feature, place: labels by the featureset that holds their last layer (the first in the hierarchy's order, where several do), then categorized, chromosomes by
+    number, others as the hierarchy lists them, novel last; labels of no featureset after all. hierarchy: feature_set, child and ord, its order."""
+    first = Window.partitionBy("child").orderBy("_rank", "ord")
+    ranks = hierarchy.groupBy("feature_set").agg(F.min("ord").alias("_o")).withColumn("_rank", F.row_number().over(Window.orderBy("_o"))).drop("_o")  # featuresets
+    known = hierarchy.join(F.broadcast(ranks), "feature_set").withColumn("_k", F.row_number().over(first)).where("_k = 1").select(F.col("child").alias("_s"), "_rank", "ord")
+    named = labels.select("feature").distinct().withColumn("_s", F.when(F.instr("feature", ":") > 0, F.expr("substring(feature, instr(feature, ':') + 1)")).otherwise(F.col("feature")))
+    pinned = F.when(F.col("_s") == "categorized", 0).when(F.col("_s") == "novel", 2).otherwise(1)
+    number = F.regexp_extract("_s", "^chr([0-9]+)$", 1).try_cast("int")
+    order = [F.col("_rank").asc_nulls_last(), pinned, F.when(F.col("_s").startswith("chr"), 0).otherwise(1), number.asc_nulls_last(), F.when(F.col("_s").startswith("chr"), F.col("_s")), F.col("ord").asc_nulls_last(), F.col("_s"), F.col("feature")]
+    return named.join(known, "_s", "left").select("feature", F.row_number().over(Window.orderBy(*order)).alias("place"))  # a legend
+
+
 def value_colors(rows: DataFrame, column: str, colors: Sequence[str]) -> DataFrame:
     """value and colour of a categorical column, colours dealt in order of first appearance (column ord), round and round."""
     seen = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min("ord").alias("ord"))
@@ -37,6 +50,21 @@ def grouping(rows: DataFrame, group: str, subgroup: str) -> DataFrame:
     return parts.select("group", "subgroup", F.row_number().over(Window.orderBy("_g", "group", "_s", "subgroup")).alias("place"))
 
 
+def relabelled(reads: DataFrame, parts: DataFrame) -> DataFrame:
+    """reads (read_id, sample, group, subgroup) with label and boundary: label is group — subgroup (the group alone without one, the sample of reads without a
+    group); boundary marks the last part of each group but the last. parts: grouping() of the reads."""
+    name = lambda g, s: F.when(F.col(s).isNull(), F.col(g)).otherwise(F.concat_ws(" \u2014 ", g, s))
+    after = F.lead("group").over(Window.orderBy("place"))  # a figure's parts
+    shown = parts.select(name("group", "subgroup").alias("label"), F.coalesce(after != F.col("group"), F.lit(False)).alias("boundary")).distinct()
+    named = reads.withColumn("label", F.when(F.col("group").isNull(), F.col("sample")).otherwise(name("group", "subgroup")))
+    return named.join(F.broadcast(shown), "label", "left").withColumn("boundary", F.coalesce("boundary", F.lit(False)))
+
+
+def column_specs(specs: Sequence[str]) -> list[tuple[str, str]]:
+    """(column, shown name) of COLUMN[:DISPLAY]."""
+    return [(c, shown or c) for c, _, shown in (x.partition(":") for x in specs)]
+
+
 def group_spans(parts: DataFrame) -> DataFrame:
     """group, start, end: the extent of each unbroken stretch of a group over ordered parts (group, place, start, end)."""
     w = Window.orderBy("place")

@@ -6,6 +6,7 @@ give one folder that appears only when the job commits.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,3 +181,43 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     """TSV with header; doubles in their shortest form, infinite effects as inf and -inf."""
     shown = [F.when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise(F.col(c).cast("string")).alias(c) if t == "double" else F.col(c).cast("string").alias(c) for c, t in rows.dtypes]
     rows.select(*shown).write.csv(path, sep="\t", header=True, emptyValue="")
+
+
+def four_digits(value: Column) -> Column:
+    """A number with four significant digits, in the shorter of the plain and the exponent form; -inf as such."""
+
+    @F.pandas_udf("string")
+    def shown(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or v != v else "-inf" if v == float("-inf") else f"{v:.4g}")
+
+    return shown(value.cast("double"))
+
+
+def write_enrichment(rows: DataFrame, path: str) -> None:
+    """Wide enrichment as TSV: shares and effects with four digits, others as they are."""
+    write_tsv(rows.select(*[four_digits(F.col(f"`{c}`")).alias(c) if c.startswith(("frac_", "log2fc_")) else F.col(f"`{c}`") for c in rows.columns]), path)
+
+
+def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
+    """Wide enrichment read back; an effect that is no number is -inf."""
+    rows = read_table(spark, path, ["cluster_id", "n_total"])
+    number = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float("-inf"))) if c.startswith("log2fc_") else F.col(f"`{c}`").try_cast("double") if c.startswith("frac_") else F.col(f"`{c}`").cast("bigint") if c.startswith("n_") else F.col(f"`{c}`")
+    return rows.select(*[number(c).alias(c) for c in rows.columns])
+
+
+def read_loose(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (seq_id, start, end, feature, chromosome where a fifth field stands, length) of BED without any check between them, and by file the rows kept and the
+    malformed lines (fields, coordinates) that were left out. Empty rows are kept, blank lines and comments are neither."""
+    lines = numbered_lines(spark, path)
+    rows = parse_bed(lines).join(lines.select("ord", F.get(F.split("line", "\t"), F.lit(4)).alias("chromosome")), "ord").withColumn("malformed", F.coalesce(F.col("problem").isin("fields", "coordinate"), F.lit(False)))
+    told = rows.groupBy(F.col("ord.file").alias("file")).agg(F.count_if(~F.col("malformed")).alias("rows"), F.count_if("malformed").alias("malformed"))
+    return rows.where("not malformed").select("seq_id", "start", "end", "feature", "chromosome", (F.col("end") - F.col("start")).alias("length")), told
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, approach of a headerless list of two fields; a read that stands twice is an error that names some."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(f, F.lit(0)).alias("read_id"), F.get(f, F.lit(1)).alias("approach"))
+    if twice := [r.read_id for r in rows.groupBy("read_id").count().where("count > 1").orderBy("read_id").limit(5).collect()]:
+        raise ValueError(f"{path} names reads twice: {', '.join(twice)}")
+    return rows
