@@ -32,8 +32,8 @@ from .common import bounded_batches, materialise, mix64, ship, window_hashes, wo
 from .quality import encoded
 
 MAX_N, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bits of the filter for each frequent phrase, and in all; those set for one; bytes of text counted together and of a long text's block; parts of a language.
-BITS, MOST_BITS, PROBES, CHUNK, BLOCK, SPREAD = 16, 1 << 28, 3, 16 << 20, 4 << 20, 64
+#: Bits of the filter for each frequent phrase, and in all; those set for one; bytes of text counted together and of a long text's block; parts of a language; words of the corpus for each task that sums phrases.
+BITS, MOST_BITS, PROBES, CHUNK, BLOCK, SPREAD, WORDS = 16, 1 << 28, 3, 16 << 20, 4 << 20, 64, 1 << 20
 NO_LANG, STOP = "und", b".,;:!?\x0a\x0b\x0c\x0d"
 #: Lower case, a line feed for each character that ends a piece, a space for a tab.
 _FOLD = bytes(10 if k in STOP else 32 if k == 9 else k + 32 if 65 <= k <= 90 else k for k in range(256))
@@ -145,14 +145,22 @@ def bloom(phrases: DataFrame, length: int):
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, f of every phrase of up to max_n words found least times in its language; phrase is null where f is the number of all the language's words."""
-    bounded_batches(docs.sparkSession)
-    levels, frequent = [], None
+    spark, key = docs.sparkSession, "spark.sql.shuffle.partitions"
+    bounded_batches(spark)
+    levels, frequent, before = [], None, spark.conf.get(key)
+    tasks = int(before)
     for n in range(1, max_n + 1):
         summed = exploded(docs, n, frequent).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        levels.append(materialise(summed.where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", F.lit(n).alias("words"), "phrase", "f"), f"grams{n}"))
+        spark.conf.set(key, tasks)
+        try:
+            levels.append(materialise(summed.where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", F.lit(n).alias("words"), "phrase", "f"), f"grams{n}"))
+        finally:
+            spark.conf.set(key, before)
         some = levels[-1].where("phrase is not null")
         if n == max_n or some.isEmpty():
             break
+        if n == 1:  # longer phrases are summed by tasks of one size; AQE joins small ones
+            tasks = max(tasks, min(20_000, levels[0].where("phrase is null").agg(F.sum("f")).first()[0] // WORDS))
         frequent = bloom(some, n)
     return reduce(DataFrame.union, levels)
 
