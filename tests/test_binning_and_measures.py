@@ -92,6 +92,13 @@ def test_long_stretches_cost_no_bases(spark, monkeypatch):
                     assert calls[at] == plain_descent(weights, 0.5, "node", 0.5)
 
 
+def test_tiles_by_chunks(spark):
+    df = spark.createDataFrame([("q", 3, 60, "a"), ("q", 60, 103, "b"), ("one", 0, 1, "a")], SCHEMA)
+    want = sorted(map(tuple, binning.windows(df, 11, 4).collect()))
+    assert sorted(map(tuple, binning.windows(df, 11, 4, chunk=3).collect())) == want
+    assert [(x[1], x[2]) for x in want if x[0] == "q"] == [(s, min(s + 4, 103)) for s in range(3, 103, 4)] and ("one", 0, 1, 0, 1) in want
+
+
 def test_pieces_do_not_matter(spark):
     rows = tiling(random.Random(9), 4, LABELS, 120)
     df, edges = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(EDGES, "feature_set string, child string, parent string")

@@ -88,10 +88,12 @@ def descend(weights: DataFrame, edges: DataFrame, keys: Sequence[str], majority:
     return held.select(*keys, F.when(is_novel, NOVEL).otherwise(down(tree.root)).alias("feature"))
 
 
-def windows(rows: DataFrame, window: int, step: int) -> DataFrame:
-    """seq_id, start, end (of the tile), low, high (of the window around its centre), in the sequence's own coordinates."""
+def windows(rows: DataFrame, window: int, step: int, chunk: int = 1 << 16) -> DataFrame:
+    """seq_id, start, end (of the tile), low, high (of the window around its centre), in the sequence's own coordinates. Tiles are listed by chunks of so many, so that no row holds all of a long sequence's."""
     span = rows.groupBy("seq_id").agg(F.min("start").alias("_s"), F.max("end").alias("_e")).withColumn("_len", F.col("_e") - F.col("_s"))
-    tiles = span.select("seq_id", "_s", "_len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1, F.lit(step).cast("bigint"))).alias("_p"))
+    size = step * chunk
+    chunks = span.select("seq_id", "_s", "_len", F.explode(F.expr(f"sequence(0L, (_len - 1) div {size})")).alias("_c"))
+    tiles = chunks.select("seq_id", "_s", "_len", F.explode(F.expr(f"sequence(_c * {size}L, least(_len - 1, (_c + 1) * {size}L - 1), {step}L)")).alias("_p"))
     centre = F.least(F.col("_len") - 1, F.col("_p") + step // 2)
     return tiles.select("seq_id", (F.col("_s") + F.col("_p")).alias("start"), (F.col("_s") + F.least(F.col("_p") + step, F.col("_len"))).alias("end"),
                         (F.col("_s") + F.greatest(F.lit(0), centre - (window - 1) // 2)).alias("low"), (F.col("_s") + F.least(F.col("_len"), centre + window // 2 + 1)).alias("high"))
