@@ -54,3 +54,20 @@ def test_long_words_that_differ(spark):
     a, b = turned(10)
     got = lm.score(frame(spark, [row(1, a), row(2, b), row(3, "third")])).collect()
     assert {round(r.log_score, 3) for r in got} == {round(math.log(0.4 / 3), 3)}
+
+
+def test_rows_of_blocks_lie_in_small_row_groups(spark):
+    """Writer and reader hold a row group whole; a task writes many blocks of megabytes."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from tilespan.llm.blocks import make_blocks
+
+    draw = random.Random(1)
+    rows = [(k, draw.randbytes(1 << 20).hex()) for k in range(30)]
+    blocks = make_blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 2 << 20)
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(k) for m in metas for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30
+    assert max(g.total_byte_size for g in groups) < 40 << 20  # uncompressed

@@ -23,6 +23,8 @@ from .common import bounded_batches, materialise, ship, word_bounds
 
 #: Text in a block or bucket, from and to; keys in a packet between one block and one bucket; partitions of a shuffle, at most.
 LEAST_BYTES, MOST_BYTES, PACKET, MOST_PARTS = 4 << 20, 16 << 20, 200, 20_000
+#: Row groups of 16 MB. Parquet looks at a group's size after 100 rows at first, and with rows of megabytes a task's 100 rows, which writer and reader hold whole, are hundreds of MB: it looks at each row here.
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def grain(total: int) -> int:
@@ -64,7 +66,7 @@ def make_blocks(docs: DataFrame, size: int | None = None) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(pack, "ids array<long>, texts array<binary>, n_bytes long, n_words long")
-    return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": str(16 << 20)})
+    return materialise(rows.withColumn("block", F.monotonically_increasing_id()), "blocks", **ROW_GROUPS)
 
 
 def plan_for(blocks: DataFrame, least: int = 10) -> Plan:
@@ -147,7 +149,7 @@ def ask(blocks: DataFrame, request: Callable, answer: Callable, plan: Plan, wide
     sent = joined(blocks, answers, plan).mapInArrow(send, "bucket int, block long, keys binary, data binary, n int")
     answered = sent.repartition(plan.parts, "bucket").groupBy("bucket").applyInArrow(meet, "block long, bucket int, data binary, n int")
     packed = answered.repartition(plan.parts, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data", "n"))).alias("parts"))
-    return materialise(packed, "answers")
+    return materialise(packed, "answers", **ROW_GROUPS)
 
 
 def joined(blocks: DataFrame, answers: DataFrame | list[DataFrame] | None, plan: Plan) -> DataFrame:
