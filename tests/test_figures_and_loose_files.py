@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tilespan.operators import choose, figures
+from tilespan.operators import choose, clusters, figures
 from tilespan.sources import files
 
 
@@ -52,3 +52,17 @@ def test_four_digits(spark, tmp_path):
     assert got == ["0", "1", "0.1235", "1.235e+04", "1e-07", "-3.5", "-inf", None, "0.0001234"]
     (tmp_path / "e.tsv").write_text("cluster_id\tn_total\tn_a\tfrac_a\tlog2fc_a\ttop_group\nc1\t3\t2\t0.6667\t-inf\ta\nc2\t1\t0\t0\todd\tb\n")
     assert [tuple(r) for r in files.read_enrichment(spark, f"{tmp_path}/e.tsv").orderBy("cluster_id").collect()] == [("c1", 3, 2, 0.6667, float("-inf"), "a"), ("c2", 1, 0, 0.0, float("-inf"), "b")]
+
+
+def test_shares_of_top_labels_are_rounded_as_printf_does(spark):
+    """Halves that are exact go to even; those that only look like halves in decimal go where their binary value lies."""
+    rows = spark.createDataFrame([(f"s{k}", f, bp) for k, n in enumerate((5, 15, 7, 245)) for f, bp in (("a", n), ("b", 2000 - n))], "seq_id string, feature string, bp long")
+    got = {r.seq_id: r.top for r in clusters.top_labels(rows, ["seq_id"]).collect()}
+    for k, n in enumerate((5, 15, 7, 245)):
+        assert got[f"s{k}"] == "b(%.1f%%), a(%.1f%%)" % (100 * (2000 - n) / 2000, 100 * n / 2000)
+
+
+def test_major_chromosomes_without_a_list_take_every_first_layer(spark):
+    rows = spark.createDataFrame([("c", 0, 60, "error:x"), ("c", 60, 100, "view:y")], "cluster_id string, start long, end long, feature string")
+    assert [r.chromosomes for r in figures.major_chromosomes(rows, least=0.2).collect()] == ["error+view"]
+    assert [r.chromosomes for r in figures.major_chromosomes(rows, ["view"], 0.2).collect()] == ["view"]

@@ -135,10 +135,10 @@ def summary(rows: DataFrame, value: str, kind: str, kinds: Sequence[str]) -> Dat
 
 
 def top_labels(shares: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
-    """The n largest labels by bp of each key, as one string label(12.3%)."""
+    """The n largest labels by bp of each key, as one string label(12.3%); shares are rounded by their exact binary value, halves to even, as printf does."""
     w = Window.partitionBy(*keys).orderBy(F.desc("bp"), "feature")
     total = F.sum("bp").over(Window.partitionBy(*keys))
-    ranked = shares.withColumn("r", F.row_number().over(w)).withColumn("t", F.concat(F.col("feature"), F.lit("("), F.format_string("%.1f", 100 * F.col("bp") / total), F.lit("%)"))).where(F.col("r") <= n)
+    ranked = shares.withColumn("r", F.row_number().over(w)).withColumn("_share", 100 * F.col("bp") / total).withColumn("t", F.concat(F.col("feature"), F.lit("("), F.call_function("format_number", F.col("_share"), F.lit("0.0")), F.lit("%)"))).where(F.col("r") <= n)
     return ranked.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x.t), ", ").alias("top"))
 
 
