@@ -72,10 +72,11 @@ def group_spans(parts: DataFrame) -> DataFrame:
     return runs.groupBy("_r", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_r")
 
 
-def major_chromosomes(consensus: DataFrame, chromosomes: Sequence[str], least: float = 0.1) -> DataFrame:
-    """cluster_id, chromosomes: first layers that are chromosomes (the hierarchy's role of that name) and hold least of the whole consensus, largest first, joined by a plus. Clusters without one are left out."""
+def major_chromosomes(consensus: DataFrame, chromosomes: Sequence[str] | None = None, least: float = 0.1) -> DataFrame:
+    """cluster_id, chromosomes: first layers (given chromosomes, the hierarchy's role of that name, only those) that hold least of the whole consensus, largest first, joined by a plus. Clusters without one are left out."""
     n = consensus.withColumn("c", chromosome(F.col("feature"))).groupBy("cluster_id", "c").agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
-    n = n.withColumn("share", F.col("bp") / F.sum("bp").over(Window.partitionBy("cluster_id"))).where((F.col("share") >= least) & F.col("c").isin(*chromosomes))
+    n = n.withColumn("share", F.col("bp") / F.sum("bp").over(Window.partitionBy("cluster_id"))).where(F.col("share") >= least)
+    n = n if chromosomes is None else n.where(F.col("c").isin(*chromosomes))
     return n.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("bp")).alias("k"), "c"))), lambda x: x["c"]), "+").alias("chromosomes"))
 
 

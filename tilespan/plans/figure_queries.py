@@ -38,10 +38,10 @@ def group_spans(spark, sf):
 
 
 @query(f"""WITH {EV}, b AS (SELECT seq_id AS cluster_id, type || ':' || band AS f, type AS c, sum("end" - "start") AS bp FROM ev GROUP BY ALL), s AS (SELECT cluster_id, c, sum(bp) AS bp FROM b GROUP BY ALL), t AS (SELECT *, bp / sum(bp) OVER (PARTITION BY cluster_id) AS share FROM s)
- SELECT cluster_id, string_agg(c, '+' ORDER BY bp DESC, c) AS chromosomes FROM t WHERE share >= 0.2 AND c IN ('view', 'click', 'purchase', 'signup') GROUP BY cluster_id""")
+ SELECT cluster_id, string_agg(c, '+' ORDER BY bp DESC, c) AS chromosomes FROM t WHERE share >= 0.2 GROUP BY cluster_id""")
 def major_chromosomes(spark, sf):
     rows = events(spark, sf).select(F.col("seq_id").alias("cluster_id"), "start", "end", F.concat_ws(":", "type", "band").alias("feature"))
-    return figures.major_chromosomes(rows, ["view", "click", "purchase", "signup"], 0.2)
+    return figures.major_chromosomes(rows, least=0.2)
 
 
 @query(f"""WITH {EV}, m AS (SELECT seq_id, max("end") AS w, coalesce(avg(("start" + "end") / 2) FILTER (WHERE type IN ('view', 'click')) > max("end") / 2, false) AS flip FROM ev GROUP BY seq_id),
