@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import max_block
+from .storage import dealt
 
 WINDOW, GAP, FACTOR, LEAST, MOST = 1000, 100, 3.0, 0.001, 0.05
 DENSITIES = ("dmax", "dmin", "dmedian", "dfirst", "dlast", "dterminal", "dterminal_min")
@@ -35,6 +36,7 @@ def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str]
     """
     keys = list(keys)
     own = [*keys, "feature"]
+    rows = dealt(rows, *keys)  # everything below stays in these tasks: a row becomes ten, and sorts and aggregates hold them
     span = rows.groupBy(*keys).agg(F.min("start").alias("_s"), (F.max("end") - F.min("start")).alias("_len"))
     local = rows.join(span, keys).select(*own, (F.col("start") - F.col("_s")).alias("s"), (F.col("end") - F.col("_s")).alias("e"), "_len")
     short = local.where(F.col("_len") < window).groupBy(*own).agg((F.sum(F.col("e") - F.col("s")) / F.max("_len")).alias("d")).select(*own, *[F.col("d").alias(n) for n in DENSITIES])
