@@ -66,3 +66,23 @@ def test_major_chromosomes_without_a_list_take_every_first_layer(spark):
     rows = spark.createDataFrame([("c", 0, 60, "error:x"), ("c", 60, 100, "view:y")], "cluster_id string, start long, end long, feature string")
     assert [r.chromosomes for r in figures.major_chromosomes(rows, least=0.2).collect()] == ["error+view"]
     assert [r.chromosomes for r in figures.major_chromosomes(rows, ["view"], 0.2).collect()] == ["view"]
+
+
+def test_tasks_follow_the_rows_dealt(spark):
+    from tilespan.operators.storage import dealt
+
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    assert dealt(rows, "k", each=5).rdd.getNumPartitions() == 20
+    assert dealt(rows, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_structures_of_one_group_meet_in_parts(spark):
+    from tilespan.operators import legacy
+
+    names = [f"{'ab' * (k % 3)}{k}" for k in range(12)]
+    found = spark.createDataFrame([("g", n) for n in names] + [("h", "x"), ("h", "y"), ("i", "z")], "grp string, structure string")
+    want = {("g", a, b) for a in names for b in names if a < b} | {("h", "x", "y")}
+    for block in (3, 256):
+        got = legacy.structure_distances(found, "grp", block).collect()
+        assert len(got) == len(want) and {(r.grp, r.a, r.b) for r in got} == want
+    assert {(r.a, r.b): r.distance for r in got}["x", "y"] == 1

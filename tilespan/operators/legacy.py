@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from .storage import cut, spread
+
 # label bigrams and matrices
 
 
@@ -340,10 +342,16 @@ def structures(rows: DataFrame) -> DataFrame:
     return rows.groupBy("seq_id").agg(F.array_join(path, "").alias("structure"))
 
 
-def structure_distances(found: DataFrame, group: str) -> DataFrame:
-    """group, a, b, distance: edit distances of the different structures of one group; equal structures are compared once."""
-    one = found.select(group, "structure").distinct()
-    return one.withColumnRenamed("structure", "a").join(one.withColumnRenamed("structure", "b"), group).where("a < b").withColumn("distance", F.levenshtein("a", "b"))
+def structure_distances(found: DataFrame, group: str, block: int = 256) -> DataFrame:
+    """group, a, b, distance: edit distances of the different structures of one group; equal structures are compared once. A group's structures are dealt
+    to parts of about block, and every two parts meet in a unit of work, so that a large group is many tasks' work."""
+    one = cut(found.select(group, "structure").distinct())
+    parts = one.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    part = one.join(parts, group).withColumn("_p", F.pmod(F.xxhash64("structure"), F.col("_n")).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    left = part.where("_p <= _t").select(group, F.col("_p").alias("_i"), F.col("_t").alias("_j"), F.col("structure").alias("_x"))
+    right = part.where("_t <= _p").select(group, F.col("_t").alias("_i"), F.col("_p").alias("_j"), F.col("structure").alias("_y"))
+    met = spread(left, group, "_i", "_j").join(spread(right, group, "_i", "_j").hint("shuffle_hash"), [group, "_i", "_j"]).where("_i < _j or _x < _y")
+    return met.select(group, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).withColumn("distance", F.levenshtein("a", "b"))
 
 
 # label filters and small helpers
