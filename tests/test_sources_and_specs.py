@@ -43,6 +43,24 @@ def test_runs_over_splits(spark):
     assert [(r.seq_id, r.ord.file, r.kind) for r in files.tiling_problems(df).collect()] == [("c", "p4", "scattered")]
 
 
+def test_a_tiling_check_takes_tasks_and_pieces_by_its_rows(spark, monkeypatch):
+    """Sequences of 3, 5 and 7 lines over the edges of pieces of 8, one of them torn, one with a gap; the tasks are as many as the rows ask for."""
+    from tilespan.operators import storage
+
+    monkeypatch.setattr(storage, "EACH", 5)
+    monkeypatch.setattr(files, "PIECE_BITS", 3)
+    names = [n for k in range(8) for n in [f"a{k}"] * 3 + [f"b{k}"] * 5 + [f"c{k}"] * 7]
+    at, rows = {}, []
+    for k, n in enumerate([*names, "b2", "b2", "c7"]):
+        j = at[n] = at.get(n, -1) + 1
+        rows.append((n, 10 * j + (n == "a5" and j == 1), 10 * j + 10, "f", ("p", 0, k), None))
+    df = spark.createDataFrame(rows, "seq_id string, start long, end long, feature string, ord struct<file:string,split:long,row:long>, problem string")
+    got = files.tiling_problems(df)
+    assert got.rdd.getNumPartitions() == -(-len(rows) // 5)
+    assert sorted((r.seq_id, r.ord.row, r.kind) for r in got.collect()) == [("a5", names.index("a5") + 1, "gap"), ("b2", 120, "scattered"), ("c7", 122, "scattered")]
+    assert files.runs_of(df).select("part").distinct().count() == -(-len(rows) // 8)
+
+
 def test_tables(spark, tmp_path):
     palette = files.read_palette(spark, write(tmp_path / "c.tsv", "feature_set\tfeature\tcolor\na\tx\t#1\nb\tx\t#2\n"))
     assert files.collapse_palette(palette).first().color == "#2"
