@@ -59,6 +59,28 @@ def test_matrix_by_headers(spark, tmp_path):
             scans.read_matrix(spark, f"{tmp_path}/{name}.tsv", "sequence")
 
 
+def test_metrics_and_matrix_take_tasks_by_their_rows(spark, monkeypatch):
+    """AQE would join small partitions of bytes; densities, metrics and the matrix name their tasks instead, and give the same values."""
+    from tilespan.operators import storage
+
+    long = spark.createDataFrame([("x", *r) for r in reads(40)], f"feature_set string, {BED}")
+    values = lambda df: sorted(tuple(r) for r in df.collect())
+    plain = values(measures.long_metrics(long, 20)), values(measures.wide_matrix(measures.long_metrics(long, 20)))
+    monkeypatch.setattr(storage, "EACH", 10)
+    n = -(-long.count() // 10)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        assert measures.window_densities(long, 20, ["feature_set", "seq_id"]).rdd.getNumPartitions() % n == 0
+        metrics = measures.long_metrics(long, 20)
+        assert metrics.rdd.getNumPartitions() % n == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = measures.wide_matrix(metrics)
+    assert wide.rdd.getNumPartitions() == -(-metrics.count() // 10)
+    assert (values(metrics), values(wide)) == plain
+
+
 def test_clusterings_with_and_without_sidecars(spark, tmp_path):
     (tmp_path / "x.sequence_assignments.tsv").write_text("sequence\tcluster\nr1\t1\nr2\t2\nr3\t3\n")
     path = f"{tmp_path}/x.sequence_assignments.tsv"

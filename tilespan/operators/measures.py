@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import max_block
-from .storage import dealt
+from .storage import dealt, tasks, written
 
 WINDOW, GAP, FACTOR, LEAST, MOST = 1000, 100, 3.0, 0.001, 0.05
 DENSITIES = ("dmax", "dmin", "dmedian", "dfirst", "dlast", "dterminal", "dterminal_min")
@@ -26,7 +26,7 @@ def feature_fraction(rows: DataFrame, keys: Sequence[str] = ("feature_set", "seq
     return feature_bp(rows, keys).withColumn("total_bp", total).withColumn("frac", F.col("bp") / F.col("total_bp"))
 
 
-def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str] = ("seq_id",), n_tasks: int | None = None) -> DataFrame:
     """keys, feature and the density of each label over all windows of this length: dmax, dmin, dmedian, dfirst, dlast, dterminal, dterminal_min.
 
     The covered length in [i, i + window) is piecewise linear in i: its slope falls by one where a row starts to leave (at its
@@ -36,24 +36,25 @@ def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str]
     """
     keys = list(keys)
     own = [*keys, "feature"]
-    rows = dealt(rows, *keys)  # everything below stays in these tasks: a row becomes ten, and sorts and aggregates hold them
+    n_tasks = n_tasks or tasks(rows)
+    rows = rows.repartition(n_tasks, *keys)  # everything below stays in such tasks: a row becomes ten, and sorts and aggregates hold them
     span = rows.groupBy(*keys).agg(F.min("start").alias("_s"), (F.max("end") - F.min("start")).alias("_len"))
     local = rows.join(span, keys).select(*own, (F.col("start") - F.col("_s")).alias("s"), (F.col("end") - F.col("_s")).alias("e"), "_len")
     short = local.where(F.col("_len") < window).groupBy(*own).agg((F.sum(F.col("e") - F.col("s")) / F.max("_len")).alias("d")).select(*own, *[F.col("d").alias(n) for n in DENSITIES])
     long = local.where(F.col("_len") >= window).withColumn("_last", F.col("_len") - window)
     at_zero = F.greatest(F.lit(0), F.least("e", F.lit(window)) - F.col("s"))
-    marks = F.array(*[F.struct(p.alias("p"), F.lit(d).alias("d")) for p, d in ((F.col("s"), -1), (F.col("e"), 1), (F.col("s") - window, 1), (F.col("e") - window, -1))])
-    first = long.groupBy(*own, "_last").agg(F.sum(at_zero).alias("v0"))
-    moves = long.select(*own, "_last", F.explode(marks).alias("m")).select(*own, "_last", F.greatest(F.lit(0), "m.p").alias("p"), "m.d").where(F.col("p") < F.col("_last"))
-    moves = moves.union(first.select(*own, "_last", F.lit(0).cast("bigint"), F.lit(0))).groupBy(*own, "_last", "p").agg(F.sum("d").alias("d"))
+    # each row's mark at zero carries what it covers of the first window, so that no join or union has these rows dealt anew into tasks by shuffled bytes
+    marks = F.array(*[F.struct(p.alias("p"), F.lit(d).alias("d"), v.cast("bigint").alias("v")) for p, d, v in ((F.col("s"), -1, F.lit(None)), (F.col("e"), 1, F.lit(None)), (F.col("s") - window, 1, F.lit(None)), (F.col("e") - window, -1, F.lit(None)), (F.lit(0).cast("bigint"), 0, at_zero))])
+    moves = long.select(*own, "_last", F.explode(marks).alias("m")).select(*own, "_last", F.greatest(F.lit(0), "m.p").alias("p"), "m.d", "m.v").where((F.col("p") < F.col("_last")) | F.col("v").isNotNull())
+    moves = moves.groupBy(*own, "_last", "p").agg(F.sum("d").alias("d"), F.sum("v").alias("v0"))
     w = Window.partitionBy(*own).orderBy("p")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     runs = moves.withColumn("slope", F.sum("d").over(upto)).withColumn("next", F.coalesce(F.lead("p").over(w), "_last"))
     runs = runs.withColumn("gain", F.col("slope") * (F.col("next") - F.col("p")))
-    runs = runs.join(first.drop("_last"), own).withColumn("v", F.col("v0") + F.coalesce(F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = runs.withColumn("v0", F.first("v0").over(upto)).withColumn("v", F.col("v0") + F.coalesce(F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     tail = F.col("next") == F.col("_last")
     ends = runs.groupBy(*own).agg(
-        F.greatest(F.max("v"), F.max(F.col("v") + F.col("gain"))).alias("hi"), F.least(F.min("v"), F.min(F.col("v") + F.col("gain"))).alias("lo"), F.first("v0").alias("a"), F.max(F.when(tail, F.col("v") + F.col("gain"))).alias("b")
+        F.greatest(F.max("v"), F.max(F.col("v") + F.col("gain"))).alias("hi"), F.least(F.min("v"), F.min(F.col("v") + F.col("gain"))).alias("lo"), F.max("v0").alias("a"), F.max(F.when(tail, F.col("v") + F.col("gain"))).alias("b")
     )
     # a flat run holds one value n times, a sloped one each of n neighbouring values once: steps of the values' counts
     n = F.col("next") - F.col("p") + F.when(tail, 1).otherwise(0)
@@ -70,7 +71,10 @@ def window_densities(rows: DataFrame, window: int = WINDOW, keys: Sequence[str]
         return F.max(F.when(inside, F.col("x") + F.floor((F.expr(rank) - F.col("upto") + F.col("n")) / F.col("each"))))
 
     middle = counts.groupBy(*own).agg(((ranked("_last div 2") + ranked("(_last + 1) div 2")) / 2).alias("mid"))
-    out = ends.join(middle, own).select(*own, *[(c / window).alias(n) for n, c in zip(DENSITIES, (F.col("hi"), F.col("lo"), F.col("mid"), F.col("a"), F.col("b"), F.greatest("a", "b"), F.least("a", "b")), strict=True)])
+    sides = ("hi", "lo", "a", "b", "mid")
+    both = ends.withColumn("mid", F.lit(None).cast("double")).union(middle.select(*own, *[F.lit(None).cast("bigint").alias(c) for c in sides[:4]], "mid"))  # not joined: that would deal them anew, too
+    out = both.groupBy(*own).agg(*[F.max(c).alias(c) for c in sides])
+    out = out.select(*own, *[(c / window).alias(n) for n, c in zip(DENSITIES, (F.col("hi"), F.col("lo"), F.col("mid"), F.col("a"), F.col("b"), F.greatest("a", "b"), F.least("a", "b")), strict=True)])
     return out.union(short)
 
 
@@ -104,8 +108,11 @@ METRICS = ("bp", "frac", *DENSITIES, "max_block_bp", "total_bp")
 
 def long_metrics(rows: DataFrame, window: int = WINDOW, gap: int = GAP, metrics: Sequence[str] = METRICS, crossings: DataFrame | None = None) -> DataFrame:
     """seq_id, name ({featureset}__{metric}__{feature}), value: shares, lengths, densities and longest blocks of every label, and total
-    lengths; only those of the metrics asked for are computed. crossings: a table of interspersion(), whose columns join as interspersion__{name}."""
+    lengths; only those of the metrics asked for are computed. crossings: a table of interspersion(), whose columns join as interspersion__{name}.
+    All passes take tasks of so many rows, which are counted first: AQE's, by shuffled bytes, hold far more in sorts and aggregates."""
     keys, asked = ["feature_set", "seq_id"], set(metrics)
+    n = tasks(rows)
+    near = rows.repartition(n, "seq_id")
 
     def named(df, own):
         """All asked metrics of one table in a single pass over it."""
@@ -115,13 +122,13 @@ def long_metrics(rows: DataFrame, window: int = WINDOW, gap: int = GAP, metrics:
 
     parts = []
     if asked & {"bp", "frac"}:
-        parts.append(named(feature_fraction(rows, keys), ("bp", "frac")))
+        parts.append(named(feature_fraction(near, keys), ("bp", "frac")))
     if asked & set(DENSITIES):
-        parts.append(named(window_densities(rows, window, keys), DENSITIES))
+        parts.append(named(window_densities(rows, window, keys, n), DENSITIES))
     if "max_block_bp" in asked:
-        parts.append(named(max_block(rows, [*keys, "feature"], gap).withColumnRenamed("max_block", "max_block_bp"), ("max_block_bp",)))
+        parts.append(named(max_block(near, [*keys, "feature"], gap).withColumnRenamed("max_block", "max_block_bp"), ("max_block_bp",)))
     if "total_bp" in asked:
-        totals = rows.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("value"))
+        totals = near.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("value"))
         parts.append(totals.select("seq_id", F.concat_ws("__", "feature_set", F.lit("total_bp")).alias("name"), "value"))
     if crossings is not None:
         own = [c for c in crossings.columns if c != "seq_id"]
@@ -138,10 +145,11 @@ def metrics_of(names: Sequence[str]) -> set[str]:
 
 
 def wide_matrix(metrics: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """A row for each sequence, a column for each name, 0 where absent. Without names the column set is read first, in sorted order."""
+    """A row for each sequence, a column for each name, 0 where absent. Without names the column set is read first, in sorted order.
+    The metrics are made once and written, then dealt by sequence to tasks of so many values."""
+    metrics = written(metrics if names is None else metrics.where(F.col("name").isin(list(names))), "metrics")
     names = sorted(r[0] for r in metrics.select("name").distinct().collect()) if names is None else list(names)
-    metrics = metrics.where(F.col("name").isin(names))
-    return metrics.groupBy("seq_id").pivot("name", names).agg(F.first("value")).na.fill(0.0)
+    return dealt(metrics, "seq_id").groupBy("seq_id").pivot("name", names).agg(F.first("value")).na.fill(0.0)
 
 
 def genome_weights(rows: DataFrame) -> DataFrame:
