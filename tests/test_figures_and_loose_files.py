@@ -86,3 +86,20 @@ def test_structures_of_one_group_meet_in_parts(spark):
         got = legacy.structure_distances(found, "grp", block).collect()
         assert len(got) == len(want) and {(r.grp, r.a, r.b) for r in got} == want
     assert {(r.a, r.b): r.distance for r in got}["x", "y"] == 1
+
+
+def test_edit_distances_of_many_pairs(spark):
+    """Texts of none, one and several words of 64 places, and code points beyond 16 bits."""
+    import random
+
+    import numpy as np
+
+    from tilespan.operators import legacy
+
+    r = random.Random(1)
+    for letters, top in (("ABCDE", 12), ("AB\U0001f600é", 9), ("ABC", 200)):
+        texts = sorted({"".join(r.choice(letters) for _ in range(r.randint(0, top))) for _ in range(16)} | {"", "A" * 64, "B" * 65})
+        pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+        want = spark.createDataFrame([(texts[i], texts[j]) for i, j in pairs], "a string, b string").selectExpr("levenshtein(a, b)").collect()
+        for batch in (7, 8192):
+            assert legacy.edit_distances(texts, *np.array(pairs).T, batch).tolist() == [x[0] for x in want]
